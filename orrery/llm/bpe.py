@@ -52,17 +52,10 @@ class Codec:
         if len(text) * 4 <= self.leaf or not self.unsplit.search(text):
             return self.encoding.encode_ordinary(text)
         out: list[int] = []
-        ordinary = []
         for m in self.pattern.finditer(text):
-            raw = m.group()
-            if len(raw) * 4 > self.leaf and len(data := raw.encode("utf-8", "replace")) > self.leaf:
-                out += self.encoding.encode_ordinary("".join(ordinary)) if ordinary else []
-                ordinary = []
-                out += self.tree(data)
-            else:
-                ordinary.append(raw)
-                # A piece is only ever re-split the same way if what follows stays with it.
-        return out + (self.encoding.encode_ordinary("".join(ordinary)) if ordinary else [])
+            data = m.group().encode("utf-8", "replace")
+            out += self.tree(data) if len(data) > self.leaf else self.piece(data)
+        return out
 
     def tree(self, data: bytes) -> list[int]:
         """The tokens of one piece: leaves in parallel, then joins level by level."""

@@ -16,6 +16,9 @@ import pyarrow.compute as pc
 _WINDOW = 1 << 20
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: For words of letters alone: everything in ASCII that is no letter separates.
+_NOT_LETTER = np.arange(256) < 128
+_NOT_LETTER[65:91] = _NOT_LETTER[97:123] = False
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -62,12 +65,12 @@ def lower(texts: pa.Array) -> pa.Array:
     return pc.utf8_lower(texts.cast(pa.large_string()))
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_bounds(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte starts and ends of all words, and how many words each text has."""
     n = len(data)
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
-    solid = ~_SPACE[data]
+    solid = ~separators[data]
     before = np.empty(n, bool)
     before[:1] = True
     np.logical_not(solid[:-1], out=before[1:])
@@ -97,10 +100,10 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix(out)
 
 
-def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all lower-cased words in order, and how many each text has."""
+def words(texts: pa.Array, letters: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all lower-cased words (or runs of letters) in order, and how many each text has."""
     data, offsets = buffers(lower(texts))
-    starts, ends, counts = word_bounds(data, offsets)
+    starts, ends, counts = word_bounds(data, offsets, _NOT_LETTER if letters else _SPACE)
     return word_hashes(data, starts, ends), counts
 
 

@@ -2,16 +2,29 @@
 
 from __future__ import annotations
 
-from . import bpe, secrets
+from pyspark.sql import functions as F
+
+from . import bpe, chat, counts, jaccard, quality, secrets
 from .common import table
 
+#: What op8_token_counts edits: a source line is put before every document, and eight characters in its middle are rewritten.
+EDITS = F.expr("""
+  array(struct(0 AS at, 0 AS until, concat(coalesce(source, ''), ': ') AS new),
+        struct(cast(length(text) / 2 AS int) AS at, cast(length(text) / 2 AS int) + 8 AS until, ' revised text' AS new))
+""")
+
 QUERIES = {
+    "op2_quality": lambda spark, d: quality.score(table(spark, d, "documents"), table(spark, d, "labels")),
     "op4_bpe": lambda spark, d: bpe.encode(table(spark, d, "documents")),
+    "op7_chat_format": lambda spark, d: chat.format_chats(table(spark, d, "conversations")),
+    "op8_token_counts": lambda spark, d: counts.count_edited(table(spark, d, "documents"), EDITS),
+    "op10_jaccard": lambda spark, d: jaccard.join(table(spark, d, "documents")),
     "op6_secret_scan": lambda spark, d: secrets.scan(table(spark, d, "documents")),
 }
 
 ORACLES = {
     "op6_secret_scan": secrets.ORACLE,
+    "op10_jaccard": jaccard.ORACLE,
 }
 
 
