@@ -83,8 +83,11 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray =
     return starts, ends, counts
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word, windows of about a megabyte at a time."""
+def rolling(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of values[start:end] for each of the ascending spans, windows of about a million at a time.
+
+    values: uint64, or bytes, which stand for random odd numbers.
+    """
     out = np.empty(len(starts), np.uint64)
     i = 0
     while i < len(starts):
@@ -93,13 +96,17 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         last = ends[j - 1]
         forward, back = _power(int(last - base) + 1)
         total = np.zeros(int(last - base) + 1, np.uint64)
-        np.cumsum(_BYTES[data[base:last]] * forward[: last - base], dtype=np.uint64, out=total[1:])
+        own = values[base:last]
+        np.cumsum((_BYTES[own] if own.dtype == np.uint8 else own) * forward[: last - base], dtype=np.uint64, out=total[1:])
         s, e = starts[i:j] - base, ends[i:j] - base
         out[i:j] = (total[e] - total[s]) * back[s]
         i = j
     return mix(out)
 
 
+word_hashes = rolling
+
+
 def words(texts: pa.Array, letters: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all lower-cased words (or runs of letters) in order, and how many each text has."""
     data, offsets = buffers(lower(texts))
@@ -143,3 +150,42 @@ def spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     if not total:
         return np.zeros(0, np.int64)
     return np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(total)
+
+
+def windows(counts: np.ndarray, n: int) -> np.ndarray:
+    """Where windows of n words start that lie within one text, over the words of all texts."""
+    at = np.cumsum(counts) - counts
+    have = np.maximum(counts - n + 1, 0)
+    return spans(at, have)
+
+
+def _slide(x: np.ndarray, w: int, how) -> np.ndarray:
+    """how over x[i : i + w] for every i, as two running passes over blocks of w."""
+    n = len(x)
+    fill = np.uint64(0xFFFFFFFFFFFFFFFF) if how is np.minimum else np.uint64(0)
+    pad = np.full(-(-(n + w) // w) * w, fill, np.uint64)
+    pad[:n] = x
+    blocks = pad.reshape(-1, w)
+    ahead = how.accumulate(blocks, axis=1).ravel()
+    behind = how.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    return how(behind[:n], ahead[w - 1 : w - 1 + n])
+
+
+def anchors(hashes: np.ndarray, counts: np.ndarray, k: int, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """Winnowing: of any w consecutive k-word windows of a text the least hash is chosen.
+
+    Gives the chosen windows' first words (over all texts) and their hashes.
+    """
+    first = windows(counts, k)
+    if not len(first):
+        return first, np.zeros(0, np.uint64)
+    h = rolling(hashes, first, first + k)
+    have = np.maximum(counts - k + 1, 0)
+    start = np.cumsum(have) - have
+    valid = np.zeros(len(h), bool)
+    valid[spans(start, np.maximum(have - w + 1, 0))] = True
+    least = np.where(valid, _slide(h, w, np.minimum), np.uint64(0))
+    # A window is chosen if it is the least of some valid w: the greatest such least is its own hash.
+    most = _slide(np.concatenate((np.zeros(w - 1, np.uint64), least)), w, np.maximum)[: len(h)]
+    chosen = most == h
+    return first[chosen], h[chosen]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, chat, counts, jaccard, quality, secrets
+from . import bpe, chat, counts, jaccard, phrases, quality, secrets
 from .common import table
 
 #: What op8_token_counts edits: a source line is put before every document, and eight characters in its middle are rewritten.
@@ -14,6 +14,7 @@ EDITS = F.expr("""
 """)
 
 QUERIES = {
+    "op1_substring_dedup": lambda spark, d: phrases.repeated_spans(table(spark, d, "documents")),
     "op2_quality": lambda spark, d: quality.score(table(spark, d, "documents"), table(spark, d, "labels")),
     "op4_bpe": lambda spark, d: bpe.encode(table(spark, d, "documents")),
     "op7_chat_format": lambda spark, d: chat.format_chats(table(spark, d, "conversations")),
@@ -23,6 +24,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_substring_dedup": phrases.ORACLE,
     "op6_secret_scan": secrets.ORACLE,
     "op10_jaccard": jaccard.ORACLE,
 }
