@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, chat, counts, jaccard, phrases, quality, secrets
+from . import bpe, chat, counts, jaccard, langid, phrases, quality, secrets
 from .common import table
 
 #: What op8_token_counts edits: a source line is put before every document, and eight characters in its middle are rewritten.
@@ -19,6 +19,7 @@ QUERIES = {
     "op4_bpe": lambda spark, d: bpe.encode(table(spark, d, "documents")),
     "op7_chat_format": lambda spark, d: chat.format_chats(table(spark, d, "conversations")),
     "op8_token_counts": lambda spark, d: counts.count_edited(table(spark, d, "documents"), EDITS),
+    "op9_language_id": lambda spark, d: langid.identify(table(spark, d, "documents")),
     "op10_jaccard": lambda spark, d: jaccard.join(table(spark, d, "documents")),
     "op6_secret_scan": lambda spark, d: secrets.scan(table(spark, d, "documents")),
 }
@@ -26,6 +27,7 @@ QUERIES = {
 ORACLES = {
     "op1_substring_dedup": phrases.ORACLE,
     "op6_secret_scan": secrets.ORACLE,
+    "op9_language_id": lambda spark, d: langid.identify(table(spark, d, "documents")),
     "op10_jaccard": jaccard.ORACLE,
 }
 
