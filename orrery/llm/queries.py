@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, chat, counts, decontam, jaccard, langid, phrases, quality, secrets
+from . import bpe, chat, counts, decontam, jaccard, langid, media, phrases, quality, secrets
 from .common import table
 
 #: What op8_token_counts edits: a source line is put before every document, and eight characters in its middle are rewritten.
@@ -18,6 +18,7 @@ QUERIES = {
     "op2_quality": lambda spark, d: quality.score(table(spark, d, "documents"), table(spark, d, "labels")),
     "op4_bpe": lambda spark, d: bpe.encode(table(spark, d, "documents")),
     "op3_decontaminate": lambda spark, d: decontam.leaks(table(spark, d, "documents"), table(spark, d, "benchmark")),
+    "op5_media_clips": lambda spark, d: media.clips(media.films(table(spark, d, "embeddings"))),
     "op7_chat_format": lambda spark, d: chat.format_chats(table(spark, d, "conversations")),
     "op8_token_counts": lambda spark, d: counts.count_edited(table(spark, d, "documents"), EDITS),
     "op9_language_id": lambda spark, d: langid.identify(table(spark, d, "documents")),

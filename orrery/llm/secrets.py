@@ -19,11 +19,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import maybe_broadcast, written
+
 ASSIGNED = r"(?:password|passwd|secret|token|api_?key)(?: = |=|: )\"?([A-Za-z0-9_\-+/]{12,64})"
 KNOWN = r"((?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,48}|xox[abprs]-[0-9A-Za-z-]{10,48}|AIza[0-9A-Za-z_\-]{35})"
 CANDIDATE = f"{ASSIGNED}|{KNOWN}"
 MAX_OWNERS = 3
 MIN_DISTINCT = 8
+BROADCAST_ROWS = 100_000
 FILLER = r"(0000|1111|xxxx|XXXX|aaaa|1234)"
 
 
@@ -64,7 +67,7 @@ def redact(docs: DataFrame, mask: str = "[SECRET]", **options) -> DataFrame:
     hashes; columns and rows are those of docs, with n_chars brought up to date.
     """
     live = scan(docs, **options).where("live").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("secret_hash").alias("_live"))
-    joined = docs.join(live, docs["doc_id"] == live["_id"], "left")
+    joined = docs.join(maybe_broadcast(written(live, "secrets-live"), BROADCAST_ROWS), docs["doc_id"] == F.col("_id"), "left")
     groups = [F.regexp_extract_all(docs["text"], F.lit(CANDIDATE), F.lit(g)) for g in (1, 2)]
     found = F.filter(F.array_distinct(F.concat(*groups)), lambda s: (F.coalesce(s, F.lit("")) != "") & F.array_contains("_live", F.sha2(s, 256)))
     text = F.when(F.col("_live").isNull(), docs["text"]).otherwise(F.aggregate(F.sort_array(found, asc=False), docs["text"], lambda t, s: F.replace(t, s, F.lit(mask))))
