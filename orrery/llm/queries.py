@@ -8,10 +8,10 @@ from . import bpe, chat, counts, decontam, jaccard, langid, media, phrases, qual
 from .common import table
 
 #: What op8_token_counts edits: a source line is put before every document, and eight characters in its middle are rewritten.
-EDITS = F.expr("""
+EDITS = """
   array(struct(0 AS at, 0 AS until, concat(coalesce(source, ''), ': ') AS new),
         struct(cast(length(text) / 2 AS int) AS at, cast(length(text) / 2 AS int) + 8 AS until, ' revised text' AS new))
-""")
+"""
 
 QUERIES = {
     "op1_substring_dedup": lambda spark, d: phrases.repeated_spans(table(spark, d, "documents")),
@@ -20,7 +20,7 @@ QUERIES = {
     "op3_decontaminate": lambda spark, d: decontam.leaks(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op5_media_clips": lambda spark, d: media.clips(media.films(table(spark, d, "embeddings"))),
     "op7_chat_format": lambda spark, d: chat.format_chats(table(spark, d, "conversations")),
-    "op8_token_counts": lambda spark, d: counts.count_edited(table(spark, d, "documents"), EDITS),
+    "op8_token_counts": lambda spark, d: counts.count_edited(table(spark, d, "documents"), F.expr(EDITS)),
     "op9_language_id": lambda spark, d: langid.identify(table(spark, d, "documents")),
     "op10_jaccard": lambda spark, d: jaccard.join(table(spark, d, "documents")),
     "op6_secret_scan": lambda spark, d: secrets.scan(table(spark, d, "documents")),
