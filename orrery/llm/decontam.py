@@ -35,14 +35,16 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 
-TERM_BITS = 13
-RANK, EXTRA = 40, 8
+TERM_BITS = 11
+RANK, EXTRA = 56, 8
 PASSAGE, STEP = 32, 8
 PIECE = 64
 LEAST_WORDS = 8
 STRONG, WEAK, ANSWER = 0.75, 0.6, 0.5
 ROWS = 512
 _BLOCKS = 16
+DENSE = 256
+TABLE = 1 << 24
 SCHEMA = "doc_id long, item_id long, cosine double, overlap double, answer double, first_word long"
 
 
@@ -111,11 +113,14 @@ def basis(docs: DataFrame, idf: np.ndarray, seed: int = 11) -> np.ndarray:
                 value = weight[term] * count.astype(np.float32)
                 starts, lengths = K.runs(passage)
                 value /= np.repeat(np.sqrt(np.add.reduceat(value * value, starts)), lengths)
-                y = np.add.reduceat(omega[term] * value[:, None], starts, axis=0)
-                order = np.argsort(term, kind="stable")
-                first, _ = K.runs(term[order])
-                row = np.repeat(np.arange(len(starts)), lengths)[order]
-                total[term[order][first]] += np.add.reduceat(y[row] * value[order][:, None], first, axis=0)
+                row = np.repeat(np.arange(len(starts)), lengths)
+                # Blocks of rows are multiplied densely: far less traffic than one by one.
+                for begin in range(0, len(starts), DENSE):
+                    end = min(begin + DENSE, len(starts))
+                    s = slice(starts[begin], starts[end] if end < len(starts) else len(term))
+                    dense = np.zeros((end - begin, 1 << TERM_BITS), np.float32)
+                    dense[row[s] - begin, term[s]] = value[s]
+                    total += dense.T @ (dense @ omega)
         return total
 
     c = _summed(docs, partial, RANK + EXTRA)
@@ -137,8 +142,10 @@ class Items:
     vectors: np.ndarray
     scale: np.ndarray
     least: np.ndarray
+    vocabulary: np.ndarray
     keys: np.ndarray
     masks: np.ndarray
+    table: np.ndarray | None
 
 
 def _key(word: np.ndarray, item) -> np.ndarray:
@@ -179,25 +186,47 @@ def prepare(benchmark: DataFrame, latent: np.ndarray, seed: int = 5, trials: int
         masks.append(mask)
     keys = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
     order = np.argsort(keys)
+    vocabulary = np.unique(np.concatenate(words)) if words else np.zeros(0, np.uint64)
+    table = None
+    if len(words) * (len(vocabulary) + 1) <= TABLE:
+        # A small benchmark has the masks of all its words for all its items in one table.
+        table = np.zeros((len(words), len(vocabulary) + 1), np.uint64)
+        for i, part in enumerate(words):
+            np.bitwise_or.at(table[i], np.searchsorted(vocabulary, part), np.uint64(1) << np.arange(len(part), dtype=np.uint64))
     return Items(
         np.array(ids, np.int64), words, np.array(vectors, np.float32).reshape(-1, latent.shape[1]), np.array([-(-len(x) // STEP) for x in words], np.int64),
-        np.array(least), keys[order], (np.concatenate(masks) if masks else np.zeros(0, np.uint64))[order],
+        np.array(least), vocabulary, keys[order], (np.concatenate(masks) if masks else np.zeros(0, np.uint64))[order], table,
     )
 
 
-def common(items: Items, words: np.ndarray, starts: np.ndarray, lengths: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Longest common subsequence of words[start : start + length] with each candidate's item, whole and answer part."""
+def columns(items: Items, words: np.ndarray) -> np.ndarray:
+    """Each word's column in the items' table, and one more entry for no word: the last column, which is empty."""
+    last = len(items.vocabulary)
+    at = np.minimum(np.searchsorted(items.vocabulary, words), last - 1)
+    return np.append(np.where(items.vocabulary[at] == words, at, last), last)
+
+
+def common(items: Items, words: np.ndarray, own: np.ndarray | None, starts: np.ndarray, lengths: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Longest common subsequence of words[start : start + length] with each candidate's item, whole and answer part.
+
+    own: the words' columns in the items' table, if they have one.
+    """
     m = np.array([len(items.words[i]) for i in range(len(items.words))], np.int64)[item]
     tail = np.maximum(1, m // 4)
     full = np.full(len(item), 0xFFFFFFFFFFFFFFFF, np.uint64)
     mine = full >> (np.uint64(64) - m.astype(np.uint64))
     late = mine & ~((np.uint64(1) << (m - tail).astype(np.uint64)) - np.uint64(1))
     state, state_late = full.copy(), full.copy()
+    if items.table is not None:
+        base, flat = item * items.table.shape[1], items.table.ravel()
     for k in range(int(lengths.max(initial=0))):
         live = k < lengths
-        key = _key(words[np.where(live, starts + k, 0)], item)
-        at = np.minimum(np.searchsorted(items.keys, key), len(items.keys) - 1)
-        mask = np.where(live & (items.keys[at] == key), items.masks[at], np.uint64(0))
+        if items.table is not None:
+            mask = flat[base + own[np.where(live, starts + k, len(words))]]
+        else:
+            key = _key(words[np.where(live, starts + k, 0)], item)
+            at = np.minimum(np.searchsorted(items.keys, key), len(items.keys) - 1)
+            mask = np.where(live & (items.keys[at] == key), items.masks[at], np.uint64(0))
         u = state & mask
         state = (state + u) | (state - u)
         u = state_late & mask & late
@@ -216,7 +245,11 @@ def _search(texts: pa.Array, items: Items, latent: np.ndarray, strong: float, we
     none = [np.zeros(0, np.int64)] * 2 + [np.zeros(0)] * 3 + [np.zeros(0, np.int64)]
     if not len(first) or not len(items.ids):
         return none
-    sums = np.add.reduceat(latent[_terms(w)], first, axis=0)
+    term = np.append(_terms(w), 0)
+    size = np.minimum(STEP, base[doc] + counts[doc] - first)
+    sums = latent[term[first]]
+    for k in range(1, STEP):
+        sums += latent[term[np.where(k < size, first + k, len(w))]] * (k < size)[:, None]
     total = np.concatenate((np.zeros((1, sums.shape[1])), np.cumsum(sums, axis=0, dtype=np.float64)))
     stop = np.repeat(np.cumsum(blocks), blocks)
     found = []
@@ -225,7 +258,7 @@ def _search(texts: pa.Array, items: Items, latent: np.ndarray, strong: float, we
         window = (total[np.minimum(np.arange(len(doc)) + q, stop)] - total[:-1]).astype(np.float32)
         window /= np.maximum(np.sqrt(np.einsum("ij,ij->i", window, window)), 1e-9)[:, None]
         cosine = window @ items.vectors[mine].T
-        b, i = np.nonzero(cosine >= items.least[mine].astype(np.float32))
+        b, i = np.divmod(np.flatnonzero(cosine >= items.least[mine].astype(np.float32)), len(mine))
         found.append((b, mine[i], cosine[b, i], np.full(len(b), q)))
     b, item, cosine, q = (np.concatenate(x) for x in zip(*found))
     if not len(b):
@@ -233,9 +266,10 @@ def _search(texts: pa.Array, items: Items, latent: np.ndarray, strong: float, we
     start = np.maximum(first[b] - STEP, base[doc[b]])
     end = np.minimum(first[b] + (q + 1) * STEP, base[doc[b]] + counts[doc[b]])
     overlap, answer = np.zeros(len(b)), np.zeros(len(b))
-    for at in range(0, len(b), 1 << 16):
-        s = slice(at, at + (1 << 16))
-        overlap[s], answer[s] = common(items, w, start[s], end[s] - start[s], item[s])
+    own = columns(items, w) if items.table is not None else None
+    for at in range(0, len(b), 1 << 13):
+        s = slice(at, at + (1 << 13))
+        overlap[s], answer[s] = common(items, w, own, start[s], end[s] - start[s], item[s])
     leak = (overlap >= strong) | ((overlap >= weak) & (answer >= ANSWER))
     b, item, cosine, overlap, answer = (x[leak] for x in (b, item, cosine, overlap, answer))
     d, ids, place = doc[b], items.ids[item], first[b] - base[doc[b]]
