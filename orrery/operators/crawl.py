@@ -80,7 +80,7 @@ def polite_times(requests: DataFrame, delay: float = 0.5) -> DataFrame:
     The running maximum of (time - delay * order), shifted back, is the queue's time.
     """
     w = Window.partitionBy("domain").orderBy("timestamp", "id")
-    k = F.row_number().over(w) - 1
+    k = (F.row_number().over(w) - 1).cast("long")
     t = F.unix_micros("timestamp")
     step = int(delay * 1_000_000)
     rows = requests.select("id", "domain", "timestamp", (t - k * step).alias("_s"), (k * step).alias("_k"))

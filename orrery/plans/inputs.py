@@ -132,8 +132,8 @@ qt AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest({q
 df AS (SELECT term, count(*) AS df FROM postings GROUP BY term),
 sc AS (SELECT query_id, p.doc_id, sum(times * ln((n - df + 0.5) / (df + 0.5) + 1) * (tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl)))) AS s
        FROM postings p JOIN qt USING (term) JOIN df USING (term) JOIN dl USING (doc_id), corpus GROUP BY ALL){extra},
-r3 AS (SELECT query_id, doc_id, round({blend}, 3) AS bm25, round({blend}, 2) AS score FROM sc{' LEFT JOIN pr USING (doc_id)' if 'pr' in blend else ''}),
-hits AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, doc_id) AS INTEGER) AS rank FROM r3 QUALIFY rank <= {top})"""
+bm AS (SELECT query_id, doc_id, round({blend}, 3) AS bm25, round({blend}, 2) AS score FROM sc{' LEFT JOIN pr USING (doc_id)' if 'pr' in blend else ''}),
+hits AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, doc_id) AS INTEGER) AS rank FROM bm QUALIFY rank <= {top})"""
 
 
 def pagerank(rounds: int = 20) -> str:

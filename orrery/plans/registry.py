@@ -308,7 +308,7 @@ def _click_boost(t: Inputs) -> DataFrame:
     return R.boost_clicks(results, t.click_log, q)
 
 
-register("ir_click_boost", _click_boost, f"WITH {N.CLOG}, {CQ}, k AS (SELECT query_id, cl.doc_id, count(*) AS clicks FROM cq JOIN click_log cl ON contains(lower(query), lower(string_split_regex(trim(q), '\\s+')[1])) GROUP BY ALL), s AS (SELECT query_id, doc_id, coalesce(clicks, 0) AS clicks, round(round(n_chars / 1000.0, 3) * (1 + 0.1 * ln(1 + coalesce(clicks, 0))), 3) AS score FROM documents, cq LEFT JOIN k USING (query_id, doc_id)) SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 20")
+register("ir_click_boost", _click_boost, f"WITH {N.CLOG}, {CQ}, k AS (SELECT query_id, cl.doc_id, count(*) AS clicks FROM cq JOIN click_log cl ON contains(lower(query), lower(string_split_regex(trim(q), '\\s+')[1])) GROUP BY ALL), s AS (SELECT query_id, doc_id, coalesce(clicks, 0) AS clicks, round(round(n_chars / 1000.0, 3) * (1 + 0.1 * ln(1 + coalesce(clicks, 0))), 3) AS score FROM (SELECT * FROM documents, cq) LEFT JOIN k USING (query_id, doc_id)) SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 20")
 
 # Graph, sketches, shards -------------------------------------------------------------------------
 register("gr_pagerank", lambda t: G.pagerank(t.edges, least=None), f"WITH {N.pagerank()} SELECT doc_id, pr AS score FROM pr")
