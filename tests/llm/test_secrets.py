@@ -1,0 +1,28 @@
+from orrery.llm import secrets
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, secret string"
+LIVE = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+
+
+def rows(spark):
+    copied = "password=9f8e7d6c5b4a39281706"
+    data = [(i, f"sample {copied} end", "en", f"s{i}", 0, "clash") for i in range(6)]
+    data += [(10, f'x token = "{LIVE}" y {LIVE}', "en", "s1", 5, None), (11, None, None, None, None, None), (12, "", "en", None, 0, None), (13, "token: aaaaaaaaaaaaaaaa", "en", None, 0, None), (14, f'token = "{LIVE}"', None, None, 1, None)]
+    return spark.createDataFrame(data, COLUMNS)
+
+
+def test_owner_counts_tell_examples_from_live_secrets(spark):
+    found = {r.doc_id: r for r in secrets.scan(rows(spark)).collect()}
+    assert set(found) == {0, 1, 2, 3, 4, 5, 10, 13, 14}
+    assert found[0].n_owners == 6 and not found[0].live
+    assert found[10].live and found[10].n_docs == 2 and found[10].n_owners == 2 and found[10].n == 1
+    assert not found[13].live
+
+
+def test_redaction_masks_live_secrets_only_and_keeps_all_rows(spark):
+    df = rows(spark)
+    out = {r.doc_id: r for r in secrets.redact(df).collect()}
+    assert len(out) == df.count() and list(out[0].asDict()) == df.columns
+    assert LIVE not in out[10].text and out[10].text.count("[SECRET]") == 2 and out[10].n_chars == len(out[10].text)
+    assert "9f8e7d6c5b4a39281706" in out[0].text and out[11].text is None
+    assert secrets.scan(df.limit(0)).count() == 0
