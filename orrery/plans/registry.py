@@ -355,3 +355,78 @@ register("cr_bfs", lambda t: C.bfs(t.edges, t.rows([(1,), (2,)], "node long"), 2
 register("cr_enqueue", lambda t: C.admit(t.pages.select("url", (c("page_id") % 6).alias("depth")), t.pages.where("page_id % 7 = 0").select(U.normalise(c("url")).alias("url")), ["example.com", "example.org"]), f"WITH v AS (SELECT page_id, page_id % 6 AS depth, {NORM} AS url, lower({HOST}) AS host FROM pages), a AS (SELECT url, min(depth) + 1 AS depth FROM v WHERE depth < 4 AND (host IN ('example.com', 'example.org') OR host LIKE '%.example.com' OR host LIKE '%.example.org') GROUP BY url) SELECT url, depth FROM a WHERE url NOT IN (SELECT url FROM v WHERE page_id % 7 = 0)")
 register("cr_summary", lambda t: L.crawl_summary(t.crawl_log), f"WITH {N.WLOG}, p AS (SELECT worker_rank, count(*) FILTER (status = 'ok') AS pages FROM crawl_log GROUP BY 1) SELECT count(*) AS total, count(*) FILTER (status = 'ok') AS pages, count(*) FILTER (status = 'failed') AS failed, count(DISTINCT worker_rank) AS workers, (SELECT round(max(pages) / min(pages), 2) FROM p WHERE pages > 0) AS imbalance, round(count(*) FILTER (status = 'ok') / ((epoch_us(max(timestamp)) - epoch_us(min(timestamp))) / 1e6), 4) AS pages_per_s FROM crawl_log")
 register("cr_delay", lambda t: C.polite_times(t.crawl_log, 30.0), f"WITH {N.WLOG}, o AS (SELECT id, domain, epoch_us(timestamp) AS t, row_number() OVER (PARTITION BY domain ORDER BY timestamp, id) - 1 AS k FROM crawl_log) SELECT id, domain, make_timestamp(max(t - k * 30000000) OVER (PARTITION BY domain ORDER BY k) + k * 30000000) AS earliest FROM o")
+
+# Sinks and sources as round trips through the shared folder -----------------------------------------
+
+
+def _kept(t: Inputs, name: str, df: DataFrame) -> DataFrame:
+    path = N.folder(t.spark, name)
+    TB.append(df, path)
+    return t.spark.read.schema(df.schema).parquet(path)
+
+
+register("src_pagerank", lambda t: TB.ranks(t.spark, _saved_ranks(t)), ORACLES["gr_pagerank"])
+
+
+def _saved_ranks(t: Inputs) -> str:
+    path = N.folder(t.spark, "ranks")
+    TB.append(G.pagerank(t.edges, least=None), path)
+    return path
+
+
+def _json(t: Inputs, name: str, df: DataFrame) -> DataFrame:
+    path = N.folder(t.spark, name)
+    TB.write_json(df, path)
+    return t.spark.read.schema(df.schema).json(path)
+
+
+register("snk_crawl_log", lambda t: _kept(t, "crawl", t.crawl_log), f"WITH {N.WLOG} SELECT * FROM crawl_log")
+register("snk_query_log", lambda t: _kept(t, "query", t.query_log), f"WITH {N.QLOG} SELECT * FROM query_log")
+register("snk_click_log", lambda t: _kept(t, "click", t.click_log), f"WITH {N.CLOG} SELECT * FROM click_log")
+register("snk_stats_json", lambda t: _json(t, "stats", I.corpus_stats(t.postings)), ORACLES["agg_corpus_stats"])
+register("snk_vectors", lambda t: _kept(t, "vectors", t.read("embeddings").select("vec_id", "label", F.size("embedding").cast("long").alias("dims"))), ORACLES["src_vectors"])
+
+
+def _snapshot(t: Inputs) -> DataFrame:
+    path = N.folder(t.spark, "snapshot")
+    TB.save_snapshot(t.pages.select("url", (c("page_id") % 4).alias("depth")), t.pages.select("url"), path)
+    return TB.load_snapshot(t.spark, path)[0]
+
+
+register("snk_checkpoint", _snapshot, "SELECT url, page_id % 4 AS depth FROM pages")
+
+# Operators that are a part of another: the same plan under their own name ----------------------------
+for _name, _of in {
+    "join_url_resolve": "gr_link_graph", "join_pagerank": "ir_bm25_pagerank", "join_hybrid": "ir_hybrid", "join_crowd": "st_collab_search", "join_click_boost": "ir_click_boost", "join_spell_cand": "ir_spell", "join_prefix": "ir_suggest",
+    "join_cooc_window": "agg_cooc", "agg_hourly_24h": "flt_last_24h", "win_norm_max": "agg_inlinks", "win_last200": "agg_p95_rolling", "win_pct_total": "agg_job2_position", "win_dedup_first": "st_dup_suppress", "win_spell_best": "ir_spell",
+    "win_shard_topk": "fd_shard_search", "top_bm25": "ir_bm25", "top_blend": "ir_hybrid", "top_resort_click": "ir_click_boost", "top_resort_crowd": "st_collab_search", "top_shard_heap": "fd_shard_search", "top_merge": "fd_merge",
+    "top_argsort": "ir_tfidf_search", "top_faiss": "ir_vector_search", "top_prefix": "ir_suggest", "top_trending_docs": "st_trending_docs", "lim_feed": "st_live_feed", "ord_sql": "src_all_docs", "set_dedup_links": "flt_self_loop",
+    "set_diff_visited": "join_visited", "set_or_filter": "pb_merge", "set_and_filter": "agg_bloom_similarity", "gr_viz_subgraph": "join_graph_top", "st_crowd_boost": "st_record_click", "st_evict": "st_record_click", "st_p95_state": "agg_p95_rolling",
+}.items():
+    QUERIES[_name], ORACLES[_name] = QUERIES[_of], ORACLES[_of]
+
+RANKED = f"WITH {N.VOCAB}, top AS (SELECT term, df FROM vocabulary ORDER BY df DESC, term LIMIT 2000)"
+register("top_terms_df", lambda t: t.vocabulary.orderBy(c("df").desc(), "term").limit(2000), f"{RANKED} SELECT * FROM top")
+
+
+def _ranked(t: Inputs) -> DataFrame:
+    w = R.Window.partitionBy("doc_id").orderBy(c("df").desc(), "term")
+    return t.postings.join(t.vocabulary.orderBy(c("df").desc(), "term").limit(2000), "term").select("doc_id", "term", F.row_number().over(w).alias("place"), *[F.lead("term", k).over(w).alias(f"next{k}") for k in (1, 5)])
+
+
+register("win_rank_terms", lambda t: _ranked(t).select("doc_id", "term", "place"), f"{RANKED} SELECT doc_id, term, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY df DESC, term) AS INTEGER) AS place FROM postings JOIN top USING (term)")
+register("win_lead5", lambda t: _ranked(t).select("doc_id", "term", "next1", "next5"), f"{RANKED} SELECT doc_id, term, lead(term, 1) OVER w AS next1, lead(term, 5) OVER w AS next5 FROM postings JOIN top USING (term) WINDOW w AS (PARTITION BY doc_id ORDER BY df DESC, term)")
+register("agg_click_count", lambda t: R.click_counts(t.click_log, t.documents.crossJoin(t.rows(CQROWS, "query_id long, q string")), t.rows(CQROWS, "query_id long, q string")), f"WITH {N.CLOG}, {CQ} SELECT query_id, doc_id, count(*) AS clicks FROM cq JOIN click_log ON contains(lower(query), lower(string_split_regex(trim(q), '\\s+')[1])) WHERE doc_id IN (SELECT doc_id FROM documents) GROUP BY ALL")
+register("set_distinct_session", lambda t: t.query_log.select("session_id", F.lower(F.trim("query")).alias("q")).distinct(), f"WITH {N.QLOG} SELECT DISTINCT session_id, lower(trim(query)) AS q FROM query_log")
+register("set_union_ids", lambda t: t.query_log.select(c("session_id").alias("s")).union(t.click_log.select("session_id")).distinct(), f"WITH {N.QLOG}, {N.CLOG} SELECT session_id AS s FROM query_log UNION SELECT session_id FROM click_log")
+register("flt_budget", lambda t: C.admit(t.pages.select("url", (c("page_id") % 6).alias("depth")), t.pages.where("page_id < 0").select("url"), None, budget=50), f"WITH v AS (SELECT page_id % 6 AS depth, {NORM} AS url FROM pages) SELECT url, min(depth) + 1 AS depth FROM v WHERE depth < 4 GROUP BY url ORDER BY depth, url LIMIT 50")
+
+
+def _engine(t: Inputs):
+    from .api import Engine
+
+    return Engine(t.documents, t.page_docs, None, t.query_log, t.click_log, t.crawl_log)
+
+
+register("ir_search_page", lambda t: _engine(t).page(t.queries))
+register("ir_search_log", lambda t: _engine(t).log_of(_engine(t).search(t.queries, 20), t.queries, NOW), f"WITH {N.bm25()} SELECT q AS query, count(rank) AS result_count, TIMESTAMP '{NOW}' AS timestamp, '' AS session_id FROM queries LEFT JOIN hits USING (query_id) GROUP BY query_id, q")
