@@ -17,7 +17,8 @@
 A document leaks an item if their subsequence covers ``strong`` of the item, or
 ``weak`` of it with at least half of the answer.
 
-Results for odd input: null and empty texts leak nothing; items that are null
+Words are runs of letters and digits, so neither punctuation nor table marks hide
+a leak.  Results for odd input: null and empty texts leak nothing; items that are null
 or shorter than 8 words are ignored, as common phrases; items of more than 64
 words are searched in pieces, each of which counts; equal items and repeated
 rows get results of their own; with an empty benchmark, or no documents, the
@@ -54,7 +55,7 @@ def _terms(words: np.ndarray) -> np.ndarray:
 
 def _passages(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Passage, term and count of every term of every passage of PASSAGE words."""
-    w, counts = K.words(texts)
+    w, counts = K.words(texts, "plain")
     per = -(-counts // PASSAGE)
     place = np.arange(len(w)) - np.repeat(np.cumsum(counts) - counts, counts)
     passage = np.repeat(np.cumsum(per) - per, counts) + place // PASSAGE
@@ -155,7 +156,7 @@ def _key(word: np.ndarray, item) -> np.ndarray:
 def prepare(benchmark: DataFrame, latent: np.ndarray, seed: int = 5, trials: int = 24) -> Items:
     """Embeds all items and fits their thresholds; the benchmark comes to the driver as a whole."""
     table = benchmark.where("item_id is not null and text is not null").select("item_id", "text").orderBy("item_id", "text").toArrow()
-    w, counts = K.words(table.column("text").combine_chunks() if table.num_rows else pa.array([], pa.string()))
+    w, counts = K.words(table.column("text").combine_chunks() if table.num_rows else pa.array([], pa.string()), "plain")
     ids, words = [], []
     for i, n, end in zip(table.column("item_id").to_pylist(), counts, np.cumsum(counts)):
         pieces = -(-n // PIECE)
@@ -236,7 +237,7 @@ def common(items: Items, words: np.ndarray, own: np.ndarray | None, starts: np.n
 
 def _search(texts: pa.Array, items: Items, latent: np.ndarray, strong: float, weak: float):
     """doc, item, cosine, overlap, answer, first word of the best leak of every document and item."""
-    w, counts = K.words(texts)
+    w, counts = K.words(texts, "plain")
     blocks = -(-counts // STEP)
     doc = np.repeat(np.arange(len(counts)), blocks)
     base = np.cumsum(counts) - counts

@@ -19,6 +19,10 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: For words of letters alone: everything in ASCII that is no letter separates.
 _NOT_LETTER = np.arange(256) < 128
 _NOT_LETTER[65:91] = _NOT_LETTER[97:123] = False
+#: For words of letters and digits.
+_NOT_WORD = _NOT_LETTER.copy()
+_NOT_WORD[48:58] = False
+_SEPARATORS = {"space": _SPACE, "letters": _NOT_LETTER, "plain": _NOT_WORD}
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -107,10 +111,13 @@ def rolling(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
 word_hashes = rolling
 
 
-def words(texts: pa.Array, letters: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all lower-cased words (or runs of letters) in order, and how many each text has."""
+def words(texts: pa.Array, kind: str = "space") -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all lower-cased words in order, and how many each text has.
+
+    kind: what words are made of: everything but white space, letters, or letters and digits ("plain").
+    """
     data, offsets = buffers(lower(texts))
-    starts, ends, counts = word_bounds(data, offsets, _NOT_LETTER if letters else _SPACE)
+    starts, ends, counts = word_bounds(data, offsets, _SEPARATORS[kind])
     return word_hashes(data, starts, ends), counts
 
 

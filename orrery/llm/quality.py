@@ -65,7 +65,7 @@ def statistics(texts: pa.Array, lexicon: np.ndarray) -> np.ndarray:
     distinct3, top3 = variety(grams, gdoc, have)
     same = np.zeros(len(w))
     same[1:] = (w[1:] == w[:-1]) & (doc[1:] == doc[:-1])
-    letters, lcount = K.words(texts, letters=True)
+    letters, lcount = K.words(texts, "letters")
     ldoc = np.repeat(np.arange(n), lcount)
     hit = lexicon[np.minimum(np.searchsorted(lexicon, letters), len(lexicon) - 1)] == letters if len(lexicon) else np.zeros(len(letters), bool)
     hits = _sums(hit.astype(float), ldoc, n)
@@ -177,7 +177,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, lexicon:
 
     def words(batches):
         for batch in batches:
-            w, count = K.words(batch.column("text"), letters=True)
+            w, count = K.words(batch.column("text"), "letters")
             doc = np.repeat(np.arange(batch.num_rows), count)
             toxic = batch.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)
             order = np.lexsort((w, doc))
