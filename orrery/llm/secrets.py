@@ -48,6 +48,8 @@ def scan(docs: DataFrame, owner: str = "source", repository: tuple[str, ...] = (
         "doc_id", "owner", "repository", "n", F.sha2("secret", 256).alias("secret_hash"),
         ((F.size(F.array_distinct(F.split("secret", ""))) >= min_distinct) & ~F.col("secret").rlike(FILLER)).alias("is_random"),
     )
+    # The few candidates are used twice; the documents are read once.
+    rows = written(rows, "secrets-candidates")
     # The two distinct counts need only the pairs, of which there are few per hash even for a secret that is everywhere.
     owners = (
         rows.groupBy("secret_hash", "owner", "repository").agg(F.count_distinct("doc_id").alias("d"))
