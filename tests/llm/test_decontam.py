@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +56,7 @@ def test_the_bit_parallel_subsequence_is_that_of_the_textbook(spark):
     ready = decontam.prepare(b, latent)
     w, counts = K.words(pa.array([" ".join(d) for d in docs]), "plain")
     starts = np.cumsum(counts) - counts
+    docs = [re.findall("[a-z0-9]+", " ".join(d)) for d in docs]
     for table in (ready.table, None):
         ready.table = table
         own = decontam.columns(ready, w) if table is not None else None
