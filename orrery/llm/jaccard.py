@@ -34,15 +34,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import maybe_broadcast, shuffle_parts, written
+from .common import maybe_broadcast, release, shuffle_parts, small, written
 
 N = 3
 THRESHOLD = 0.5
-SKETCH_BITS = 21
+SKETCH_BITS = 24
 _BLOCKS = 32
 TILE = 1024
-ROWS = 2048
-BROADCAST_ROWS = 200_000
+ROWS = 1024
+BROADCAST_ROWS = 100_000
+PER_BUCKET = 5_000
+SHORT = 48
+PART_TOKENS = 1_600_000
 _EPS = 1e-9
 
 
@@ -75,39 +78,51 @@ def _longs(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
+def bitmaps(grams: np.ndarray, doc: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """For each set the bitmap of its grams' leading bits, of 2 to 4 times as many bits as grams."""
+    log = np.maximum(6, np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64) + 1)
+    width = np.left_shift(1, log)
+    at = np.cumsum(width) - width
+    flags = np.zeros(int(width.sum()), bool)
+    flags[at[doc] + (grams >> (np.uint64(53) - log[doc].astype(np.uint64))).astype(np.int64)] = True
+    packed = np.packbits(flags, bitorder="little").tobytes()
+    return [packed[a // 8 : (a + w) // 8] for a, w in zip(at.tolist(), width.tolist())]
+
+
 def describe(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
-    """A written table (doc_id, k1, k2, size) of all sets, and the level of each sketch bucket."""
-    fields = ["doc_id", "k1", "k2", "size", "block", "counts"]
+    """A written table (doc_id, k1, k2, size, bits) of all sets, and the level of each sketch bucket."""
+    fields = ["doc_id", "k1", "k2", "size", "bits", "block", "counts"]
 
     def run(batches):
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
+        total = np.zeros(1 << SKETCH_BITS, np.uint32)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                grams, _, sizes = sets(part.column("text"), n)
-                total += np.bincount(_bucket(grams), minlength=len(total))
+                grams, doc, sizes = sets(part.column("text"), n)
+                np.add.at(total, _bucket(grams), np.uint32(1))
                 a, b = keys(grams, sizes)
                 some = pa.array(sizes > 0)
-                rows = pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), _longs(a), _longs(b), pa.array(sizes), pa.nulls(len(sizes), pa.int32()), pa.nulls(len(sizes), pa.binary())], fields)
+                rows = pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), _longs(a), _longs(b), pa.array(sizes), pa.array(bitmaps(grams, doc, sizes), pa.binary()), pa.nulls(len(sizes), pa.int32()), pa.nulls(len(sizes), pa.binary())], fields)
                 yield rows.filter(some)
         codec = pa.Codec("zstd")
-        blobs = [codec.compress(x.astype(np.uint64).tobytes(), asbytes=True) for x in np.split(total, _BLOCKS)]
+        # Only the order matters, and whether a bucket has a single gram: a task's count may stop at 255.
+        blobs = [codec.compress(np.minimum(x, 255).astype(np.uint8).tobytes(), asbytes=True) for x in np.split(total, _BLOCKS)]
         none = pa.nulls(_BLOCKS, pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(range(_BLOCKS), pa.int32()), pa.array(blobs, pa.binary())], fields)
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(_BLOCKS, pa.binary()), pa.array(range(_BLOCKS), pa.int32()), pa.array(blobs, pa.binary())], fields)
 
-    table = written(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, k1 long, k2 long, size long, block int, counts binary"), "jaccard-sets")
+    table = written(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, k1 long, k2 long, size long, bits binary, block int, counts binary"), "jaccard-sets")
 
     def add(group: pa.Table) -> pa.Table:
         codec, width = pa.Codec("zstd"), (1 << SKETCH_BITS) // _BLOCKS
         total = np.zeros(width, np.uint64)
         for x in group.column("counts"):
-            total += np.frombuffer(codec.decompress(x.as_py(), decompressed_size=8 * width, asbytes=True), np.uint64)
+            total += np.frombuffer(codec.decompress(x.as_py(), decompressed_size=width, asbytes=True), np.uint8)
         level = np.minimum(255, 8 * np.log2(1.0 + total)).astype(np.uint8)
         return pa.table({"block": group.column("block").slice(0, 1), "level": pa.array([level.tobytes()], pa.binary())})
 
     levels = table.where("block is not null").select("block", "counts").groupBy("block").applyInArrow(add, "block int, level binary").orderBy("block").collect()
     level = np.concatenate([np.frombuffer(r["level"], np.uint8) for r in levels]) if levels else np.zeros(1 << SKETCH_BITS, np.uint8)
-    return table.where("doc_id is not null").select("doc_id", "k1", "k2", "size"), level
+    return table.where("doc_id is not null").select("doc_id", "k1", "k2", "size", "bits"), level
 
 
 def classes(described: DataFrame) -> DataFrame:
@@ -145,9 +160,10 @@ def send_prefixes(docs: DataFrame, level: np.ndarray, n: int, t: float, parts: i
                 token = K.mix(key & np.uint64((1 << 53) - 1))
                 part = (token % np.uint64(parts)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
-                token, place, doc, part = (token[order] >> np.uint64(32)).astype(np.uint32), place[order].astype(np.uint32), doc[order], part[order]
+                # Places go as 256ths of the size, rounded down: filters by position stay on the safe side.
+                token, place, doc, part = (token[order] >> np.uint64(32)).astype(np.uint32), (place[order] * 256 // sizes[doc[order]]).astype(np.uint8), doc[order], part[order]
                 heads, many = K.runs(part * ROWS + doc)
-                head = np.column_stack((a[doc[heads]], b[doc[heads]], sizes[doc[heads]].astype(np.uint64) | (many.astype(np.uint64) << np.uint64(32))))
+                head = np.column_stack((a[doc[heads]], sizes[doc[heads]].astype(np.uint64) | (many.astype(np.uint64) << np.uint64(32))))
                 begin, length = K.runs(part)
                 cut = np.searchsorted(heads, np.concatenate((begin, [len(part)])))
                 rows = [(int(part[s]), head[cut[i] : cut[i + 1]].tobytes(), token[s : s + l].tobytes(), place[s : s + l].tobytes()) for i, (s, l) in enumerate(zip(begin, length))]
@@ -190,23 +206,38 @@ def possible(token: np.ndarray, place: np.ndarray, size: np.ndarray, t: float) -
     return partner
 
 
+def close(list_no: np.ndarray, place: np.ndarray, size: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of entries of the same list that can reach the threshold by size and position."""
+    starts, lengths = K.runs(list_no)
+    after = np.repeat(starts + lengths, lengths) - np.arange(len(list_no)) - 1
+    x, y = np.repeat(np.arange(len(list_no)), after), K.spans(np.arange(len(list_no)) + 1, after)
+    need = t / (1 + t) * (size[x] + size[y]) - _EPS
+    ok = (np.minimum(size[x] - place[x], size[y] - place[y]) >= need) & (np.minimum(size[x], size[y]) >= t * np.maximum(size[x], size[y]) - _EPS)
+    return x[ok], y[ok]
+
+
+def star(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Pairs as meetings (hub << 32 | member): both go to the least neighbour of the lesser."""
+    low, high = np.minimum(x, y), np.maximum(x, y)
+    if not len(low):
+        return np.zeros(0, np.int64)
+    hub = np.arange(int(high.max()) + 1)
+    np.minimum.at(hub, high, low)
+    return np.unique(np.concatenate(((hub[low] << 32) | low, (hub[low] << 32) | high)))
+
+
 def hubs(packed: DataFrame, t: float) -> DataFrame:
-    """h1, h2, k1, k2: each set with a possible partner, and the hub where they meet."""
-    names = ["h1", "h2", "k1", "k2"]
+    """hub, k1: each set (by the first half of its key) with a possible partner, and the hub where they meet."""
 
     def run(group: pa.Table) -> pa.Table:
-        head = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("sets")]).reshape(-1, 3)
+        head = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("sets")]).reshape(-1, 2)
         token = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in group.column("tokens")])
-        place = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in group.column("places")])
-        order = np.lexsort((head[:, 1], head[:, 0]))
-        ordered = head[order, :2]
-        new = np.concatenate(([True], (ordered[1:] != ordered[:-1]).any(axis=1)))
-        number = np.empty(len(head), np.int64)
-        number[order] = np.cumsum(new) - 1
-        unique = ordered[new]
-        many = (head[:, 2] >> np.uint64(32)).astype(np.int64)
+        place = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8) for x in group.column("places")]).astype(np.int64)
+        unique, number = np.unique(head[:, 0], return_inverse=True)
+        many = (head[:, 1] >> np.uint64(32)).astype(np.int64)
         of = np.repeat(number, many)
-        size = np.repeat((head[:, 2] & np.uint64(0xFFFFFFFF)).astype(np.int64), many)
+        size = np.repeat((head[:, 1] & np.uint64(0xFFFFFFFF)).astype(np.int64), many)
+        place = -(-place * size // 256)
         key = (token.astype(np.uint64) << np.uint64(32)) | of.astype(np.uint64)
         order = np.argsort(key)
         key = key[order]
@@ -215,15 +246,102 @@ def hubs(packed: DataFrame, t: float) -> DataFrame:
         order = order[np.repeat(lengths > 1, lengths)]
         lengths = lengths[lengths > 1]
         list_no = np.repeat(np.arange(len(lengths)), lengths)
-        keep = possible(list_no, place[order].astype(np.int64), size[order], t) if len(order) else np.zeros(0, bool)
-        order, list_no = order[keep], list_no[keep]
-        # Entries of a list are in order of set, so its first is the hub.
-        starts, lengths = K.runs(list_no)
-        pairs = np.unique((np.repeat(of[order[starts]], lengths) << 32) | of[order]) if len(order) else np.zeros(0, np.int64)
+        owner, at, how_many = of[order], place[order].astype(np.int64), size[order]
+        short = np.repeat(lengths <= SHORT, lengths)
+        x, y = close(list_no[short], at[short], how_many[short], t)
+        found = star(owner[short][x], owner[short][y])
+        long = np.flatnonzero(~short)
+        if len(long):
+            long = long[possible(list_no[long], at[long], how_many[long], t)]
+            # Entries of a list are in order of set, so its first is the hub.
+            starts, lengths = K.runs(list_no[long])
+            found = np.concatenate((found, (np.repeat(owner[long[starts]], lengths) << 32) | owner[long]))
+        pairs = np.unique(found)
         hub, member = unique[pairs >> 32], unique[pairs & 0xFFFFFFFF]
-        return pa.table([_longs(hub[:, 0]), _longs(hub[:, 1]), _longs(member[:, 0]), _longs(member[:, 1])], names)
+        return pa.table([_longs(hub), _longs(member)], ["hub", "k1"])
+
+    return packed.groupBy("part").applyInArrow(run, "hub long, k1 long").distinct()
+
+
+def merged(met: DataFrame) -> DataFrame:
+    """The same meetings at fewer hubs: all sets of a hub go to the least hub that any of them goes to.
+
+    The lists of a cluster of near copies have a few different hubs, which would
+    each get the whole cluster; one step of contraction brings them together.
+    """
+    least = met.groupBy("k1", "k2").agg(F.min("hub").alias("least"))
+    to = met.join(least, ["k1", "k2"]).groupBy("hub").agg(F.min("least").alias("to"))
+    return met.join(to, "hub").select(F.col("to").alias("hub"), "k1", "k2").distinct()
+
 
-    return packed.groupBy("part").applyInArrow(run, "h1 long, h2 long, k1 long, k2 long").distinct()
+def placed(met: DataFrame) -> DataFrame:
+    """k1, k2, hub, i, j, b: meetings with their tiles; hubs of one set only compare nothing and go."""
+    tiles = met.groupBy("hub").agg(F.count("*").alias("members")).where("members > 1").select("hub", F.ceil(F.col("members") / TILE).cast("int").alias("n"))
+    block = F.pmod(F.xxhash64("k1", "k2"), F.col("n")).cast("int")
+    rows = met.join(tiles, "hub").withColumn("b", block).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    return rows.select("k1", "k2", "hub", F.least("b", "c").alias("i"), F.greatest("b", "c").alias("j"), "b")
+
+
+def _tiles(group: pa.Table):
+    """The rows of each tile of a bucket."""
+    rows = np.column_stack([group.column(c).to_numpy().astype(np.int64) for c in ("hub", "i", "j")])
+    order = np.lexsort(rows.T[::-1])
+    tile = rows[order]
+    cut = np.flatnonzero(np.concatenate(([True], (tile[1:] != tile[:-1]).any(axis=1), [True])))
+    for s, e in zip(cut[:-1], cut[1:]):
+        if e - s > 1:
+            yield tile[s], order[s:e]
+
+
+def bounded(blobs: list[bytes], sizes: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of sets whose bitmaps allow the threshold."""
+    width = np.array([len(b) for b in blobs])
+    out = []
+    for w in np.unique(width):
+        same = np.flatnonzero(width == w)
+        rows = np.frombuffer(b"".join(blobs[k] for k in same), np.uint64).reshape(len(same), -1)
+        excess = sizes[same] - np.bitwise_count(rows).sum(axis=1, dtype=np.int64)
+        sides = [(same, rows, excess, True)]
+        half = np.flatnonzero(width == w // 2)
+        if len(half):
+            # Neighbouring buckets joined, this width's sets compare with those of half of it.
+            folded = np.packbits(np.unpackbits(rows.view(np.uint8), axis=1, bitorder="little").reshape(len(same), -1, 2).any(axis=2), axis=1, bitorder="little").view(np.uint64)
+            other = np.frombuffer(b"".join(blobs[k] for k in half), np.uint64).reshape(len(half), -1)
+            sides.append((half, other, sizes[half] - np.bitwise_count(other).sum(axis=1, dtype=np.int64), False))
+        for ids, against, spare, own in sides:
+            mine = rows if own else folded
+            extra = excess if own else sizes[same] - np.bitwise_count(folded).sum(axis=1, dtype=np.int64)
+            for k, x in enumerate(same):
+                begin = k + 1 if own else 0
+                if begin >= len(ids):
+                    continue
+                both = np.bitwise_count(mine[k] & against[begin:]).sum(axis=1, dtype=np.int64) + np.minimum(extra[k], spare[begin:])
+                hit = np.flatnonzero(both >= t / (1 + t) * (sizes[x] + sizes[ids[begin:]]) - _EPS)
+                if len(hit):
+                    out.append((np.full(len(hit), x), ids[begin:][hit]))
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
+
+
+def sieve(met: DataFrame, described: DataFrame, same: DataFrame, t: float, buckets: int) -> DataFrame:
+    """The meetings that bitmaps allow: hub, k1, k2."""
+
+    def run(group: pa.Table) -> pa.Table:
+        k1, k2, sizes = (group.column(c).to_numpy() for c in ("k1", "k2", "size"))
+        blobs = group.column("bits").to_pylist()
+        out = [np.zeros((0, 3), np.int64)]
+        for _, at in _tiles(group):
+            at = at[np.lexsort((k2[at], k1[at]))]
+            x, y = bounded([blobs[k] for k in at], sizes[at], t)
+            pairs = star(x, y)
+            out.append(np.column_stack((k1[at[pairs >> 32]], k1[at[pairs & 0xFFFFFFFF]], k2[at[pairs & 0xFFFFFFFF]])))
+        rows = np.concatenate(out)
+        return pa.table([pa.array(np.ascontiguousarray(c)) for c in rows.T], ["hub", "k1", "k2"])
+
+    bits = described.groupBy("k1", "k2").agg(F.first("size").alias("size"), F.first("bits").alias("bits"))
+    rows = placed(met.join(same.select("k1", "k2"), "k1")).join(bits, ["k1", "k2"]).withColumn("bucket", F.pmod(F.xxhash64("hub", "i", "j"), F.lit(buckets)))
+    return rows.groupBy("bucket").applyInArrow(run, "hub long, k1 long, k2 long").distinct()
 
 
 def overlaps(members: list[np.ndarray]) -> np.ndarray:
@@ -268,16 +386,11 @@ def compare(sent: DataFrame, t: float) -> DataFrame:
     """doc_a, doc_b, jaccard of the distinct sets that meet at a hub."""
 
     def run(group: pa.Table) -> pa.Table:
-        rows = [np.array(group.column(c).to_pylist()) for c in ("h1", "h2", "i", "j")]
-        order = np.lexsort(rows[::-1])
-        tile = np.column_stack(rows)[order]
-        cut = np.flatnonzero(np.concatenate(([True], (tile[1:] != tile[:-1]).any(axis=1), [True])))
-        ids, b = np.array(group.column("doc_id").to_pylist()), np.array(group.column("b").to_pylist())
+        ids, b = group.column("doc_id").to_numpy(), group.column("b").to_numpy()
         blobs, others = group.column("grams").to_pylist(), group.column("hubs").to_pylist()
-        found = [np.zeros((0, 3))]
         a_out, b_out, j_out = [], [], []
-        for s, e in zip(cut[:-1], cut[1:]):
-            at = order[s:e]
+        for tile, at in _tiles(group):
+            at = at[np.unique(ids[at], return_index=True)[1]]
             if len(at) < 2:
                 continue
             members = [np.frombuffer(blobs[k], np.uint64) for k in at]
@@ -285,10 +398,10 @@ def compare(sent: DataFrame, t: float) -> DataFrame:
             sizes = np.array([len(m) for m in members])
             union = sizes[:, None] + sizes[None, :] - o
             x, y = np.nonzero(np.triu(o >= t * union - _EPS, 1))
-            if tile[s, 2] != tile[s, 3]:
+            if tile[1] != tile[2]:
                 cross = b[at[x]] != b[at[y]]
                 x, y = x[cross], y[cross]
-            hub = int(tile[s, 0])
+            hub = int(tile[0])
             less = [frozenset(h for h in others[k] if h < hub) for k in at]
             if any(less):
                 once = np.fromiter((less[p].isdisjoint(less[q]) for p, q in zip(x.tolist(), y.tolist())), bool, len(x))
@@ -311,18 +424,18 @@ def join_sets(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> tupl
     docs = docs.select("doc_id", "text")
     described, level = describe(docs, n)
     same = written(classes(described), "jaccard-classes")
-    met = written(hubs(send_prefixes(docs, level, n, threshold, parts), threshold), "jaccard-hubs")
-    tiles = met.groupBy("h1", "h2").agg(F.ceil(F.count("*") / TILE).cast("int").alias("n"))
-    block = F.pmod(F.xxhash64("k1", "k2"), F.col("n")).cast("int")
-    where = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda c: F.struct("h1", "h2", F.least("b", c).alias("i"), F.greatest("b", c).alias("j"), F.col("b")))
-    placed = met.join(tiles, ["h1", "h2"]).withColumn("b", block).select("k1", "k2", "h1", where.alias("tiles"))
-    # A hub with one set only (its partners were all this set's own copies) compares nothing.
-    sending = placed.groupBy("k1", "k2").agg(F.flatten(F.collect_list("tiles")).alias("tiles"), F.collect_set("h1").alias("hubs"))
+    # Every part repeats the set's key and size, so parts are as large as a task's memory allows, not as small as can be.
+    tokens = described.agg(F.sum(F.col("size") - F.ceil(F.col("size") * threshold) + 1)).first()[0] or 0
+    met = written(hubs(send_prefixes(docs, level, n, threshold, max(1, math.ceil(tokens / PART_TOKENS))), threshold), "jaccard-hubs")
+    met = written(sieve(met, described, same, threshold, max(parts, math.ceil(met.count() / (4 * PER_BUCKET)))), "jaccard-sieved")
+    met = written(merged(met), "jaccard-merged")
+    to = F.struct("hub", "i", "j", "b")
+    sending = placed(met).groupBy("k1", "k2").agg(F.collect_list(to).alias("tiles"), F.collect_set("hub").alias("hubs"))
     sending = written(sending.join(same.select("k1", "k2", F.col("rep").alias("doc_id")), ["k1", "k2"]), "jaccard-sent")
-    buckets = max(parts, math.ceil(met.count() / 20_000))
+    buckets = max(parts, math.ceil(met.count() / PER_BUCKET))
 
     def grams(batches):
-        names = ["bucket", "h1", "h2", "i", "j", "b", "doc_id", "hubs", "grams"]
+        names = ["bucket", "hub", "i", "j", "b", "doc_id", "hubs", "grams"]
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
@@ -333,24 +446,32 @@ def join_sets(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> tupl
                 for r, x in enumerate(part.drop_columns(["text"]).to_pylist()):
                     if (a[r], b[r]) == (x["k1"], x["k2"]):
                         blob = found[ends[r] - sizes[r] : ends[r]].tobytes()
-                        rows += [(hash((q["h1"], q["h2"], q["i"], q["j"])) % buckets, q["h1"], q["h2"], q["i"], q["j"], q["b"], x["doc_id"], x["hubs"], blob) for q in x["tiles"]]
+                        rows += [(hash((q["hub"], q["i"], q["j"])) % buckets, q["hub"], q["i"], q["j"], q["b"], x["doc_id"], x["hubs"], blob) for q in x["tiles"]]
                 if rows:
-                    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
+                    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
-    sent = docs.join(maybe_broadcast(sending, BROADCAST_ROWS), "doc_id").select("doc_id", "text", "k1", "k2", "tiles", "hubs").mapInArrow(
-        grams, "bucket int, h1 long, h2 long, i int, j int, b int, doc_id long, hubs array<long>, grams binary"
+    # Many rows: the ids alone thin out the documents first, so texts that nobody is compared with are never shuffled.
+    few = small(sending, BROADCAST_ROWS)
+    thin = docs if few else docs.join(maybe_broadcast(sending.select("doc_id"), 10 * BROADCAST_ROWS), "doc_id", "left_semi")
+    sent = thin.join(F.broadcast(sending) if few else sending, "doc_id").select("doc_id", "text", "k1", "k2", "tiles", "hubs").mapInArrow(
+        grams, "bucket int, hub long, i int, j int, b int, doc_id long, hubs array<long>, grams binary"
     )
-    sent = sent.dropDuplicates(["h1", "h2", "i", "j", "doc_id"]) if described.count() != described.select("doc_id").distinct().count() else sent
+    release(spark)
     return compare(sent, threshold), same
 
 
 def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """All pairs of documents with Jaccard at least threshold: doc_a < doc_b, jaccard (6 places)."""
     pairs, same = join_sets(docs, n, threshold)
-    left = same.select(F.col("rep").alias("doc_a"), F.col("docs").alias("a"))
-    right = same.select(F.col("rep").alias("doc_b"), F.col("docs").alias("b"))
-    across = pairs.join(left, "doc_a").join(right, "doc_b").select(F.explode("a").alias("a"), "b", "jaccard").select("a", F.explode("b").alias("b"), "jaccard")
+    # Most sets belong to one document; only the others are joined, so pairs stay where they are if these are few.
+    several = written(same.where(F.size("docs") > 1).select("rep", "docs"), "jaccard-copies")
+    if (several.agg(F.sum(F.size("docs"))).first()[0] or 0) <= 10 * BROADCAST_ROWS:
+        several = F.broadcast(several)
+    a = several.select(F.col("rep").alias("doc_a"), F.col("docs").alias("a"))
+    b = several.select(F.col("rep").alias("doc_b"), F.col("docs").alias("b"))
+    across = pairs.join(a, "doc_a", "left").join(b, "doc_b", "left")
+    across = across.select(F.explode(F.coalesce("a", F.array("doc_a"))).alias("a"), F.coalesce("b", F.array("doc_b")).alias("b"), "jaccard").select("a", F.explode("b").alias("b"), "jaccard")
     across = across.select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b"), "jaccard")
     within = same.where(F.size("docs") > 1).select(F.explode("docs").alias("doc_a"), "docs").select("doc_a", F.explode(F.filter("docs", lambda d: d > F.col("doc_a"))).alias("doc_b"), F.lit(1.0).alias("jaccard"))
     return across.unionByName(within)
