@@ -6,13 +6,14 @@
    a random test matrix.  Tasks send sums per block of terms, so what reaches
    the driver has the size of the term space, whatever the corpus.  The
    Nystroem form of the randomised SVD turns it into a latent basis.
-3. A third scan embeds windows of every document, at the scales of the items
-   and every 8 words, and takes windows whose cosine with an item passes the
-   item's threshold.  Thresholds come from disturbed copies of the items: words
-   replaced, boundaries shifted.  Candidates are then checked word by word: the
-   longest common subsequence with the item, bit-parallel over all candidates
-   at once, and the share of the answer (the last quarter of the item's words)
-   that is found in order.
+3. A third scan takes windows of every document, at the scales of the items and
+   every 8 words.  A common subsequence is at most the item's places of its
+   frequent words plus the window's words among its other ones, so a window
+   with fewer of those than ``weak`` leaves room for can't leak the item; all
+   others are checked word by word: the longest common subsequence with the item,
+   bit-parallel over all candidates at once, and the share of the answer (the
+   last quarter of the item's words) that is found in order.  The sieve loses
+   nothing that the check would accept.  Leaks get their latent cosine.
 
 A document leaks an item if their subsequence covers ``strong`` of the item, or
 ``weak`` of it with at least half of the answer.
@@ -45,6 +46,9 @@ STRONG, WEAK, ANSWER = 0.75, 0.6, 0.5
 ROWS = 512
 _BLOCKS = 16
 DENSE = 256
+CHUNK = 256
+#: The share of a text's words that an item's most frequent term is taken to have; only the sieve's speed hangs on it.
+FREQUENT = 0.1
 TABLE = 1 << 24
 SCHEMA = "doc_id long, item_id long, cosine double, overlap double, answer double, first_word long"
 
@@ -143,6 +147,7 @@ class Items:
     vectors: np.ndarray
     scale: np.ndarray
     least: np.ndarray
+    rare: list[np.ndarray]
     vocabulary: np.ndarray
     keys: np.ndarray
     masks: np.ndarray
@@ -153,8 +158,27 @@ def _key(word: np.ndarray, item) -> np.ndarray:
     return K.mix(word ^ K.mix(np.atleast_1d(np.asarray(item, np.uint64)) + np.uint64(1)))
 
 
-def prepare(benchmark: DataFrame, latent: np.ndarray, seed: int = 5, trials: int = 24) -> Items:
-    """Embeds all items and fits their thresholds; the benchmark comes to the driver as a whole."""
+def _rare(part: np.ndarray, need: int, idf: np.ndarray) -> tuple[np.ndarray, int]:
+    """The item's words that the sieve counts, and how many a window has to have of them.
+
+    The most frequent words are left out as long as that makes chance hits less likely (Chernoff's bound for a Poisson
+    count); each of their places counts as matched, so any choice is lossless.
+    """
+    unique, times = np.unique(part, return_counts=True)
+    rate = np.exp(-idf[_terms(unique)])
+    order = np.argsort(-rate, kind="stable")
+    unique, times, rate = unique[order], times[order], rate[order] * (FREQUENT / rate.max())
+    mean = (-(-len(part) // STEP) + 2) * STEP * np.maximum(np.append(np.cumsum(rate[::-1])[::-1], 0), 1e-9)
+    least = need - np.append(0, np.cumsum(times))
+    able = np.flatnonzero(least > 0)
+    mean, least = mean[able], least[able]
+    chance = np.where(least > mean, least - mean + least * np.log(mean / least), 0)
+    best = int(np.argmin(chance))
+    return unique[best:], int(least[best])
+
+
+def prepare(benchmark: DataFrame, latent: np.ndarray, share: float = WEAK, idf: np.ndarray | None = None) -> Items:
+    """Embeds all items and fits their sieves to leaks of at least share; the benchmark comes to the driver as a whole."""
     table = benchmark.where("item_id is not null and text is not null").select("item_id", "text").orderBy("item_id", "text").toArrow()
     w, counts = K.words(table.column("text").combine_chunks() if table.num_rows else pa.array([], pa.string()), "plain")
     ids, words = [], []
@@ -163,21 +187,14 @@ def prepare(benchmark: DataFrame, latent: np.ndarray, seed: int = 5, trials: int
         for part in np.array_split(w[end - n : end], pieces) if n >= LEAST_WORDS else ():
             ids.append(i)
             words.append(part)
-    rng = np.random.default_rng(seed)
-    vectors, least = [], []
+    idf = np.zeros(1 << TERM_BITS) if idf is None else idf
+    vectors, rare, least = [], [], []
     for part in words:
         v = latent[_terms(part)].sum(axis=0)
         vectors.append(v / max(np.linalg.norm(v), 1e-9))
-        scale = -(-len(part) // STEP) * STEP
-        worst = 1.0
-        for _ in range(trials):
-            other = w[rng.integers(0, len(w), scale + 2 * STEP)]
-            copy = np.where(rng.random(len(part)) < 0.15, w[rng.integers(0, len(w), len(part))], part)
-            shift = int(rng.integers(-STEP // 2, STEP // 2 + 1))
-            whole = np.concatenate((other[:STEP], copy, other[STEP:]))[STEP + shift : STEP + shift + scale]
-            u = latent[_terms(whole)].sum(axis=0)
-            worst = min(worst, float(u @ vectors[-1]) / max(float(np.linalg.norm(u)), 1e-9))
-        least.append(worst - 0.03)
+        own, count = _rare(part, max(1, int(np.ceil(share * len(part) - 1e-9))), idf)
+        rare.append(own)
+        least.append(count)
     keys, masks = [], []
     for i, part in enumerate(words):
         unique, where = np.unique(part, return_inverse=True)
@@ -196,7 +213,7 @@ def prepare(benchmark: DataFrame, latent: np.ndarray, seed: int = 5, trials: int
             np.bitwise_or.at(table[i], np.searchsorted(vocabulary, part), np.uint64(1) << np.arange(len(part), dtype=np.uint64))
     return Items(
         np.array(ids, np.int64), words, np.array(vectors, np.float32).reshape(-1, latent.shape[1]), np.array([-(-len(x) // STEP) for x in words], np.int64),
-        np.array(least), vocabulary, keys[order], (np.concatenate(masks) if masks else np.zeros(0, np.uint64))[order], table,
+        np.array(least, np.int64), [np.searchsorted(vocabulary, x) for x in rare], vocabulary, keys[order], (np.concatenate(masks) if masks else np.zeros(0, np.uint64))[order], table,
     )
 
 
@@ -235,44 +252,73 @@ def common(items: Items, words: np.ndarray, own: np.ndarray | None, starts: np.n
     return np.bitwise_count(~state & mine) / m, np.bitwise_count(~state_late & late) / tail
 
 
+def _sieve(items: Items, own: np.ndarray, first: np.ndarray, size: np.ndarray, low: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Blocks and items of all windows that have words enough of the item.
+
+    own: the words' columns in the vocabulary. first, size: each block's first word and words. low, stop: the blocks of its text.
+    """
+    last, order = len(items.vocabulary), np.argsort(items.scale, kind="stable")
+    blocks, found = np.arange(len(first)), []
+    before = np.maximum(blocks - 1, low)
+    for at in range(0, len(order), CHUNK):
+        mine = order[at : at + CHUNK]
+        word = np.concatenate([items.rare[i] for i in mine])
+        used = np.unique(word)
+        # A row per word of these items, and a last one for all other words.
+        row = np.full(last + 1, len(used))
+        row[used] = np.arange(len(used))
+        has = np.zeros((len(used) + 1, len(mine)), np.uint8)
+        has[row[word], np.repeat(np.arange(len(mine)), [len(items.rare[i]) for i in mine])] = 1
+        place = row[own]
+        # Sums of a window are small: differences hold though the running sums wrap around.
+        total = np.zeros((len(first) + 1, len(mine)), np.uint16)
+        block = has[place[first]]
+        for k in range(1, STEP):
+            block += has[place[np.where(k < size, first + k, len(own) - 1)]]
+        np.cumsum(block, axis=0, dtype=np.uint16, out=total[1:])
+        scale = items.scale[mine]
+        for q in np.unique(scale):
+            s = slice(*np.searchsorted(scale, [q, q + 1]))
+            count = total[np.minimum(blocks + q + 1, stop), s] - total[before, s]
+            b, i = np.nonzero(count >= items.least[mine[s]].astype(np.uint16))
+            found.append((b, mine[s][i]))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _cosine(latent: np.ndarray, items: Items, term: np.ndarray, start: np.ndarray, end: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """The latent cosine of each window term[start:end] with its item."""
+    total = np.zeros((len(item), latent.shape[1]))
+    for k in range(int((end - start).max(initial=0))):
+        live = start + k < end
+        total[live] += latent[term[start[live] + k]]
+    return np.einsum("ij,ij->i", total, items.vectors[item]) / np.maximum(np.sqrt(np.einsum("ij,ij->i", total, total)), 1e-9)
+
+
 def _search(texts: pa.Array, items: Items, latent: np.ndarray, strong: float, weak: float):
     """doc, item, cosine, overlap, answer, first word of the best leak of every document and item."""
     w, counts = K.words(texts, "plain")
     blocks = -(-counts // STEP)
     doc = np.repeat(np.arange(len(counts)), blocks)
     base = np.cumsum(counts) - counts
-    number = np.arange(len(doc)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-    first = base[doc] + number * STEP
+    low = np.repeat(np.cumsum(blocks) - blocks, blocks)
+    first = base[doc] + (np.arange(len(doc)) - low) * STEP
     none = [np.zeros(0, np.int64)] * 2 + [np.zeros(0)] * 3 + [np.zeros(0, np.int64)]
     if not len(first) or not len(items.ids):
         return none
-    term = np.append(_terms(w), 0)
-    size = np.minimum(STEP, base[doc] + counts[doc] - first)
-    sums = latent[term[first]]
-    for k in range(1, STEP):
-        sums += latent[term[np.where(k < size, first + k, len(w))]] * (k < size)[:, None]
-    total = np.concatenate((np.zeros((1, sums.shape[1])), np.cumsum(sums, axis=0, dtype=np.float64)))
-    stop = np.repeat(np.cumsum(blocks), blocks)
-    found = []
-    for q in np.unique(items.scale):
-        mine = np.flatnonzero(items.scale == q)
-        window = (total[np.minimum(np.arange(len(doc)) + q, stop)] - total[:-1]).astype(np.float32)
-        window /= np.maximum(np.sqrt(np.einsum("ij,ij->i", window, window)), 1e-9)[:, None]
-        cosine = window @ items.vectors[mine].T
-        b, i = np.divmod(np.flatnonzero(cosine >= items.least[mine].astype(np.float32)), len(mine))
-        found.append((b, mine[i], cosine[b, i], np.full(len(b), q)))
-    b, item, cosine, q = (np.concatenate(x) for x in zip(*found))
+    own = columns(items, w)
+    b, item = _sieve(items, own, first, np.minimum(STEP, base[doc] + counts[doc] - first), low, np.repeat(np.cumsum(blocks), blocks))
     if not len(b):
         return none
+    q = items.scale[item]
     start = np.maximum(first[b] - STEP, base[doc[b]])
     end = np.minimum(first[b] + (q + 1) * STEP, base[doc[b]] + counts[doc[b]])
     overlap, answer = np.zeros(len(b)), np.zeros(len(b))
-    own = columns(items, w) if items.table is not None else None
     for at in range(0, len(b), 1 << 13):
         s = slice(at, at + (1 << 13))
         overlap[s], answer[s] = common(items, w, own, start[s], end[s] - start[s], item[s])
     leak = (overlap >= strong) | ((overlap >= weak) & (answer >= ANSWER))
-    b, item, cosine, overlap, answer = (x[leak] for x in (b, item, cosine, overlap, answer))
+    b, item, q, overlap, answer = (x[leak] for x in (b, item, q, overlap, answer))
+    cosine = _cosine(latent, items, _terms(w), first[b], np.minimum(first[b] + q * STEP, base[doc[b]] + counts[doc[b]]), item)
     d, ids, place = doc[b], items.ids[item], first[b] - base[doc[b]]
     order = np.lexsort((place, -cosine, -overlap, ids, d))
     d, ids = d[order], ids[order]
@@ -281,16 +327,16 @@ def _search(texts: pa.Array, items: Items, latent: np.ndarray, strong: float, we
     return [d[best], ids[best], *[x[order][best] for x in (cosine, overlap, answer, place)]]
 
 
-def _model(docs: DataFrame, benchmark: DataFrame):
+def _model(docs: DataFrame, benchmark: DataFrame, share: float):
     idf = weigh(docs)
     v = basis(docs, idf)
     latent = v * idf[:, None].astype(np.float32)
-    return docs.sparkSession.sparkContext.broadcast((prepare(benchmark, latent), latent))
+    return docs.sparkSession.sparkContext.broadcast((prepare(benchmark, latent, share, idf), latent))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, strong: float = STRONG, weak: float = WEAK) -> DataFrame:
     """A row per document and leaked item: doc_id, item_id, cosine, overlap, answer, first_word."""
-    shared = _model(docs, benchmark)
+    shared = _model(docs, benchmark, min(strong, weak))
 
     def run(batches):
         items, latent = shared.value
@@ -308,7 +354,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, strong: float = STRONG, weak: f
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, strong: float = STRONG, weak: float = WEAK) -> DataFrame:
     """The rows of docs that leak no item, with all their columns, without a join."""
-    shared = _model(docs, benchmark)
+    shared = _model(docs, benchmark, min(strong, weak))
 
     def run(batches):
         items, latent = shared.value

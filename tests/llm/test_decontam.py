@@ -73,3 +73,45 @@ def test_empty_inputs(spark):
     assert decontam.leaks(docs, b.limit(0)).count() == 0
     assert decontam.leaks(docs.limit(0), b).count() == 0
     assert decontam.decontaminate(docs, b.limit(0)).count() == docs.count()
+
+
+def disturbed(rng, item, how, share):
+    out = []
+    for word in item:
+        hit = rng.random() < share
+        if how == "insert" or not hit:
+            out.append(word)
+        if hit and how != "delete":
+            out += words(rng, 1)
+    return out
+
+
+def accepted(doc, item):
+    """Whether any window of the document, of the item's length rounded up and a step more on both sides, leaks the item."""
+    step, late = decontam.STEP, item[len(item) - max(1, len(item) // 4) :]
+    for at in range(0, len(doc), step):
+        window = doc[max(0, at - step) : at + (-(-len(item) // step) + 1) * step]
+        share = lcs(window, item) / len(item)
+        if share >= decontam.STRONG or share >= decontam.WEAK and lcs(window, late) / len(late) >= decontam.ANSWER:
+            return True
+    return False
+
+
+def test_strongly_changed_copies_are_found_as_by_a_scan_of_all_windows(spark):
+    rng = random.Random(8)
+    often = ["the", "of", "and", "to"]
+    text = lambda n: [rng.choice(often) if rng.random() < 0.3 else x for x in words(rng, n)]
+    items = [text(n) for n in (12, 18, 25, 36, 50, 62)]
+    docs = [text(100) for _ in range(10)]
+    for how in ("replace", "delete", "insert"):
+        for share in (0.25, 0.3, 0.35, 0.4):
+            for item in items:
+                doc = text(90)
+                at = rng.randint(0, 90)
+                doc[at:at] = disturbed(rng, item, how, share)
+                docs.append(doc)
+    expected = {(d, i) for d, doc in enumerate(docs) for i, item in enumerate(items) if accepted(doc, item)}
+    assert len(expected) > 40
+    b = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    d = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(docs)], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontam.leaks(d, b).collect()} == expected
