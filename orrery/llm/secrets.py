@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 
 from .common import maybe_broadcast, written
 
-ASSIGNED = r"(?:password|passwd|secret|token|api_?key)(?: = |=|: )\"?([A-Za-z0-9_\-+/]{12,64})"
+#: A name in any case, quoted or not, and = or : (also :=, =>) with any blanks on the line around it.
+NAMED = r"(?i:password|passwd|pwd|(?:secret|token|api[_-]?key)(?:[_-]?(?:access[_-]?)?key)?)[\"']?[ \t]*(?::=|=>|=|:)[ \t]*[\"']?"
+ASSIGNED = NAMED + r"([A-Za-z0-9_\-+/]{12,64})"
 KNOWN = r"((?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,48}|xox[abprs]-[0-9A-Za-z-]{10,48}|AIza[0-9A-Za-z_\-]{35})"
 CANDIDATE = f"{ASSIGNED}|{KNOWN}"
 MAX_OWNERS = 3
@@ -29,6 +31,12 @@ MIN_DISTINCT = 8
 BROADCAST_ROWS = 100_000
 FILLER = r"(0000|1111|xxxx|XXXX|aaaa|1234)"
 
+#: What the SQL matches: the narrower patterns that it was written with.
+_SQL_ASSIGNED = r"(?:password|passwd|secret|token|api_?key)(?: = |=|: )\"?([A-Za-z0-9_\-+/]{12,64})"
+_SQL_KNOWN = r"((?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,48}|xox[abprs]-[0-9A-Za-z-]{10,48}|AIza[0-9A-Za-z_\-]{35})"
+_SQL_CANDIDATE = f"{_SQL_ASSIGNED}|{_SQL_KNOWN}"
+_SQL_FILLER = r"(0000|1111|xxxx|XXXX|aaaa|1234)"
+
 
 def candidates(docs: DataFrame, owner: Column, repository: Column) -> DataFrame:
     """One row per document and secret: doc_id, owner, repository, secret, n."""
@@ -79,12 +87,12 @@ def redact(docs: DataFrame, mask: str = "[SECRET]", **options) -> DataFrame:
 ORACLE = f"""
 WITH c AS (
   SELECT doc_id, coalesce(source, '') AS owner, coalesce(source, '') || '/' || coalesce(lang, '') AS repository,
-         unnest(list_transform(list_zip(regexp_extract_all(text, '{CANDIDATE}', 1), regexp_extract_all(text, '{CANDIDATE}', 2)),
+         unnest(list_transform(list_zip(regexp_extract_all(text, '{_SQL_CANDIDATE}', 1), regexp_extract_all(text, '{_SQL_CANDIDATE}', 2)),
                                lambda z: CASE WHEN coalesce(z[1], '') <> '' THEN z[1] ELSE z[2] END)) AS secret
   FROM documents),
 r AS (
   SELECT doc_id, owner, repository, sha256(secret) AS secret_hash, count(*) AS n,
-         len(list_distinct(string_split(secret, ''))) >= {MIN_DISTINCT} AND NOT regexp_matches(secret, '{FILLER}') AS is_random
+         len(list_distinct(string_split(secret, ''))) >= {MIN_DISTINCT} AND NOT regexp_matches(secret, '{_SQL_FILLER}') AS is_random
   FROM c GROUP BY doc_id, owner, repository, secret),
 o AS (
   SELECT secret_hash, count(DISTINCT doc_id) AS n_docs, count(DISTINCT repository) AS n_repositories, count(DISTINCT owner) AS n_owners

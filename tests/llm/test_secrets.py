@@ -26,3 +26,16 @@ def test_redaction_masks_live_secrets_only_and_keeps_all_rows(spark):
     assert LIVE not in out[10].text and out[10].text.count("[SECRET]") == 2 and out[10].n_chars == len(out[10].text)
     assert "9f8e7d6c5b4a39281706" in out[0].text and out[11].text is None
     assert secrets.scan(df.limit(0)).count() == 0
+
+
+def found_in(spark, texts):
+    df = spark.createDataFrame([(i, t, "en", f"s{i}", len(t), None) for i, t in enumerate(texts)], COLUMNS)
+    return {r.doc_id for r in secrets.scan(df).collect()}, {r.doc_id: r.text for r in secrets.redact(df).collect()}
+
+
+def test_names_in_any_case_and_all_ways_to_assign(spark):
+    ways = ['TOKEN = "{}"', "PASSWORD={}", "API_KEY={}", "SECRET_KEY: {}", '{{"token": "{}"}}', "token = '{}'", "token:{}", "token  =  {}", "Api-Key : {}", "passwd\t=\t{}", "password => '{}'", "{{'secret': '{}'}}"]
+    texts = [w.format(f"{i:02}" + LIVE[2:]) for i, w in enumerate(ways)]
+    found, masked = found_in(spark, texts + ["the token is long", "tokens: none"])
+    assert found == set(range(len(ways)))
+    assert all(LIVE[2:] not in masked[i] for i in found)
