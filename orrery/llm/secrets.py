@@ -23,8 +23,11 @@ from .common import maybe_broadcast, written
 
 #: A name in any case, quoted or not, and = or : (also :=, =>) with any blanks on the line around it.
 NAMED = r"(?i:password|passwd|pwd|(?:secret|token|api[_-]?key)(?:[_-]?(?:access[_-]?)?key)?)[\"']?[ \t]*(?::=|=>|=|:)[ \t]*[\"']?"
-ASSIGNED = NAMED + r"([A-Za-z0-9_\-+/]{12,64})"
-KNOWN = r"((?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,48}|xox[abprs]-[0-9A-Za-z-]{10,48}|AIza[0-9A-Za-z_\-]{35})"
+#: A value begins with twelve plain characters and ends at its closing quote, or unquoted before a blank or delimiter, without marks that end sentences.
+_START = r"[A-Za-z0-9_\-+/]{12,}+"
+VALUE = rf"(?<=\"){_START}[^\"\r\n]*+(?=\")|(?<='){_START}[^'\r\n]*+(?=')|{_START}(?:[A-Za-z0-9_\-+/=.~!@#$%^*:?|]*[A-Za-z0-9_\-+/=~@#$%^*|])?"
+ASSIGNED = f"{NAMED}({VALUE})"
+KNOWN = r"((?:AKIA|ASIA)[0-9A-Z]{16}[0-9A-Za-z]*+|gh[pousr]_[0-9A-Za-z]{36,}+|sk-[0-9A-Za-z]{20,}+[0-9A-Za-z_\-]*+|xox[abprs]-[0-9A-Za-z-]{10,}+|AIza[0-9A-Za-z_\-]{35,}+)"
 CANDIDATE = f"{ASSIGNED}|{KNOWN}"
 MAX_OWNERS = 3
 MIN_DISTINCT = 8
