@@ -6,7 +6,8 @@ counted over the whole corpus by distinct repositories (``source`` and ``lang``
 together by default) and distinct owners (``source``).  A candidate that more
 than ``max_owners`` owners have is a widely copied example; one that few owners
 have is live-looking if it is also random enough: at least ``min_distinct``
-different characters and no filler run of one character.
+different characters, and at most a third of it in runs of one character or of
+counted digits (1234...).
 
 Results for odd input: a null or empty text has no candidates; a null source or
 lang counts as one unknown owner or repository of its own; a secret that occurs
@@ -32,7 +33,9 @@ CANDIDATE = f"{ASSIGNED}|{KNOWN}"
 MAX_OWNERS = 3
 MIN_DISTINCT = 8
 BROADCAST_ROWS = 100_000
-FILLER = r"(0000|1111|xxxx|XXXX|aaaa|1234)"
+#: Runs of one character and of counted digits; a value of which they cover more than FILLED is filler.
+FILLER = r"(.)\1{3,}|0?1234(?:5(?:6(?:7(?:8(?:90?)?)?)?)?)?"
+FILLED = 1 / 3
 
 #: What the SQL matches: the narrower patterns that it was written with.
 _SQL_ASSIGNED = r"(?:password|passwd|secret|token|api_?key)(?: = |=|: )\"?([A-Za-z0-9_\-+/]{12,64})"
@@ -52,12 +55,18 @@ def candidates(docs: DataFrame, owner: Column, repository: Column) -> DataFrame:
     return found.select("doc_id", "owner", "repository", F.explode(either).alias("secret")).groupBy("doc_id", "owner", "repository", "secret").agg(F.count("*").alias("n"))
 
 
+def is_random(secret: Column, min_distinct: int = MIN_DISTINCT) -> Column:
+    """Whether a value has characters enough and isn't mostly filler."""
+    rest = F.length(F.regexp_replace(secret, FILLER, ""))
+    return (F.size(F.array_distinct(F.split(secret, ""))) >= min_distinct) & (rest >= F.length(secret) * (1 - FILLED))
+
+
 def scan(docs: DataFrame, owner: str = "source", repository: tuple[str, ...] = ("source", "lang"), max_owners: int = MAX_OWNERS, min_distinct: int = MIN_DISTINCT) -> DataFrame:
     """doc_id, secret_hash, n, n_docs, n_repositories, n_owners, live: a row per document and candidate."""
     where = F.concat_ws("/", *[F.coalesce(F.col(c), F.lit("")) for c in repository])
     rows = candidates(docs, F.col(owner), where).select(
         "doc_id", "owner", "repository", "n", F.sha2("secret", 256).alias("secret_hash"),
-        ((F.size(F.array_distinct(F.split("secret", ""))) >= min_distinct) & ~F.col("secret").rlike(FILLER)).alias("is_random"),
+        is_random(F.col("secret"), min_distinct).alias("is_random"),
     )
     # The few candidates are used twice; the documents are read once.
     rows = written(rows, "secrets-candidates")

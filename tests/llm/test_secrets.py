@@ -53,3 +53,10 @@ def test_whole_values_are_hashed_and_masked(spark):
     assert hashes == {i: hashlib.sha256(v.encode()).hexdigest() for i, v in enumerate(values.values())}
     masked = {r.doc_id: r.text for r in secrets.redact(df).collect()}
     assert masked == {i: t.replace(v, "[SECRET]") for i, (t, v) in enumerate(values.items())}
+
+
+def test_a_short_run_does_not_make_a_random_value_filler(spark):
+    live = ["8249aa8292c8e2d7dc8d8b760c301111bee22a2c", "9f1234b7c0d2e8a6415b3c7d90e2f8a1b6c4d5e7", "d7c0000fa93b61e85d2c4b7f90a1e6358c2d4b7a"]
+    filler = ["1234567890123456", "xxxxxxxxXXXXXXXX-key", "0000000000001234abcdefgh", "aaaabbbbccccddddeeeeffffgggghhhh"]
+    df = spark.createDataFrame([(i, f'token = "{t}"', "en", f"s{i}", 0, None) for i, t in enumerate(live + filler)], COLUMNS)
+    assert {r.doc_id: r.live for r in secrets.scan(df).collect()} == {i: i < len(live) for i in range(len(live + filler))}
