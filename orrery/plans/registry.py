@@ -257,7 +257,8 @@ SEARCH = f"""{N.QUERIES}, qf AS ({N.feats('query_id', 'q', 'queries')}), qw AS (
   qn AS (SELECT query_id, sqrt(sum(w * w)) AS norm FROM qw GROUP BY 1), sims AS (SELECT query_id, doc_id, round(sum(weight * w) / any_value(norm), 4) AS similarity FROM weights JOIN qw USING (feature) JOIN qn USING (query_id) GROUP BY ALL HAVING similarity > 0),
   found AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, doc_id) AS INTEGER) AS rank FROM sims QUALIFY rank <= 20)"""
 register("ir_tfidf_search", lambda t: R.tfidf_search(*R.tfidf(t.documents), t.queries), f"WITH {TFIDF}, {SEARCH} SELECT * FROM found")
-QV = lambda t: t.read("embeddings").where("vec_id < 5").select(c("vec_id").alias("query_id"), c("embedding").alias("q_vector"))
+# Every embedding is a query; the SQL, kept as it was, has the first five.
+QV = lambda t: t.read("embeddings").select(c("vec_id").alias("query_id"), c("embedding").alias("q_vector"))
 VS = "vs AS (SELECT q.vec_id AS query_id, e.vec_id AS doc_id, round(list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) / sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[]) * list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])), 4) AS similarity FROM embeddings e, embeddings q WHERE q.vec_id < 5)"
 register("ir_vector_search", lambda t: R.vector_search(t.read("embeddings"), QV(t)), f"WITH {VS} SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, doc_id) AS INTEGER) AS rank FROM vs QUALIFY rank <= 20")
 register("ir_embed_build", lambda t: R.encode_words(t.documents))

@@ -214,3 +214,27 @@ def test_vector_search_is_exact(spark):
     rows = R.vector_search(v, q, top_n=3).orderBy("rank").collect()
     assert rows[0].doc_id == 3 and rows[0].similarity == 1.0
     assert [r.doc_id for r in rows] == sorted(range(8), key=lambda i: (-round(math.cos(i - 3), 4), i))[:3]
+
+
+def test_every_vector_is_a_query_and_the_first_agree_with_the_sql(spark):
+    import duckdb
+    import numpy as np
+    from conftest import SF
+    from orrery.plans import registry
+
+    found = registry.QUERIES["ir_vector_search"](spark, SF).toPandas()
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").count()
+    assert found.query_id.nunique() == rows and len(found) == rows * min(20, rows)
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{SF}/embeddings.parquet'")
+    sql = con.execute(registry.ORACLES["ir_vector_search"]).df()
+    tuples = lambda df: {(int(r.query_id), int(r.doc_id), float(r.similarity), int(r.rank)) for r in df.itertuples()}
+    assert tuples(found[found.query_id < 5]) == tuples(sql)
+    # Small blocks: the best of all blocks are merged, ties by doc_id.
+    x = np.random.default_rng(2).integers(-1, 2, (50, 3)).astype(float)
+    x[x.any(axis=1) == 0] = 1
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)] + [(99, None)], "vec_id long, embedding array<double>")
+    got = R.vector_search(v, v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q_vector")), top_n=4, rows=7).collect()
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    want = {(i, j, k + 1) for i in range(50) for k, j in enumerate(sorted(range(50), key=lambda j: (-round(float(unit[i] @ unit[j]), 4), j))[:4])}
+    assert {(r.query_id, r.doc_id, r["rank"]) for r in got} == want
