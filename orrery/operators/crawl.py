@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
-from .graph import _cut
+from ..session import written
 
 
 def admit(links: DataFrame, visited: DataFrame, domains: list[str] | None, depth_below: int = 4, budget: int | None = None) -> DataFrame:
@@ -24,11 +24,11 @@ def admit(links: DataFrame, visited: DataFrame, domains: list[str] | None, depth
 
 def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int = 2, max_pages: int | None = None) -> DataFrame:
     """node, depth: breadth-first levels from the seeds, one join and one anti-join a level."""
-    seen = _cut(seeds.select("node", F.lit(0).alias("depth")).distinct())
+    seen = written(seeds.select("node", F.lit(0).alias("depth")).distinct(), "level")
     front = seen
     for d in range(1, max_depth + 1):
         level = front.join(edges.select(F.col("src").alias("node"), "dst"), "node").select(F.col("dst").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
-        front = _cut(level.select("node", F.lit(d).alias("depth")))
+        front = written(level.select("node", F.lit(d).alias("depth")), "level")
         if front.isEmpty():
             break
         seen = seen.unionByName(front)

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import dropped, written
+
 
 def link_graph(pages: DataFrame) -> DataFrame:
     """src, dst from pages(doc_id, url, links): links to known URLs, each once, no loops; of equal URLs the last document counts."""
@@ -16,36 +15,27 @@ def link_graph(pages: DataFrame) -> DataFrame:
     return out.join(urls, "url").where("src <> dst").select("src", "dst").distinct()
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder, so that lineage does not grow and no executor's loss matters."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
-    path = f"{base}/orrery-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def pagerank(edges: DataFrame, nodes: DataFrame | None = None, damping: float = 0.85, rounds: int = 20, least: float | None = 1e-6, cut_every: int = 5) -> DataFrame:
     """doc_id, score: ranks divided by the greatest (6 places). Pages without links leak their rank.
 
     Every round is one co-partitioned join and one aggregation; lineage is cut by a
     written table.  With ``least`` the loop ends when the ranks move by less.
     """
-    edges = _cut(edges.select("src", "dst"))
+    edges = written(edges.select("src", "dst"), "edges")
     if nodes is None:
         nodes = edges.select(F.col("src").alias("doc_id")).unionByName(edges.select(F.col("dst").alias("doc_id")))
-    nodes = _cut(nodes.select("doc_id").distinct())
+    nodes = written(nodes.select("doc_id").distinct(), "nodes")
     n = nodes.count()
     if not n:
         return nodes.select("doc_id", F.lit(0.0).alias("score"))
     degrees = edges.groupBy("src").agg(F.count("*").alias("degree"))
-    moves = _cut(edges.join(degrees, "src"))
+    moves = written(edges.join(degrees, "src"), "moves")
     ranks = nodes.select("doc_id", F.lit(1.0 / n).alias("r"))
     for i in range(1, rounds + 1):
         gifts = moves.join(ranks.select(F.col("doc_id").alias("src"), "r"), "src").groupBy(F.col("dst").alias("doc_id")).agg(F.sum(F.col("r") / F.col("degree")).alias("got"))
         new = nodes.join(gifts, "doc_id", "left").select("doc_id", ((1 - damping) / n + damping * F.coalesce("got", F.lit(0.0))).alias("r"))
         if i % cut_every == 0 or i == rounds:
-            old, ranks = ranks, _cut(new)
+            old, ranks = ranks, written(new, "ranks")
             # The stop test costs a pass, so it is made where the ranks are at rest anyway.
             if least is not None and i < rounds:
                 moved = ranks.join(old.withColumnRenamed("r", "o"), "doc_id").agg(F.sum(F.abs(F.col("r") - F.col("o")))).first()[0]

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,13 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import urls as U
 from ..functions.text import ENGLISH, LOG_STOPWORDS, STOPWORDS
 from ..operators import index as I
-from ..session import importable
-
-
-def folder(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
-    return f"{base}/orrery-{name}-{uuid.uuid4().hex}"
+from ..session import importable, scratch
 
 
 class Inputs:

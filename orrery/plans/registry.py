@@ -19,6 +19,7 @@ from ..operators import rank as R
 from ..operators import sketch as SK
 from ..operators import suggest as SG
 from ..sources import tables as TB
+from ..session import scratch
 from ..streaming import live as LV
 from . import inputs as N
 from .inputs import Inputs
@@ -47,7 +48,7 @@ register("src_logs", lambda t: t.query_log.orderBy("timestamp", "id"), f"WITH {N
 
 
 def _json_pages(t: Inputs) -> DataFrame:
-    path = N.folder(t.spark, "pages")
+    path = scratch(t.spark, "pages")
     docs = t.page_docs.withColumn("text", F.lit("")).withColumn("links", F.array().cast("array<string>"))
     TB.write_pages(docs, path)
     return TB.json_pages(t.spark, path, whole_files=False).select("doc_id", "url", "title")
@@ -57,7 +58,7 @@ register("src_json_pages", _json_pages, f"WITH {N.PDOCS} SELECT doc_id, url, tit
 
 
 def _index_round(t: Inputs) -> DataFrame:
-    path = N.folder(t.spark, "index")
+    path = scratch(t.spark, "index")
     TB.write_index(t.postings, path)
     return TB.index(t.spark, path)
 
@@ -66,7 +67,7 @@ register("src_inverted_index", _index_round, f"WITH {N.POST} SELECT term, doc_id
 
 
 def _metrics_round(t: Inputs) -> DataFrame:
-    path = N.folder(t.spark, "metrics")
+    path = scratch(t.spark, "metrics")
     kind = F.when(c("status") == "blocked", "queue").otherwise("fetch")
     t.crawl_log.select(kind.alias("type"), "domain", F.round("duration_ms", 1).alias("duration_ms"), "status", c("depth").cast("long").alias("depth"), (F.unix_micros("timestamp") / 1e6).alias("ts")).write.json(path)
     return TB.metrics(t.spark, path).groupBy("domain", "status").agg(F.count("*").alias("n"), F.round(F.sum("duration_ms"), 1).alias("ms"))
@@ -361,7 +362,7 @@ register("cr_delay", lambda t: C.polite_times(t.crawl_log, 30.0), f"WITH {N.WLOG
 
 
 def _kept(t: Inputs, name: str, df: DataFrame) -> DataFrame:
-    path = N.folder(t.spark, name)
+    path = scratch(t.spark, name)
     TB.append(df, path)
     return t.spark.read.schema(df.schema).parquet(path)
 
@@ -370,13 +371,13 @@ register("src_pagerank", lambda t: TB.ranks(t.spark, _saved_ranks(t)), ORACLES["
 
 
 def _saved_ranks(t: Inputs) -> str:
-    path = N.folder(t.spark, "ranks")
+    path = scratch(t.spark, "ranks")
     TB.append(G.pagerank(t.edges, least=None), path)
     return path
 
 
 def _json(t: Inputs, name: str, df: DataFrame) -> DataFrame:
-    path = N.folder(t.spark, name)
+    path = scratch(t.spark, name)
     TB.write_json(df, path)
     return t.spark.read.schema(df.schema).json(path)
 
@@ -389,7 +390,7 @@ register("snk_vectors", lambda t: _kept(t, "vectors", t.read("embeddings").selec
 
 
 def _snapshot(t: Inputs) -> DataFrame:
-    path = N.folder(t.spark, "snapshot")
+    path = scratch(t.spark, "snapshot")
     TB.save_snapshot(t.pages.select("url", (c("page_id") % 4).alias("depth")), t.pages.select("url"), path)
     return TB.load_snapshot(t.spark, path)[0]
 

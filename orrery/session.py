@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
+_used: set[str] = set()
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def importable(spark: SparkSession) -> SparkSession:
@@ -17,3 +22,63 @@ def importable(spark: SparkSession) -> SparkSession:
     if ROOT not in parts:
         env["PYTHONPATH"] = os.pathsep.join([*parts, ROOT])
     return spark
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _clean(spark: SparkSession, base: str) -> None:
+    try:
+        if spark.sparkContext._jsc is not None:
+            _delete(spark, base)
+    except Exception:  # noqa: BLE001 - the session may have ended without us
+        pass
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """This application's own folder below the one that all executors share, spark.checkpoint.dir; it goes when Python ends.
+
+    Where that is unset, a local session (as in tests) gets a folder of its own and anything else an error, since no
+    machine's own folder would do there.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="orrery-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    own = f"{base}/orrery-{spark.sparkContext.applicationId}"
+    if own not in _used:
+        _used.add(own)
+        atexit.register(_clean, spark, own)
+    return own
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: lineage ends here, and a lost executor costs no recomputation."""
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    # Nothing reads this plan's shuffles once its rows are written.
+    before = spark.conf.get(_CLEAN)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables of written() that nothing still to run reads."""
+    for t in tables:
+        _delete(t.sparkSession, t.written_to)
