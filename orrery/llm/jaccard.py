@@ -1,7 +1,7 @@
 """Operator 10: exact n-gram Jaccard join by set-relation skipping.
 
 Every document is the set of its word n-grams (hashed to 53 bits).  All pairs
-with Jaccard at least ``threshold`` come out, in these steps:
+with Jaccard at least ``threshold`` are found, in these steps:
 
 1. One scan counts all grams in a fixed sketch of buckets, which gives a global
    order from rare to frequent, and a 128-bit key of every set; documents with
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import maybe_broadcast, release, shuffle_parts, small, written
+from .common import dropped, maybe_broadcast, shuffle_parts, small, written
 
 N = 3
 THRESHOLD = 0.5
@@ -42,7 +42,6 @@ SKETCH_BITS = 24
 _BLOCKS = 32
 TILE = 1024
 ROWS = 1024
-BROADCAST_ROWS = 100_000
 PER_BUCKET = 5_000
 SHORT = 48
 PART_TOKENS = 1_600_000
@@ -122,13 +121,19 @@ def describe(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
 
     levels = table.where("block is not null").select("block", "counts").groupBy("block").applyInArrow(add, "block int, level binary").orderBy("block").collect()
     level = np.concatenate([np.frombuffer(r["level"], np.uint8) for r in levels]) if levels else np.zeros(1 << SKETCH_BITS, np.uint8)
-    return table.where("doc_id is not null").select("doc_id", "k1", "k2", "size", "bits"), level
+    described = table.where("doc_id is not null").select("doc_id", "k1", "k2", "size", "bits")
+    described.written_to = table.written_to
+    return described, level
 
 
-def classes(described: DataFrame) -> DataFrame:
-    """k1, k2, rep, docs: each distinct set with its least doc_id and all of them."""
-    one = described.groupBy("doc_id").agg(F.max(F.struct("k1", "k2")).alias("k"))
-    return one.groupBy("k.k1", "k.k2").agg(F.min("doc_id").alias("rep"), F.sort_array(F.collect_list("doc_id")).alias("docs"))
+def members(described: DataFrame) -> DataFrame:
+    """doc_id, k1, k2: the one set that counts for each document."""
+    return described.groupBy("doc_id").agg(F.max(F.struct("k1", "k2")).alias("k")).select("doc_id", "k.k1", "k.k2")
+
+
+def classes(of: DataFrame) -> DataFrame:
+    """k1, k2, rep, n: each distinct set with its least doc_id and how many documents have it."""
+    return of.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
 
 
 def _prefix(size: np.ndarray, t: float) -> np.ndarray:
@@ -226,7 +231,7 @@ def star(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate(((hub[low] << 32) | low, (hub[low] << 32) | high)))
 
 
-def hubs(packed: DataFrame, t: float) -> DataFrame:
+def hubs(packed: DataFrame, t: float, parts: int) -> DataFrame:
     """hub, k1: each set (by the first half of its key) with a possible partner, and the hub where they meet."""
 
     def run(group: pa.Table) -> pa.Table:
@@ -260,7 +265,8 @@ def hubs(packed: DataFrame, t: float) -> DataFrame:
         hub, member = unique[pairs >> 32], unique[pairs & 0xFFFFFFFF]
         return pa.table([_longs(hub), _longs(member)], ["hub", "k1"])
 
-    return packed.groupBy("part").applyInArrow(run, "hub long, k1 long").distinct()
+    # A part is a task of its own: parts have like numbers of tokens, and no two of them meet by chance.
+    return packed.repartitionById(parts, "part").groupBy("part").applyInArrow(run, "hub long, k1 long").distinct()
 
 
 def merged(met: DataFrame) -> DataFrame:
@@ -301,16 +307,19 @@ def bounded(blobs: list[bytes], sizes: np.ndarray, t: float) -> tuple[np.ndarray
         same = np.flatnonzero(width == w)
         rows = np.frombuffer(b"".join(blobs[k] for k in same), np.uint64).reshape(len(same), -1)
         excess = sizes[same] - np.bitwise_count(rows).sum(axis=1, dtype=np.int64)
-        sides = [(same, rows, excess, True)]
-        half = np.flatnonzero(width == w // 2)
-        if len(half):
-            # Neighbouring buckets joined, this width's sets compare with those of half of it.
-            folded = np.packbits(np.unpackbits(rows.view(np.uint8), axis=1, bitorder="little").reshape(len(same), -1, 2).any(axis=2), axis=1, bitorder="little").view(np.uint64)
-            other = np.frombuffer(b"".join(blobs[k] for k in half), np.uint64).reshape(len(half), -1)
-            sides.append((half, other, sizes[half] - np.bitwise_count(other).sum(axis=1, dtype=np.int64), False))
-        for ids, against, spare, own in sides:
-            mine = rows if own else folded
-            extra = excess if own else sizes[same] - np.bitwise_count(folded).sum(axis=1, dtype=np.int64)
+        sides = [(same, rows, excess, True, rows)]
+        folded = rows
+        for k in range(1, max(1, math.ceil(-math.log2(t) - _EPS)) + 1):
+            # Neighbouring buckets joined, this width's sets compare with those of half of it, and so on down to the least partner.
+            if w >> k < 8:
+                break
+            folded = np.packbits(np.unpackbits(np.ascontiguousarray(folded).view(np.uint8), axis=1, bitorder="little").reshape(len(same), -1, 2).any(axis=2), axis=1, bitorder="little").view(np.uint64)
+            less = np.flatnonzero(width == w >> k)
+            if len(less):
+                other = np.frombuffer(b"".join(blobs[i] for i in less), np.uint64).reshape(len(less), -1)
+                sides.append((less, other, sizes[less] - np.bitwise_count(other).sum(axis=1, dtype=np.int64), False, folded))
+        for ids, against, spare, own, mine in sides:
+            extra = excess if own else sizes[same] - np.bitwise_count(mine).sum(axis=1, dtype=np.int64)
             for k, x in enumerate(same):
                 begin = k + 1 if own else 0
                 if begin >= len(ids):
@@ -340,8 +349,8 @@ def sieve(met: DataFrame, described: DataFrame, same: DataFrame, t: float, bucke
         return pa.table([pa.array(np.ascontiguousarray(c)) for c in rows.T], ["hub", "k1", "k2"])
 
     bits = described.groupBy("k1", "k2").agg(F.first("size").alias("size"), F.first("bits").alias("bits"))
-    rows = placed(met.join(same.select("k1", "k2"), "k1")).join(bits, ["k1", "k2"]).withColumn("bucket", F.pmod(F.xxhash64("hub", "i", "j"), F.lit(buckets)))
-    return rows.groupBy("bucket").applyInArrow(run, "hub long, k1 long, k2 long").distinct()
+    rows = placed(met.join(same.select("k1", "k2"), "k1")).join(bits, ["k1", "k2"]).withColumn("bucket", F.pmod(F.xxhash64("hub", "i", "j"), F.lit(buckets)).cast("int"))
+    return rows.repartitionById(buckets, "bucket").groupBy("bucket").applyInArrow(run, "hub long, k1 long, k2 long").distinct()
 
 
 def overlaps(members: list[np.ndarray]) -> np.ndarray:
@@ -382,7 +391,7 @@ def overlaps(members: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def compare(sent: DataFrame, t: float) -> DataFrame:
+def compare(sent: DataFrame, t: float, buckets: int) -> DataFrame:
     """doc_a, doc_b, jaccard of the distinct sets that meet at a hub."""
 
     def run(group: pa.Table) -> pa.Table:
@@ -414,21 +423,27 @@ def compare(sent: DataFrame, t: float) -> DataFrame:
             a_out, b_out, j_out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         return pa.table({"doc_a": np.concatenate(a_out).astype(np.int64), "doc_b": np.concatenate(b_out).astype(np.int64), "jaccard": np.concatenate(j_out)})
 
-    return sent.groupBy("bucket").applyInArrow(run, "doc_a long, doc_b long, jaccard double")
+    return sent.repartitionById(buckets, "bucket").groupBy("bucket").applyInArrow(run, "doc_a long, doc_b long, jaccard double")
+
 
+def join_sets(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Similar pairs of distinct sets by their least documents (doc_a < doc_b, jaccard), the distinct sets, and the set of each document.
 
-def join_sets(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """Similar pairs of distinct sets, by their least documents, and the classes of equal sets."""
+    All three are written tables, so nothing that made them runs again.
+    """
     spark = docs.sparkSession
     parts = shuffle_parts(spark)
     docs = docs.select("doc_id", "text")
     described, level = describe(docs, n)
-    same = written(classes(described), "jaccard-classes")
+    of = written(members(described), "jaccard-members")
+    same = written(classes(of), "jaccard-classes")
     # Every part repeats the set's key and size, so parts are as large as a task's memory allows, not as small as can be.
     tokens = described.agg(F.sum(F.col("size") - F.ceil(F.col("size") * threshold) + 1)).first()[0] or 0
-    met = written(hubs(send_prefixes(docs, level, n, threshold, max(1, math.ceil(tokens / PART_TOKENS))), threshold), "jaccard-hubs")
-    met = written(sieve(met, described, same, threshold, max(parts, math.ceil(met.count() / (4 * PER_BUCKET)))), "jaccard-sieved")
-    met = written(merged(met), "jaccard-merged")
+    pieces = max(1, math.ceil(tokens / PART_TOKENS))
+    found = written(hubs(send_prefixes(docs, level, n, threshold, pieces), threshold, pieces), "jaccard-hubs")
+    sieved = written(sieve(found, described, same, threshold, max(parts, math.ceil(found.count() / (4 * PER_BUCKET)))), "jaccard-sieved")
+    met = written(merged(sieved), "jaccard-merged")
+    dropped(described, found, sieved)
     to = F.struct("hub", "i", "j", "b")
     sending = placed(met).groupBy("k1", "k2").agg(F.collect_list(to).alias("tiles"), F.collect_set("hub").alias("hubs"))
     sending = written(sending.join(same.select("k1", "k2", F.col("rep").alias("doc_id")), ["k1", "k2"]), "jaccard-sent")
@@ -452,39 +467,18 @@ def join_sets(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> tupl
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
     # Many rows: the ids alone thin out the documents first, so texts that nobody is compared with are never shuffled.
-    few = small(sending, BROADCAST_ROWS)
-    thin = docs if few else docs.join(maybe_broadcast(sending.select("doc_id"), 10 * BROADCAST_ROWS), "doc_id", "left_semi")
+    few = small(sending)
+    thin = docs if few else docs.join(maybe_broadcast(sending.select("doc_id")), "doc_id", "left_semi")
     sent = thin.join(F.broadcast(sending) if few else sending, "doc_id").select("doc_id", "text", "k1", "k2", "tiles", "hubs").mapInArrow(
         grams, "bucket int, hub long, i int, j int, b int, doc_id long, hubs array<long>, grams binary"
     )
-    release(spark)
-    return compare(sent, threshold), same
-
-
-def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """All pairs of documents with Jaccard at least threshold: doc_a < doc_b, jaccard (6 places)."""
-    pairs, same = join_sets(docs, n, threshold)
-    # Most sets belong to one document; only the others are joined, so pairs stay where they are if these are few.
-    several = written(same.where(F.size("docs") > 1).select("rep", "docs"), "jaccard-copies")
-    if (several.agg(F.sum(F.size("docs"))).first()[0] or 0) <= 10 * BROADCAST_ROWS:
-        several = F.broadcast(several)
-    a = several.select(F.col("rep").alias("doc_a"), F.col("docs").alias("a"))
-    b = several.select(F.col("rep").alias("doc_b"), F.col("docs").alias("b"))
-    across = pairs.join(a, "doc_a", "left").join(b, "doc_b", "left")
-    across = across.select(F.explode(F.coalesce("a", F.array("doc_a"))).alias("a"), F.coalesce("b", F.array("doc_b")).alias("b"), "jaccard").select("a", F.explode("b").alias("b"), "jaccard")
-    across = across.select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b"), "jaccard")
-    within = same.where(F.size("docs") > 1).select(F.explode("docs").alias("doc_a"), "docs").select("doc_a", F.explode(F.filter("docs", lambda d: d > F.col("doc_a"))).alias("doc_b"), F.lit(1.0).alias("jaccard"))
-    return across.unionByName(within)
-
+    pairs = written(compare(sent, threshold, buckets), "jaccard-pairs")
+    dropped(met, sending)
+    return pairs, same, of
 
-def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without near duplicates: of each connected group of similar documents the least doc_id stays.
 
-    Documents without a set (null or empty text) or without a doc_id stay; all
-    rows of a doc_id that stays do.
-    """
-    pairs, same = join_sets(docs, n, threshold)
-    edges = written(pairs.select("doc_a", "doc_b"), "jaccard-edges")
+def groups(edges: DataFrame) -> DataFrame:
+    """v, label: the least node that each node of edges (doc_a, doc_b) is connected with, as a written table."""
     both = edges.select(F.col("doc_a").alias("v"), F.col("doc_b").alias("u")).unionByName(edges.select(F.col("doc_b").alias("v"), F.col("doc_a").alias("u")))
     label = written(both.groupBy("v").agg(F.least(F.min("v"), F.min("u")).alias("label")), "jaccard-label")
     while True:
@@ -493,22 +487,59 @@ def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataF
         step = label.join(step, "v").select("v", F.least("label", "near").alias("label"), F.col("label").alias("old"))
         jump = step.select(F.col("v").alias("label"), F.col("label").alias("far"))
         step = written(step.join(jump, "label", "left").select("v", F.least("label", F.coalesce("far", "label")).alias("label"), "old"), "jaccard-label")
-        label = step.select("v", "label")
+        dropped(label)
+        label = step
         if step.where("label != old").isEmpty():
-            break
-    copies = same.where(F.size("docs") > 1).select(F.explode("docs").alias("doc_id"), "rep").where("doc_id != rep").select("doc_id")
-    # A group's copies go with their class; of the classes all but the least go.
-    gone = written(copies.unionByName(label.where("v != label").select(F.col("v").alias("doc_id"))), "jaccard-gone")
-    return docs.join(maybe_broadcast(gone, 1_000_000), "doc_id", "left_anti").select(docs.columns)
+            return step
+
+
+def links(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """One row per document: doc_id, class_id, n_links, max_jaccard.
+
+    class_id is the least doc_id of all that the document is connected with by
+    pairs of Jaccard at least threshold, n_links how many documents have such a
+    pair with it, copies included, and max_jaccard (6 places) the greatest of
+    these, null without a link.  No pair of different texts is left out, and no
+    copies are written out in pairs.
+    """
+    pairs, same, of = join_sets(docs, n, threshold)
+    ends = pairs.select(F.col("doc_a").alias("rep"), F.col("doc_b").alias("other"), "jaccard").unionByName(pairs.select(F.col("doc_b").alias("rep"), F.col("doc_a").alias("other"), "jaccard"))
+    # Most sets belong to one document; only the others are joined.
+    several = maybe_broadcast(written(same.where("n > 1").select(F.col("rep").alias("other"), "n"), "jaccard-copies"))
+    linked = ends.join(several, "other", "left").groupBy("rep").agg(F.sum(F.coalesce("n", F.lit(1))).alias("linked"), F.max("jaccard").alias("most"))
+    sets_ = same.join(linked, "rep", "left").join(groups(pairs).select(F.col("v").alias("rep"), "label"), "rep", "left").select(
+        "k1", "k2", F.coalesce("label", "rep").alias("class_id"), (F.col("n") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"),
+        F.when(F.col("n") > 1, 1.0).otherwise(F.col("most")).alias("max_jaccard"),
+    )
+    rows = of.join(sets_, ["k1", "k2"]).select("doc_id", "class_id", "n_links", "max_jaccard")
+    bare = docs.select("doc_id").where("doc_id is not null").distinct().join(of.select("doc_id"), "doc_id", "left_anti")
+    return rows.unionByName(bare.select("doc_id", F.col("doc_id").cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("double").alias("max_jaccard")))
+
+
+def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """docs without near duplicates: of each connected group of similar documents the least doc_id stays.
+
+    Documents without a set (null or empty text) or without a doc_id stay; all
+    rows of a doc_id that stays do.
+    """
+    pairs, same, of = join_sets(docs, n, threshold)
+    # A set's copies go but for the least; of the sets of a group all go but the least.
+    copies = of.join(same.where("n > 1"), ["k1", "k2"]).where("doc_id != rep").select("doc_id")
+    gone = written(copies.unionByName(groups(pairs).where("v != label").select(F.col("v").alias("doc_id"))), "jaccard-gone")
+    return docs.join(maybe_broadcast(gone), "doc_id", "left_anti").select(docs.columns)
 
 
 ORACLE = f"""
-WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
 s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= {N} THEN list_transform(range(1, len(w) - {N} + 2), lambda i: array_to_string(w[i:i + {N} - 1], ' '))
         WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-p AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2)
-SELECT doc_a, doc_b, round(o / CAST(x.n + y.n - o AS DOUBLE), 6) AS jaccard
-FROM p JOIN n x ON x.doc_id = doc_a JOIN n y ON y.doc_id = doc_b
-WHERE o >= {THRESHOLD} * (x.n + y.n - o)
+p AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+j AS (SELECT doc_a, doc_b, round(o / CAST(x.n + y.n - o AS DOUBLE), 6) AS jaccard FROM p JOIN n x ON x.doc_id = doc_a JOIN n y ON y.doc_id = doc_b WHERE o >= {THRESHOLD} * (x.n + y.n - o)),
+e AS (SELECT doc_a AS v, doc_b AS u, jaccard FROM j UNION ALL SELECT doc_b, doc_a, jaccard FROM j),
+r AS (SELECT v, u FROM e UNION SELECT r.v, e.u FROM r JOIN e ON e.v = r.u),
+c AS (SELECT v, least(v, min(u)) AS class_id FROM r GROUP BY v),
+l AS (SELECT v, count(*) AS n_links, max(jaccard) AS max_jaccard FROM e GROUP BY v)
+SELECT doc_id, coalesce(class_id, doc_id) AS class_id, coalesce(n_links, 0) AS n_links, max_jaccard
+FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL) LEFT JOIN c ON c.v = doc_id LEFT JOIN l ON l.v = doc_id
 """

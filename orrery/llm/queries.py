@@ -22,7 +22,7 @@ QUERIES = {
     "op7_chat_format": lambda spark, d: chat.format_chats(table(spark, d, "conversations")),
     "op8_token_counts": lambda spark, d: counts.count_edited(table(spark, d, "documents"), F.expr(EDITS)),
     "op9_language_id": lambda spark, d: langid.identify(table(spark, d, "documents")),
-    "op10_jaccard": lambda spark, d: jaccard.join(table(spark, d, "documents")),
+    "op10_jaccard": lambda spark, d: jaccard.links(table(spark, d, "documents")),
     "op6_secret_scan": lambda spark, d: secrets.scan(table(spark, d, "documents")),
 }
 

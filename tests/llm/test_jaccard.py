@@ -35,22 +35,33 @@ def fixture(seed=1, n=120):
     return list(enumerate(docs))
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_all_pairs_are_those_of_brute_force(spark, seed, monkeypatch):
+def expected(docs, t=0.5):
+    """doc_id: (class_id, n_links, max_jaccard), by brute force."""
+    pairs, label = brute(docs, t), {d: d for d, _ in docs}
+    for a, b in sorted(pairs):
+        a, b = label[a], label[b]
+        label = {k: min(a, b) if v in (a, b) else v for k, v in label.items()}
+    own = {d: [j for p, j in pairs.items() if d in p] for d in label}
+    return {d: (label[d], len(own[d]), max(own[d], default=None)) for d in label}
+
+
+@pytest.mark.parametrize("seed, t", [(1, 0.5), (1, 0.2), (2, 0.3), (2, 0.7)])
+def test_links_are_those_of_brute_force(spark, seed, t, monkeypatch):
     # Small tiles and short lists, so that every path is taken.
     monkeypatch.setattr(jaccard, "TILE", 6)
     monkeypatch.setattr(jaccard, "SHORT", 4)
     docs = fixture(seed)
-    df = spark.createDataFrame([(d, t, d, "x") for d, t in docs] + [(900, None, 0, "x"), (901, "", 0, "x"), (902, " \n", 0, "x"), (None, docs[5][1], 0, "x"), (5, docs[5][1], 0, "y")], "doc_id long, text string, size long, bits string")
-    rows = jaccard.join(df).collect()
-    assert {(r.doc_a, r.doc_b): r.jaccard for r in rows} == brute(docs) and len(rows) == len(brute(docs))
-    kept = [r.doc_id for r in jaccard.keep_one(df).collect()]
-    label = {d: d for d, _ in docs}
-    for a, b in sorted(brute(docs)):
-        a, b = label[a], label[b]
-        label = {k: min(a, b) if v in (a, b) else v for k, v in label.items()}
-    assert sorted(x for x in kept if x is not None and x < 900) == sorted({*label.values()} | {5}) + ([5] if 5 in label.values() and kept.count(5) == 2 else []) or sorted(set(x for x in kept if x is not None and x < 900)) == sorted(set(label.values()))
-    assert {900, 901, 902, None} <= set(kept)
+    # Parts of others: pairs of very different sizes.
+    docs += [(500 + k, " ".join(docs[k][1].split()[: max(3, len(docs[k][1].split()) // d)])) for k, d in zip(range(40), [2, 3, 4] * 20)]
+    more = [(900, None, 0, "x"), (901, "", 0, "x"), (902, " \n", 0, "x"), (None, docs[5][1], 0, "x"), (5, docs[5][1], 0, "y")]
+    df = spark.createDataFrame([(d, x, d, "x") for d, x in docs] + more, "doc_id long, text string, size long, bits string")
+    rows = jaccard.links(df, threshold=t).collect()
+    assert {r.doc_id: (r.class_id, r.n_links, r.max_jaccard) for r in rows} == expected(docs, t) | {d: (d, 0, None) for d in (900, 901, 902)}
+    assert len(rows) == len(docs) + 3
+    if t == 0.5:
+        kept = [r.doc_id for r in jaccard.keep_one(df).collect()]
+        least = {c for c, *_ in expected(docs).values()}
+        assert sorted(x for x in kept if x is not None) == sorted([*least, 900, 901, 902] + [5] * (5 in least)) and None in kept
 
 
 def test_overlaps_derived_from_similar_sets_are_exact():
@@ -67,10 +78,11 @@ def test_bitmaps_never_lose_a_pair():
     sets += [np.unique(np.concatenate((s[: rng.integers(1, len(s) + 1)], rng.integers(0, 1 << 53, 5).astype(np.uint64)))) for s in sets]
     sizes = np.array([len(s) for s in sets])
     blobs = jaccard.bitmaps(np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes), sizes)
-    x, y = jaccard.bounded(blobs, sizes, 0.5)
-    found = {(min(a, b), max(a, b)) for a, b in zip(x.tolist(), y.tolist())}
-    true = {(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if (o := len(np.intersect1d(sets[i], sets[j]))) / (len(sets[i]) + len(sets[j]) - o) >= 0.5}
-    assert true <= found
+    for t in (0.15, 0.3, 0.5, 0.8):
+        x, y = jaccard.bounded(blobs, sizes, t)
+        found = {(min(a, b), max(a, b)) for a, b in zip(x.tolist(), y.tolist())}
+        true = {(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if (o := len(np.intersect1d(sets[i], sets[j]))) / (len(sets[i]) + len(sets[j]) - o) >= t}
+        assert true <= found
 
 
 def test_block_skipping_keeps_every_entry_with_a_partner():
@@ -86,4 +98,4 @@ def test_block_skipping_keeps_every_entry_with_a_partner():
 
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
-    assert jaccard.join(df).count() == 0 and jaccard.keep_one(df).count() == 0
+    assert jaccard.links(df).count() == 0 and jaccard.keep_one(df).count() == 0
