@@ -10,20 +10,23 @@
    every 8 words.  A common subsequence is at most the item's places of its
    frequent words plus the window's words among its other ones, so a window
    with fewer of those than ``weak`` leaves room for can't leak the item; all
-   others are checked word by word: the longest common subsequence with the item,
-   bit-parallel over all candidates at once, and the share of the answer (the
+   others are checked word by word: the longest common subsequence with the whole
+   item, bit-parallel over all candidates at once (64 words of the item to a
+   machine word, with carries between them), and the share of the answer (the
    last quarter of the item's words) that is found in order.  The sieve loses
    nothing that the check would accept.  Leaks get their latent cosine.
 
 A document leaks an item if their subsequence covers ``strong`` of the item, or
-``weak`` of it with at least half of the answer.
+``weak`` of it with at least half of the answer.  An item of fewer than 8 words
+is leaked by the same words in a row only, found by hash at every word, since
+parts of it are common phrases.
 
 Words are runs of letters and digits, so neither punctuation nor table marks hide
 a leak.  Results for odd input: null and empty texts leak nothing; items that are null
-or shorter than 8 words are ignored, as common phrases; items of more than 64
-words are searched in pieces, each of which counts; equal items and repeated
-rows get results of their own; with an empty benchmark, or no documents, the
-result is empty; further columns are ignored.
+or without words are ignored; equal items and repeated rows get results of their
+own; of rows with the same item_id each counts; with an empty benchmark, or no
+documents, the result is empty; further columns are ignored.  A benchmark of more than
+``BENCH_BYTES`` is searched for in parts of about that size, a scan each.
 """
 
 from __future__ import annotations
@@ -36,12 +39,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .common import size_of
 
 TERM_BITS = 11
 RANK, EXTRA = 56, 8
 PASSAGE, STEP = 32, 8
-PIECE = 64
+LIMB = 64
 LEAST_WORDS = 8
+BENCH_BYTES = 16 << 20
 STRONG, WEAK, ANSWER = 0.75, 0.6, 0.5
 ROWS = 512
 _BLOCKS = 16
@@ -76,7 +81,7 @@ def _summed(docs: DataFrame, partial, width: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(range(_BLOCKS), pa.int32()), pa.array([x.tobytes() for x in np.split(total, _BLOCKS)], pa.binary())], ["block", "sums"])
 
     def add(group: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_buffer(), np.float32).astype(np.float64) for x in group.column("sums"))
+        total = sum(np.frombuffer(x.as_buffer(), np.float64) for x in group.column("sums"))
         return pa.table({"block": group.column("block").slice(0, 1), "sums": pa.array([total.tobytes()], pa.binary())})
 
     rows = docs.select("text").mapInArrow(run, "block int, sums binary").groupBy("block").applyInArrow(add, "block int, sums binary").orderBy("block").collect()
@@ -94,7 +99,7 @@ def weigh(docs: DataFrame) -> np.ndarray:
             for at in range(0, batch.num_rows, ROWS):
                 passage, term, _ = _passages(batch.column("text").slice(at, ROWS))
                 total[:, 0] += np.bincount(term, minlength=1 << TERM_BITS)
-        return total.astype(np.float32)
+        return total
 
     df = _summed(docs, partial, 1)[:, 0]
     # Terms sum over passages; the most frequent bounds how many there are closely enough for weights.
@@ -109,7 +114,7 @@ def basis(docs: DataFrame, idf: np.ndarray, seed: int = 11) -> np.ndarray:
 
     def partial(batches):
         omega, weight = shared.value
-        total = np.zeros(omega.shape, np.float32)
+        total = np.zeros(omega.shape)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS // 2):
                 passage, term, count = _passages(batch.column("text").slice(at, ROWS // 2))
@@ -140,7 +145,7 @@ def basis(docs: DataFrame, idf: np.ndarray, seed: int = 11) -> np.ndarray:
 
 @dataclass
 class Items:
-    """Benchmark pieces, ready to be searched for."""
+    """Benchmark items, ready to be searched for; short: hashes and ids of those below LEAST_WORDS, by number of words."""
 
     ids: np.ndarray
     words: list[np.ndarray]
@@ -149,9 +154,11 @@ class Items:
     least: np.ndarray
     rare: list[np.ndarray]
     vocabulary: np.ndarray
+    limbs: np.ndarray
     keys: np.ndarray
     masks: np.ndarray
     table: np.ndarray | None
+    short: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
 def _key(word: np.ndarray, item) -> np.ndarray:
@@ -177,79 +184,127 @@ def _rare(part: np.ndarray, need: int, idf: np.ndarray) -> tuple[np.ndarray, int
     return unique[best:], int(least[best])
 
 
+def _limbs(part: np.ndarray):
+    """For every 64 words of an item: its different words, and at which of these places each is, as bits."""
+    for at in range(0, len(part), LIMB):
+        unique, where = np.unique(part[at : at + LIMB], return_inverse=True)
+        mask = np.zeros(len(unique), np.uint64)
+        np.bitwise_or.at(mask, where, np.uint64(1) << np.arange(len(where), dtype=np.uint64))
+        yield unique, mask
+
+
+def _unit(latent: np.ndarray, part: np.ndarray) -> np.ndarray:
+    v = latent[_terms(part)].sum(axis=0)
+    return v / max(np.linalg.norm(v), 1e-9)
+
+
 def prepare(benchmark: DataFrame, latent: np.ndarray, share: float = WEAK, idf: np.ndarray | None = None) -> Items:
-    """Embeds all items and fits their sieves to leaks of at least share; the benchmark comes to the driver as a whole."""
+    """Embeds all items and fits their sieves to leaks of at least share; benchmark, of bounded size, comes to the driver."""
     table = benchmark.where("item_id is not null and text is not null").select("item_id", "text").orderBy("item_id", "text").toArrow()
     w, counts = K.words(table.column("text").combine_chunks() if table.num_rows else pa.array([], pa.string()), "plain")
-    ids, words = [], []
-    for i, n, end in zip(table.column("item_id").to_pylist(), counts, np.cumsum(counts)):
-        pieces = -(-n // PIECE)
-        for part in np.array_split(w[end - n : end], pieces) if n >= LEAST_WORDS else ():
+    ids, words, brief = [], [], {}
+    for i, n, end in zip(table.column("item_id").to_pylist(), counts.tolist(), np.cumsum(counts)):
+        part = w[end - n : end]
+        if n >= LEAST_WORDS:
             ids.append(i)
             words.append(part)
+        elif n:
+            brief.setdefault(n, []).append((K.rolling(part, np.array([0]), np.array([n]))[0], i, _unit(latent, part)))
+    short = {}
+    for n, rows in brief.items():
+        order = np.argsort(np.array([r[0] for r in rows], np.uint64), kind="stable")
+        short[n] = (np.array([rows[k][0] for k in order], np.uint64), np.array([rows[k][1] for k in order], np.int64), np.array([rows[k][2] for k in order]))
     idf = np.zeros(1 << TERM_BITS) if idf is None else idf
-    vectors, rare, least = [], [], []
+    rare, least = [], []
     for part in words:
-        v = latent[_terms(part)].sum(axis=0)
-        vectors.append(v / max(np.linalg.norm(v), 1e-9))
         own, count = _rare(part, max(1, int(np.ceil(share * len(part) - 1e-9))), idf)
         rare.append(own)
         least.append(count)
-    keys, masks = [], []
-    for i, part in enumerate(words):
-        unique, where = np.unique(part, return_inverse=True)
-        mask = np.zeros(len(unique), np.uint64)
-        np.bitwise_or.at(mask, where, np.uint64(1) << np.arange(len(part), dtype=np.uint64))
-        keys.append(_key(unique, i))
-        masks.append(mask)
-    keys = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+    # Rows of 64 words each, numbered through; limbs holds each item's first.
+    rows = [x for part in words for x in _limbs(part)]
+    limbs = np.concatenate(([0], np.cumsum([-(-len(x) // LIMB) for x in words]))).astype(np.int64)
+    keys = np.concatenate([_key(u, r) for r, (u, _) in enumerate(rows)] or [np.zeros(0, np.uint64)])
     order = np.argsort(keys)
     vocabulary = np.unique(np.concatenate(words)) if words else np.zeros(0, np.uint64)
     table = None
-    if len(words) * (len(vocabulary) + 1) <= TABLE:
+    if len(rows) * (len(vocabulary) + 1) <= TABLE:
         # A small benchmark has the masks of all its words for all its items in one table.
-        table = np.zeros((len(words), len(vocabulary) + 1), np.uint64)
-        for i, part in enumerate(words):
-            np.bitwise_or.at(table[i], np.searchsorted(vocabulary, part), np.uint64(1) << np.arange(len(part), dtype=np.uint64))
+        table = np.zeros((len(rows), len(vocabulary) + 1), np.uint64)
+        for r, (unique, mask) in enumerate(rows):
+            table[r, np.searchsorted(vocabulary, unique)] = mask
     return Items(
-        np.array(ids, np.int64), words, np.array(vectors, np.float32).reshape(-1, latent.shape[1]), np.array([-(-len(x) // STEP) for x in words], np.int64),
-        np.array(least, np.int64), [np.searchsorted(vocabulary, x) for x in rare], vocabulary, keys[order], (np.concatenate(masks) if masks else np.zeros(0, np.uint64))[order], table,
+        np.array(ids, np.int64), words, np.array([_unit(latent, x) for x in words], np.float32).reshape(-1, latent.shape[1]), np.array([-(-len(x) // STEP) for x in words], np.int64),
+        np.array(least, np.int64), [np.searchsorted(vocabulary, x) for x in rare], vocabulary, limbs, keys[order],
+        np.concatenate([m for _, m in rows] or [np.zeros(0, np.uint64)])[order], table, short,
     )
 
 
 def columns(items: Items, words: np.ndarray) -> np.ndarray:
-    """Each word's column in the items' table, and one more entry for no word: the last column, which is empty."""
+    """Each word's column in the vocabulary, and one more entry for no word: the last column, which is empty."""
     last = len(items.vocabulary)
     at = np.minimum(np.searchsorted(items.vocabulary, words), last - 1)
     return np.append(np.where(items.vocabulary[at] == words, at, last), last)
 
 
 def common(items: Items, words: np.ndarray, own: np.ndarray | None, starts: np.ndarray, lengths: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Longest common subsequence of words[start : start + length] with each candidate's item, whole and answer part.
+    """Longest common subsequence of words[start : start + length] with each candidate's item, as shares of the item and of its answer.
 
     own: the words' columns in the items' table, if they have one.
     """
-    m = np.array([len(items.words[i]) for i in range(len(items.words))], np.int64)[item]
+    size = np.array([len(x) for x in items.words], np.int64)
+    overlap, answer = np.zeros(len(item)), np.zeros(len(item))
+    many = np.diff(items.limbs)[item]
+    for n in np.unique(many):
+        at = np.flatnonzero(many == n)
+        overlap[at], answer[at] = _common(items, words, own, starts[at], lengths[at], item[at], size[item[at]], int(n))
+    return overlap, answer
+
+
+def _common(items: Items, words: np.ndarray, own: np.ndarray | None, starts: np.ndarray, lengths: np.ndarray, item: np.ndarray, m: np.ndarray, limbs: int) -> tuple[np.ndarray, np.ndarray]:
     tail = np.maximum(1, m // 4)
     full = np.full(len(item), 0xFFFFFFFFFFFFFFFF, np.uint64)
-    mine = full >> (np.uint64(64) - m.astype(np.uint64))
-    late = mine & ~((np.uint64(1) << (m - tail).astype(np.uint64)) - np.uint64(1))
-    state, state_late = full.copy(), full.copy()
+
+    def below(n: np.ndarray) -> np.ndarray:
+        """The lowest n bits, n from 0 to 64."""
+        n = np.clip(n, 0, LIMB)
+        return np.where(n > 0, full >> np.minimum(LIMB - n, LIMB - 1).astype(np.uint64), np.uint64(0))
+
+    mine = [below(m - LIMB * k) for k in range(limbs)]
+    late = [mine[k] & ~below(m - tail - LIMB * k) for k in range(limbs)]
+    state, state_late = [full.copy() for _ in mine], [full.copy() for _ in mine]
+    row = items.limbs[item]
     if items.table is not None:
-        base, flat = item * items.table.shape[1], items.table.ravel()
+        width, flat = items.table.shape[1], items.table.ravel()
+        base = row * width
+
+    def step(state: list[np.ndarray], masks: list[np.ndarray]) -> None:
+        carry = None
+        for k in range(limbs):
+            u = state[k] & masks[k]
+            total = state[k] + u
+            if limbs > 1:
+                over = total < u
+                if carry is not None:
+                    total = total + carry
+                    over |= (total == 0) & (carry != 0)
+                carry = over.astype(np.uint64)
+            state[k] = total | (state[k] - u)
+
     for k in range(int(lengths.max(initial=0))):
         live = k < lengths
         if items.table is not None:
-            mask = flat[base + own[np.where(live, starts + k, len(words))]]
+            column = base + own[np.where(live, starts + k, len(words))]
+            masks = [flat[column + l * width] for l in range(limbs)]
         else:
-            key = _key(words[np.where(live, starts + k, 0)], item)
-            at = np.minimum(np.searchsorted(items.keys, key), len(items.keys) - 1)
-            mask = np.where(live & (items.keys[at] == key), items.masks[at], np.uint64(0))
-        u = state & mask
-        state = (state + u) | (state - u)
-        u = state_late & mask & late
-        state_late = (state_late + u) | (state_late - u)
-    return np.bitwise_count(~state & mine) / m, np.bitwise_count(~state_late & late) / tail
+            word, masks = words[np.where(live, starts + k, 0)], []
+            for l in range(limbs):
+                key = _key(word, row + l)
+                at = np.minimum(np.searchsorted(items.keys, key), len(items.keys) - 1)
+                masks.append(np.where(live & (items.keys[at] == key), items.masks[at], np.uint64(0)))
+        step(state, masks)
+        step(state_late, [x & y for x, y in zip(masks, late)])
+    count = lambda state, mask: sum(np.bitwise_count(~s & x).astype(np.int64) for s, x in zip(state, mask))
+    return count(state, mine) / m, count(state_late, late) / tail
 
 
 def _sieve(items: Items, own: np.ndarray, first: np.ndarray, size: np.ndarray, low: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -271,16 +326,17 @@ def _sieve(items: Items, own: np.ndarray, first: np.ndarray, size: np.ndarray, l
         has[row[word], np.repeat(np.arange(len(mine)), [len(items.rare[i]) for i in mine])] = 1
         place = row[own]
         # Sums of a window are small: differences hold though the running sums wrap around.
-        total = np.zeros((len(first) + 1, len(mine)), np.uint16)
+        kind = np.uint16 if items.scale[mine].max() < 4096 else np.uint32
+        total = np.zeros((len(first) + 1, len(mine)), kind)
         block = has[place[first]]
         for k in range(1, STEP):
             block += has[place[np.where(k < size, first + k, len(own) - 1)]]
-        np.cumsum(block, axis=0, dtype=np.uint16, out=total[1:])
+        np.cumsum(block, axis=0, dtype=kind, out=total[1:])
         scale = items.scale[mine]
         for q in np.unique(scale):
             s = slice(*np.searchsorted(scale, [q, q + 1]))
             count = total[np.minimum(blocks + q + 1, stop), s] - total[before, s]
-            b, i = np.nonzero(count >= items.least[mine[s]].astype(np.uint16))
+            b, i = np.nonzero(count >= items.least[mine[s]].astype(kind))
             found.append((b, mine[s][i]))
     return tuple(np.concatenate(x) for x in zip(*found))
 
@@ -294,21 +350,37 @@ def _cosine(latent: np.ndarray, items: Items, term: np.ndarray, start: np.ndarra
     return np.einsum("ij,ij->i", total, items.vectors[item]) / np.maximum(np.sqrt(np.einsum("ij,ij->i", total, total)), 1e-9)
 
 
-def _search(texts: pa.Array, items: Items, latent: np.ndarray, strong: float, weak: float):
-    """doc, item, cosine, overlap, answer, first word of the best leak of every document and item."""
-    w, counts = K.words(texts, "plain")
+def _exact(w: np.ndarray, counts: np.ndarray, items: Items, latent: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+    """doc, item_id, cosine, overlap, answer, place of short items, word for word."""
+    out = []
+    for n, (keys, ids, vectors) in items.short.items():
+        first = K.windows(counts, n)
+        if not len(first):
+            continue
+        h = K.rolling(w, first, first + n)
+        lo, hi = np.searchsorted(keys, h, side="left"), np.searchsorted(keys, h, side="right")
+        hit = np.flatnonzero(hi > lo)
+        which, at = K.spans(lo[hit], (hi - lo)[hit]), np.repeat(first[hit], (hi - lo)[hit])
+        doc = np.searchsorted(np.cumsum(counts), at, side="right")
+        # The words are the item's own, and so is their sum.
+        cosine = np.minimum(1, np.einsum("ij,ij->i", vectors[which], vectors[which]))
+        out.append((doc, ids[which], cosine, np.ones(len(at)), np.ones(len(at)), at - (np.cumsum(counts) - counts)[doc]))
+    return out
+
+
+def _long(w: np.ndarray, counts: np.ndarray, items: Items, latent: np.ndarray, strong: float, weak: float) -> list[tuple[np.ndarray, ...]]:
+    """The same of all other items, by sieve and subsequence."""
     blocks = -(-counts // STEP)
     doc = np.repeat(np.arange(len(counts)), blocks)
     base = np.cumsum(counts) - counts
     low = np.repeat(np.cumsum(blocks) - blocks, blocks)
     first = base[doc] + (np.arange(len(doc)) - low) * STEP
-    none = [np.zeros(0, np.int64)] * 2 + [np.zeros(0)] * 3 + [np.zeros(0, np.int64)]
     if not len(first) or not len(items.ids):
-        return none
+        return []
     own = columns(items, w)
     b, item = _sieve(items, own, first, np.minimum(STEP, base[doc] + counts[doc] - first), low, np.repeat(np.cumsum(blocks), blocks))
     if not len(b):
-        return none
+        return []
     q = items.scale[item]
     start = np.maximum(first[b] - STEP, base[doc[b]])
     end = np.minimum(first[b] + (q + 1) * STEP, base[doc[b]] + counts[doc[b]])
@@ -319,7 +391,16 @@ def _search(texts: pa.Array, items: Items, latent: np.ndarray, strong: float, we
     leak = (overlap >= strong) | ((overlap >= weak) & (answer >= ANSWER))
     b, item, q, overlap, answer = (x[leak] for x in (b, item, q, overlap, answer))
     cosine = _cosine(latent, items, _terms(w), first[b], np.minimum(first[b] + q * STEP, base[doc[b]] + counts[doc[b]]), item)
-    d, ids, place = doc[b], items.ids[item], first[b] - base[doc[b]]
+    return [(doc[b], items.ids[item], cosine, overlap, answer, first[b] - base[doc[b]])]
+
+
+def _search(texts: pa.Array, items: Items, latent: np.ndarray, strong: float, weak: float):
+    """doc, item, cosine, overlap, answer, first word of the best leak of every document and item."""
+    w, counts = K.words(texts, "plain")
+    found = _exact(w, counts, items, latent) + _long(w, counts, items, latent, strong, weak)
+    if not found:
+        return [np.zeros(0, np.int64)] * 2 + [np.zeros(0)] * 3 + [np.zeros(0, np.int64)]
+    d, ids, cosine, overlap, answer, place = (np.concatenate(x) for x in zip(*found))
     order = np.lexsort((place, -cosine, -overlap, ids, d))
     d, ids = d[order], ids[order]
     best = np.ones(len(d), bool)
@@ -328,40 +409,52 @@ def _search(texts: pa.Array, items: Items, latent: np.ndarray, strong: float, we
 
 
 def _model(docs: DataFrame, benchmark: DataFrame, share: float):
+    """What to search for, a broadcast for each part of the benchmark, each of bounded size."""
     idf = weigh(docs)
     v = basis(docs, idf)
     latent = v * idf[:, None].astype(np.float32)
-    return docs.sparkSession.sparkContext.broadcast((prepare(benchmark, latent, share, idf), latent))
+    parts = max(1, -(-size_of(benchmark.select("item_id", "text")) // BENCH_BYTES))
+    of = F.pmod(F.xxhash64("item_id"), F.lit(parts))
+    return [docs.sparkSession.sparkContext.broadcast((prepare(benchmark.where(of == k), latent, share, idf), latent)) for k in range(parts)]
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, strong: float = STRONG, weak: float = WEAK) -> DataFrame:
     """A row per document and leaked item: doc_id, item_id, cosine, overlap, answer, first_word."""
-    shared = _model(docs, benchmark, min(strong, weak))
 
-    def run(batches):
-        items, latent = shared.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
-                d, ids, cosine, overlap, answer, place = _search(part.column("text"), items, latent, strong, weak)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").cast(pa.int64()).take(pa.array(d)), pa.array(ids), *[pa.array(np.round(x.astype(np.float64), 4)) for x in (cosine, overlap, answer)], pa.array(place)],
-                    ["doc_id", "item_id", "cosine", "overlap", "answer", "first_word"],
-                )
+    def search(shared) -> DataFrame:
+        def run(batches):
+            items, latent = shared.value
+            for batch in batches:
+                for at in range(0, batch.num_rows, ROWS):
+                    part = batch.slice(at, ROWS)
+                    d, ids, cosine, overlap, answer, place = _search(part.column("text"), items, latent, strong, weak)
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column("doc_id").cast(pa.int64()).take(pa.array(d)), pa.array(ids), *[pa.array(np.round(x.astype(np.float64), 4)) for x in (cosine, overlap, answer)], pa.array(place)],
+                        ["doc_id", "item_id", "cosine", "overlap", "answer", "first_word"],
+                    )
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+        return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+
+    first, *more = map(search, _model(docs, benchmark, min(strong, weak)))
+    for x in more:
+        first = first.unionByName(x)
+    return first
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, strong: float = STRONG, weak: float = WEAK) -> DataFrame:
     """The rows of docs that leak no item, with all their columns, without a join."""
-    shared = _model(docs, benchmark, min(strong, weak))
 
-    def run(batches):
-        items, latent = shared.value
-        for batch in batches:
-            keep = np.ones(batch.num_rows, bool)
-            for at in range(0, batch.num_rows, ROWS):
-                keep[at + _search(batch.column("text").slice(at, ROWS), items, latent, strong, weak)[0]] = False
-            yield batch.filter(pa.array(keep))
+    def sift(docs: DataFrame, shared) -> DataFrame:
+        def run(batches):
+            items, latent = shared.value
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                for at in range(0, batch.num_rows, ROWS):
+                    keep[at + _search(batch.column("text").slice(at, ROWS), items, latent, strong, weak)[0]] = False
+                yield batch.filter(pa.array(keep))
+
+        return docs.mapInArrow(run, docs.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    for shared in _model(docs, benchmark, min(strong, weak)):
+        docs = sift(docs, shared)
+    return docs

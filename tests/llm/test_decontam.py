@@ -23,7 +23,7 @@ def lcs(a, b):
 
 def fixture(spark):
     rng = random.Random(4)
-    items = [words(rng, n) for n in (20, 33, 48, 90, 5)]
+    items = [words(rng, n) for n in (20, 33, 48, 90, 5, 64, 65, 128, 200)]
     docs = [words(rng, 150) for _ in range(60)]
     planted = {}
     for d, i in ((3, 0), (7, 1), (11, 2), (15, 3), (19, 1)):
@@ -35,7 +35,7 @@ def fixture(spark):
         # Neighbours that are a single repeated mark must not drown the passage.
         docs[d][at:at] = ["|"] * 12 + [w + "%" if k % 5 == 0 else w for k, w in enumerate(leak)] + ["|"] * 12
         planted[d] = i
-    b = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)] + [(90, None), (None, "a b c d e f g h i")], "item_id long, text string")
+    b = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)] + [(90, None), (None, "a b c d e f g h i"), (91, ""), (92, "?!")], "item_id long, text string")
     rows = [(i, " ".join(x), i) for i, x in enumerate(docs)] + [(100, None, 1), (101, "", 1), (3, " ".join(docs[3]), 5)]
     return spark.createDataFrame(rows, "doc_id long, text string, item_id long"), b, planted, docs, items
 
@@ -62,10 +62,10 @@ def test_the_bit_parallel_subsequence_is_that_of_the_textbook(spark):
         own = decontam.columns(ready, w) if table is not None else None
         for piece in range(len(ready.ids)):
             item = items[ready.ids[piece]]
-            if len(item) > decontam.PIECE:
-                continue
-            got, _ = decontam.common(ready, w, own, starts[:20], np.full(20, 60), np.full(20, piece))
-            assert np.allclose(got, [lcs(d[:60], item) / len(item) for d in docs[:20]])
+            late = item[len(item) - max(1, len(item) // 4) :]
+            got, answer = decontam.common(ready, w, own, starts[:20], np.full(20, 140), np.full(20, piece))
+            assert np.allclose(got, [lcs(d[:140], item) / len(item) for d in docs[:20]])
+            assert np.allclose(answer, [lcs(d[:140], late) / len(late) for d in docs[:20]])
 
 
 def test_empty_inputs(spark):
@@ -101,7 +101,7 @@ def test_strongly_changed_copies_are_found_as_by_a_scan_of_all_windows(spark):
     rng = random.Random(8)
     often = ["the", "of", "and", "to"]
     text = lambda n: [rng.choice(often) if rng.random() < 0.3 else x for x in words(rng, n)]
-    items = [text(n) for n in (12, 18, 25, 36, 50, 62)]
+    items = [text(n) for n in (12, 18, 25, 36, 50, 62, 100, 150)]
     docs = [text(100) for _ in range(10)]
     for how in ("replace", "delete", "insert"):
         for share in (0.25, 0.3, 0.35, 0.4):
@@ -115,3 +115,46 @@ def test_strongly_changed_copies_are_found_as_by_a_scan_of_all_windows(spark):
     b = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
     d = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(docs)], "doc_id long, text string")
     assert {(r.doc_id, r.item_id) for r in decontam.leaks(d, b).collect()} == expected
+
+
+def test_short_items_are_found_word_for_word_and_long_ones_as_a_whole(spark, monkeypatch):
+    rng = random.Random(9)
+    seven, one, long = words(rng, 7), ["unheardof"], words(rng, 128)
+    texts = [words(rng, 40) for _ in range(8)]
+    texts[0][11:11] = [x.upper() + "," for x in seven]
+    texts[1][11:11] = seven[:6]
+    texts[2][5:5] = one
+    texts[3][7:7] = long[:64]
+    texts[4][7:7] = long
+    texts[5] = texts[5] * 400 + long[:120] + texts[5] * 400
+    texts[6] = seven
+    texts[7][2:2] = [*seven[:3], "x", *seven[3:]]
+    items = [(1, seven), (2, one), (3, long), (4, seven)]
+    b = spark.createDataFrame([(i, " ".join(x)) for i, x in items], "item_id long, text string")
+    d = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(texts)], "doc_id long, text string")
+    expected = {(0, 1), (0, 4), (6, 1), (6, 4), (2, 2), (4, 3), (5, 3)}
+    rows = decontam.leaks(d, b).collect()
+    assert {(r.doc_id, r.item_id) for r in rows} == expected and len(rows) == len(expected)
+    assert {r.first_word for r in rows if r.doc_id == 0} == {11} and all(r.overlap >= 0.9 for r in rows)
+    # In parts, a large benchmark gives the same.
+    monkeypatch.setattr(decontam, "BENCH_BYTES", 400)
+    assert {(r.doc_id, r.item_id) for r in decontam.leaks(d, b).collect()} == expected
+    assert {r.doc_id for r in decontam.decontaminate(d, b).collect()} == {1, 3, 7}
+
+
+def test_weights_and_basis_are_those_of_a_dense_computation(spark):
+    docs, *_ = fixture(spark)
+    idf = decontam.weigh(docs)
+    texts = [r.text for r in docs.collect()]
+    passage, term, count = decontam._passages(pa.array(texts, pa.string()))
+    x = np.zeros((passage.max() + 1, 1 << decontam.TERM_BITS))
+    x[passage, term] = count
+    df = (x > 0).sum(axis=0)
+    assert np.allclose(idf, np.log((1 + df.max()) / (1 + df)) + 0.1)
+    x *= idf
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    v = decontam.basis(docs, idf).astype(float)
+    assert np.allclose(v.T @ v, np.eye(v.shape[1]), atol=1e-4)
+    # Most of the energy that the best basis of that rank has, though words at random have a flat spectrum.
+    best = (np.linalg.svd(x, compute_uv=False)[: v.shape[1]] ** 2).sum()
+    assert np.linalg.norm(x @ v) ** 2 >= 0.75 * best
