@@ -119,7 +119,9 @@ def describe(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
         level = np.minimum(255, 8 * np.log2(1.0 + total)).astype(np.uint8)
         return pa.table({"block": group.column("block").slice(0, 1), "level": pa.array([level.tobytes()], pa.binary())})
 
-    levels = table.where("block is not null").select("block", "counts").groupBy("block").applyInArrow(add, "block int, level binary").orderBy("block").collect()
+    merged = written(table.where("block is not null").select("block", "counts").groupBy("block").applyInArrow(add, "block int, level binary"), "jaccard-levels")
+    levels = merged.orderBy("block").collect()
+    dropped(merged)
     level = np.concatenate([np.frombuffer(r["level"], np.uint8) for r in levels]) if levels else np.zeros(1 << SKETCH_BITS, np.uint8)
     described = table.where("doc_id is not null").select("doc_id", "k1", "k2", "size", "bits")
     described.written_to = table.written_to
@@ -333,7 +335,7 @@ def bounded(blobs: list[bytes], sizes: np.ndarray, t: float) -> tuple[np.ndarray
     return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
 
 
-def sieve(met: DataFrame, described: DataFrame, same: DataFrame, t: float, buckets: int) -> DataFrame:
+def sieve(met: DataFrame, bits: DataFrame, same: DataFrame, t: float, buckets: int) -> DataFrame:
     """The meetings that bitmaps allow: hub, k1, k2."""
 
     def run(group: pa.Table) -> pa.Table:
@@ -348,7 +350,6 @@ def sieve(met: DataFrame, described: DataFrame, same: DataFrame, t: float, bucke
         rows = np.concatenate(out)
         return pa.table([pa.array(np.ascontiguousarray(c)) for c in rows.T], ["hub", "k1", "k2"])
 
-    bits = described.groupBy("k1", "k2").agg(F.first("size").alias("size"), F.first("bits").alias("bits"))
     rows = placed(met.join(same.select("k1", "k2"), "k1")).join(bits, ["k1", "k2"]).withColumn("bucket", F.pmod(F.xxhash64("hub", "i", "j"), F.lit(buckets)).cast("int"))
     return rows.repartitionById(buckets, "bucket").groupBy("bucket").applyInArrow(run, "hub long, k1 long, k2 long").distinct()
 
@@ -439,11 +440,13 @@ def join_sets(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> tupl
     same = written(classes(of), "jaccard-classes")
     # Every part repeats the set's key and size, so parts are as large as a task's memory allows, not as small as can be.
     tokens = described.agg(F.sum(F.col("size") - F.ceil(F.col("size") * threshold) + 1)).first()[0] or 0
+    bits = written(described.groupBy("k1", "k2").agg(F.first("size").alias("size"), F.first("bits").alias("bits")), "jaccard-bits")
+    dropped(described)
     pieces = max(1, math.ceil(tokens / PART_TOKENS))
     found = written(hubs(send_prefixes(docs, level, n, threshold, pieces), threshold, pieces), "jaccard-hubs")
-    sieved = written(sieve(found, described, same, threshold, max(parts, math.ceil(found.count() / (4 * PER_BUCKET)))), "jaccard-sieved")
+    sieved = written(sieve(found, bits, same, threshold, max(parts, math.ceil(found.count() / (4 * PER_BUCKET)))), "jaccard-sieved")
     met = written(merged(sieved), "jaccard-merged")
-    dropped(described, found, sieved)
+    dropped(bits, found, sieved)
     to = F.struct("hub", "i", "j", "b")
     sending = placed(met).groupBy("k1", "k2").agg(F.collect_list(to).alias("tiles"), F.collect_set("hub").alias("hubs"))
     sending = written(sending.join(same.select("k1", "k2", F.col("rep").alias("doc_id")), ["k1", "k2"]), "jaccard-sent")
