@@ -10,17 +10,22 @@ another document or elsewhere in its own.  Steps:
    and their least text is their hub.  Whole copies are found by text hash and
    stand for one text.
 2. Hubs are spread over shards.  Each text is streamed through the shards of
-   its hubs and no others; large shards are split by text.  A shard compiles
-   its confirmed phrases into one Aho-Corasick automaton, which locates every
-   occurrence word by word, and hence the 50-word windows that may recur.
+   its hubs and no others, since winnowing shows that those have no phrase of
+   it; large shards are split by text.  A shard compiles its confirmed phrases
+   into one Aho-Corasick automaton, which locates every occurrence word by
+   word, and hence the 50-word windows that may recur.
 3. These windows are counted over the corpus by hash; overlapping and adjoining
    windows that occur twice or more are merged into spans.
 
+Shards and parts are as many as the corpus has text for.  A part that a phrase of
+very many texts makes too large is aggregated in pieces first, and what recurs
+in it is then looked up piece by piece.
+
 Words are lower-cased and separated by ASCII white space; spans count words
 from 0.  Results for odd input: null, empty and short texts have no spans; a
 text that occurs as a whole in several documents is one span in each; of rows
-with the same doc_id one text counts (the one with the greatest hash); rows
-without a doc_id are left out; further columns are ignored; an empty table
+with the same doc_id one text counts (the one with the greatest hash), whatever
+their order; rows without a doc_id are left out; further columns are ignored; an empty table
 gives an empty result.
 """
 
@@ -35,11 +40,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import maybe_broadcast, shuffle_parts, written
+from .common import dropped, maybe_broadcast, shuffle_parts, written
 
 WORDS = 50
 ROWS = 1024
 SPLIT_WORDS = 2_000_000
+#: Bytes of text for each part and shard, and of hashes that one task takes.
+PART_BYTES = 32 << 20
+GROUP_BYTES = 24 << 20
 _WORD = re.compile(r"[^ \t\n\r\f\v]+")
 
 
@@ -98,31 +106,83 @@ def choose(docs: DataFrame, words: int, parts: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, k1 long, k2 long, n_words long, part int, hashes binary, texts binary")
 
 
+def _sorted_anchors(rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors by hash and text, each text once, and whether a text has the anchor more than once."""
+    h, text = _joined(rows.column("hashes"), np.uint64), _joined(rows.column("texts"), np.uint64)
+    more = (h & np.uint64(1)).astype(bool)
+    h = h & ~np.uint64(1)
+    order = np.lexsort((~more, text, h))
+    h, text, more = h[order], text[order], more[order]
+    fresh = np.ones(len(h), bool)
+    fresh[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
+    return h[fresh], text[fresh], more[fresh]
+
+
+def _hub_rows(text: np.ndarray, hub: np.ndarray, h: np.ndarray) -> pa.Table:
+    """text, hub, anchors of entries: each pair once, and with a hub's own row the anchors that it stands for."""
+    pairs = np.unique(np.column_stack((text, hub)), axis=0) if len(text) else np.zeros((0, 2), np.uint64)
+    own = np.flatnonzero(text == hub)
+    own = own[np.argsort(hub[own], kind="stable")]
+    hs, hl = K.runs(hub[own])
+    lists = {int(hub[own[s]]): h[own[s : s + n]].view(np.int64) for s, n in zip(hs, hl)}
+    anchors = [lists[b] if a == b else None for a, b in pairs.tolist()]
+    return pa.table([_longs(pairs[:, 0]), _longs(pairs[:, 1]), pa.array(anchors, pa.list_(pa.int64()))], ["text", "hub", "anchors"])
+
+
+def _in_pieces(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The packed rows of parts that a task can hold, and those of larger ones with the piece that each goes to."""
+    sizes = rows.groupBy("part").agg(F.sum(F.octet_length("hashes")).alias("bytes"))
+    large = written(sizes.where(F.col("bytes") > GROUP_BYTES).select("part", F.ceil(F.col("bytes") / GROUP_BYTES).cast("int").alias("pieces")), "phrases-large")
+    if large.isEmpty():
+        return rows, None
+    large = maybe_broadcast(large)
+    pieces = rows.join(large, "part").withColumn("piece", F.pmod(F.xxhash64("hashes"), F.col("pieces")).cast("int"))
+    return rows.join(large, "part", "left_anti"), pieces
+
+
 def confirm(chosen: DataFrame) -> DataFrame:
     """text, hub, anchors: which hubs a text belongs to; a hub's own row has the anchors that it stands for."""
+    schema = "text long, hub long, anchors array<long>"
 
     def run(group: pa.Table) -> pa.Table:
-        h, text = _joined(group.column("hashes"), np.uint64), _joined(group.column("texts"), np.uint64)
-        more = (h & np.uint64(1)).astype(bool)
-        h = h & ~np.uint64(1)
-        order = np.lexsort((text, h))
-        h, text, more = h[order], text[order], more[order]
-        fresh = np.ones(len(h), bool)
-        fresh[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
-        h, text, more = h[fresh], text[fresh], more[fresh]
+        h, text, more = _sorted_anchors(group)
         starts, lengths = K.runs(h)
         recurring = (lengths > 1) | (more[starts] if len(starts) else np.zeros(0, bool))
         starts, lengths = starts[recurring], lengths[recurring]
-        hub = text[starts]
-        pairs = np.unique(np.column_stack((text[K.spans(starts, lengths)], np.repeat(hub, lengths))), axis=0) if len(starts) else np.zeros((0, 2), np.uint64)
-        own = np.argsort(hub, kind="stable")
-        hs, hl = K.runs(hub[own])
-        lists = {int(hub[own[s]]): h[starts[own[s : s + n]]].view(np.int64) for s, n in zip(hs, hl)}
-        anchors = [lists[b] if a == b else None for a, b in pairs.tolist()]
-        return pa.table([_longs(pairs[:, 0]), _longs(pairs[:, 1]), pa.array(anchors, pa.list_(pa.int64()))], ["text", "hub", "anchors"])
+        at = K.spans(starts, lengths)
+        return _hub_rows(text[at], np.repeat(text[starts], lengths), h[at])
+
+    def least(group: pa.Table) -> pa.Table:
+        """Each anchor of a piece with its least text, and in the last bit whether it recurs."""
+        h, text, more = _sorted_anchors(group)
+        starts, lengths = K.runs(h)
+        again = (lengths > 1) | (more[starts] if len(starts) else np.zeros(0, bool))
+        return pa.table({"part": group.column("part").slice(0, 1), "hashes": pa.array([(h[starts] | again.astype(np.uint64)).tobytes()], pa.binary()), "texts": pa.array([text[starts].tobytes()], pa.binary())})
 
-    rows = chosen.where("part is not null").select("part", "hashes", "texts").groupBy("part").applyInArrow(run, "text long, hub long, anchors array<long>")
-    return rows.groupBy("text", "hub").agg(F.flatten(F.collect_list("anchors")).alias("anchors"))
+    def hubs(group: pa.Table) -> pa.Table:
+        """The recurring anchors of a part in order, and their hubs."""
+        h, text, more = _sorted_anchors(group)
+        starts, lengths = K.runs(h)
+        keep = (lengths > 1) | np.logical_or.reduceat(more, starts) if len(starts) else np.zeros(0, bool)
+        return pa.table({"part": group.column("part").slice(0, 1), "known": pa.array([h[starts[keep]].tobytes()], pa.binary()), "owners": pa.array([text[starts[keep]].tobytes()], pa.binary())})
+
+    def look_up(batches):
+        for batch in batches:
+            for hashes, texts, known, owners in zip(*(batch.column(c) for c in ("hashes", "texts", "known", "owners"))):
+                h, text = np.frombuffer(hashes.as_buffer(), np.uint64) & ~np.uint64(1), np.frombuffer(texts.as_buffer(), np.uint64)
+                known, owners = np.frombuffer(known.as_buffer(), np.uint64), np.frombuffer(owners.as_buffer(), np.uint64)
+                spot = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
+                hit = known[spot] == h if len(known) else np.zeros(len(h), bool)
+                yield from _hub_rows(text[hit], owners[spot[hit]], h[hit]).to_batches()
+
+    packed = chosen.where("part is not null").select("part", "hashes", "texts")
+    whole, pieces = _in_pieces(packed)
+    rows = whole.groupBy("part").applyInArrow(run, schema)
+    if pieces is not None:
+        firsts = pieces.groupBy("part", "piece").applyInArrow(least, "part int, hashes binary, texts binary")
+        table = written(firsts.groupBy("part").applyInArrow(hubs, "part int, known binary, owners binary"), "phrases-hot")
+        rows = rows.unionByName(pieces.select("part", "hashes", "texts").join(maybe_broadcast(table), "part").mapInArrow(look_up, schema))
+    return rows.groupBy("text", "hub").agg(F.array_distinct(F.flatten(F.collect_list("anchors"))).alias("anchors"))
 
 
 def locate(sent: DataFrame, words: int, parts: int) -> DataFrame:
@@ -131,11 +191,16 @@ def locate(sent: DataFrame, words: int, parts: int) -> DataFrame:
 
     def run(group: pa.Table) -> pa.Table:
         machine = ahocorasick.Automaton()
+        # Of rows with one doc_id only those have a say whose text is the one that counts.
+        w, n = K.words(group.column("text"))
+        a, b = (x.view(np.int64) for x in _text_keys(w, n))
+        right = np.flatnonzero((a == group.column("k1").to_numpy()) & (b == group.column("k2").to_numpy()))
+        group = group.take(pa.array(right))
         # A text comes once to a task, whatever the number of its hubs there.
         row_of: dict[int, list] = {}
         for r, (d, a) in enumerate(zip(group.column("doc_id").to_pylist(), group.column("anchors").to_pylist())):
             row_of.setdefault(d, [r, set()])[1].update(a or ())
-        low = K.lower(group.column("text").take(pa.array([r for r, _ in row_of.values()], pa.int64())).combine_chunks())
+        low = K.lower(pa.chunked_array(group.column("text").take(pa.array([r for r, _ in row_of.values()], pa.int64())).chunks, pa.string()).combine_chunks())
         split = [_WORD.findall(t) for t in low.to_pylist()]
         data, offsets = K.buffers(low)
         begins, ends, counts = K.word_bounds(data, offsets)
@@ -175,24 +240,55 @@ def locate(sent: DataFrame, words: int, parts: int) -> DataFrame:
     return sent.groupBy("shard", "split").applyInArrow(run, "part int, hashes binary, docs binary, starts binary")
 
 
+def _starts(d: np.ndarray, s: np.ndarray) -> pa.Table:
+    order = np.argsort(d, kind="stable")
+    begin, length = K.runs(d[order])
+    return pa.table({"doc_id": pa.array(d[order[begin]] if len(begin) else np.zeros(0, np.int64)), "starts": pa.array([s[order[b : b + n]].tobytes() for b, n in zip(begin, length)], pa.binary())})
+
+
 def recurring(windows: DataFrame) -> DataFrame:
     """doc_id and packed first words of the windows that occur at least twice."""
+    schema = "doc_id long, starts binary"
 
-    def run(group: pa.Table) -> pa.Table:
+    def distinct(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         h, d, s = _joined(group.column("hashes"), np.uint64), _joined(group.column("docs"), np.int64), _joined(group.column("starts"), np.int64)
         order = np.lexsort((s, d, h))
         h, d, s = h[order], d[order], s[order]
         fresh = np.ones(len(h), bool)
         fresh[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1]) | (s[1:] != s[:-1])
-        h, d, s = h[fresh], d[fresh], s[fresh]
+        return h[fresh], d[fresh], s[fresh]
+
+    def run(group: pa.Table) -> pa.Table:
+        h, d, s = distinct(group)
         _, lengths = K.runs(h)
         twice = np.repeat(lengths > 1, lengths)
-        d, s = d[twice], s[twice]
-        order = np.argsort(d, kind="stable")
-        begin, length = K.runs(d[order])
-        return pa.table({"doc_id": pa.array(d[order[begin]] if len(begin) else np.zeros(0, np.int64)), "starts": pa.array([s[order[b : b + n]].tobytes() for b, n in zip(begin, length)], pa.binary())})
+        return _starts(d[twice], s[twice])
+
+    def firsts(group: pa.Table) -> pa.Table:
+        """Two places at most of each window of a piece: enough to tell whether it recurs, though pieces may hold one place twice."""
+        h, d, s = distinct(group)
+        starts, lengths = K.runs(h)
+        keep = K.spans(starts, np.minimum(lengths, 2))
+        return pa.table({"part": group.column("part").slice(0, 1), **{c: pa.array([x[keep].tobytes()], pa.binary()) for c, x in (("hashes", h), ("docs", d), ("starts", s))}})
+
+    def again(group: pa.Table) -> pa.Table:
+        h, _, _ = distinct(group)
+        starts, lengths = K.runs(h)
+        return pa.table({"part": group.column("part").slice(0, 1), "known": pa.array([h[starts[lengths > 1]].tobytes()], pa.binary())})
+
+    def look_up(batches):
+        for batch in batches:
+            for hashes, docs, starts, known in zip(*(batch.column(c) for c in ("hashes", "docs", "starts", "known"))):
+                hit = np.isin(np.frombuffer(hashes.as_buffer(), np.uint64), np.frombuffer(known.as_buffer(), np.uint64))
+                yield from _starts(np.frombuffer(docs.as_buffer(), np.int64)[hit], np.frombuffer(starts.as_buffer(), np.int64)[hit]).to_batches()
 
-    return windows.groupBy("part").applyInArrow(run, "doc_id long, starts binary")
+    whole, pieces = _in_pieces(windows)
+    rows = whole.groupBy("part").applyInArrow(run, schema)
+    if pieces is not None:
+        packed = "part int, hashes binary, docs binary, starts binary"
+        table = written(pieces.groupBy("part", "piece").applyInArrow(firsts, packed).groupBy("part").applyInArrow(again, "part int, known binary"), "phrases-hot")
+        rows = rows.unionByName(pieces.select("part", "hashes", "docs", "starts").join(maybe_broadcast(table), "part").mapInArrow(look_up, schema))
+    return rows
 
 
 def spans_of(found: DataFrame, words: int) -> DataFrame:
@@ -220,27 +316,29 @@ def repeated_spans(docs: DataFrame, words: int = WORDS) -> DataFrame:
     doc_id, first_word, n_words.
     """
     spark = docs.sparkSession
-    parts = shuffle_parts(spark)
     docs = docs.select("doc_id", "text").where("doc_id is not null")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(shuffle_parts(spark), -(-size // PART_BYTES))
     chosen = written(choose(docs, words, parts), "phrases-anchors")
-    texts = chosen.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.struct("k1", "k2", "n_words")).alias("k"))
-    same = written(
-        texts.groupBy("k.k1", "k.k2", "k.n_words").agg(F.min("doc_id").alias("rep"), F.collect_list("doc_id").alias("docs")).where(F.col("n_words") >= words),
-        "phrases-texts",
-    )
+    texts = chosen.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.struct("k1", "k2", "n_words")).alias("k")).select("doc_id", "k.*").where(F.col("n_words") >= words)
+    texts = written(texts, "phrases-texts")
+    same = written(texts.groupBy("k1", "k2", "n_words").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "phrases-classes")
     joined = written(confirm(chosen), "phrases-hubs")
     place = F.pmod(F.xxhash64("hub"), F.lit(parts)).cast("int")
-    routed = joined.join(same.select(F.col("k1").alias("text"), F.col("rep").alias("doc_id"), "n_words"), "text").withColumn("shard", place)
+    routed = joined.join(same.select(F.col("k1").alias("text"), "k1", "k2", F.col("rep").alias("doc_id"), "n_words"), "text").withColumn("shard", place)
     splits = routed.select("shard", "doc_id", "n_words").distinct().groupBy("shard").agg(F.ceil(F.sum("n_words") / SPLIT_WORDS).cast("int").alias("splits"))
     own = F.array(F.pmod(F.xxhash64("doc_id"), F.col("splits")).cast("int"))
     # A hub's text goes to all splits of its shard, since the phrases are cut out of it there.
     to = F.when(F.size("anchors") > 0, F.sequence(F.lit(0), F.col("splits") - 1)).otherwise(own)
-    targets = routed.join(splits, "shard").withColumn("split", F.explode(to)).groupBy("doc_id", "shard", "split").agg(F.flatten(F.collect_list("anchors")).alias("anchors"))
-    targets = written(targets.groupBy("doc_id").agg(F.collect_list(F.struct("shard", "split", "anchors")).alias("to")), "phrases-targets")
-    sent = docs.join(maybe_broadcast(targets, 100_000), "doc_id").select("doc_id", "text", F.explode("to").alias("to")).select("doc_id", "text", "to.*")
-    spans = spans_of(recurring(written(locate(sent, words, parts), "phrases-windows")), words)
-    copies = same.where(F.size("docs") > 1)
-    whole = copies.select(F.explode("docs").alias("doc_id"), F.lit(0).cast("long").alias("first_word"), "n_words")
+    targets = routed.join(splits, "shard").withColumn("split", F.explode(to)).groupBy("doc_id", "k1", "k2", "shard", "split").agg(F.flatten(F.collect_list("anchors")).alias("anchors"))
+    targets = written(targets.groupBy("doc_id", "k1", "k2").agg(F.collect_list(F.struct("shard", "split", "anchors")).alias("to")), "phrases-targets")
+    dropped(chosen, joined)
+    sent = docs.join(maybe_broadcast(targets), "doc_id").select("doc_id", "text", "k1", "k2", F.explode("to").alias("to")).select("doc_id", "text", "k1", "k2", "to.*")
+    windows = written(locate(sent, words, parts), "phrases-windows")
+    spans = spans_of(recurring(windows), words)
+    # Documents with one text are spans as a whole; the one of them that took part above has no others.
+    copies = same.where("n > 1")
+    whole = texts.join(maybe_broadcast(written(copies.select("k1", "k2"), "phrases-copies")), ["k1", "k2"]).select("doc_id", F.lit(0).cast("long").alias("first_word"), "n_words")
     return spans.join(copies.select(F.col("rep").alias("doc_id")), "doc_id", "left_anti").unionByName(whole)
 
 

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from orrery.llm import phrases
 
 
@@ -42,11 +44,28 @@ def fixture():
     return [(i, " ".join(w)) for i, w in enumerate(docs)]
 
 
-def test_spans_are_those_of_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("group", [24 << 20, 800])
+def test_spans_are_those_of_brute_force(spark, monkeypatch, group):
+    # Small splits, and parts so small that most are taken in pieces.
     monkeypatch.setattr(phrases, "SPLIT_WORDS", 300)
+    monkeypatch.setattr(phrases, "GROUP_BYTES", group)
     docs = fixture()
     rows = [(d, t, "clash") for d, t in docs] + [(900, None, "c"), (901, "", "c"), (None, docs[1][1], "c"), (7, docs[7][1], "c")]
     df = spark.createDataFrame(rows, "doc_id long, text string, anchors string")
     got = [(r.doc_id, r.first_word, r.n_words) for r in phrases.repeated_spans(df).collect()]
     assert set(got) == brute(docs) and len(got) == len(set(got))
     assert phrases.repeated_spans(df.limit(0)).count() == 0
+
+
+def test_rows_of_one_doc_id_give_one_answer_in_any_order(spark):
+    rng = random.Random(6)
+    text = lambda n: " ".join(f"w{rng.randint(0, 999)}" for _ in range(n))
+    a, b, c = text(90), text(60), text(70)
+    rows = [(1, a), (2, b + " " + a), (1, c), (3, "z " + c), (4, None), (4, "")]
+    found = []
+    for order in (rows, rows[::-1], rows[2:] + rows[:2]):
+        df = spark.createDataFrame(order, "doc_id long, text string")
+        found.append(sorted(tuple(r) for r in phrases.repeated_spans(df).collect()))
+    assert found[0] == found[1] == found[2]
+    # The text that counts for 1 is one of the two.
+    assert found[0] in ([(1, 0, 90), (2, 60, 90)], [(1, 0, 70), (3, 1, 70)])
