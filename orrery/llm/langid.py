@@ -80,15 +80,16 @@ def emissions(weights: np.ndarray, buckets: np.ndarray, counts: np.ndarray) -> n
     return total[ends] - total[ends - counts]
 
 
-def marginals(scores: np.ndarray, transitions: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def marginals(scores: np.ndarray, transitions: np.ndarray, counts: np.ndarray, moves: bool = False):
     """Label probabilities of every word, by forward-backward over each sequence.
 
     scores: words by labels, log scale; a sequence starts from a uniform label.
+    moves: also give how often each label is expected to follow each other, the start's label included.
     """
     n, k = scores.shape
     out = np.zeros((n, k))
     if not n:
-        return out
+        return (out, np.zeros((k, k))) if moves else out
     e = np.exp(scores - scores.max(axis=1, keepdims=True))
     t = np.exp(transitions - transitions.max())
     chunks = -(-counts // STEP)
@@ -121,13 +122,24 @@ def marginals(scores: np.ndarray, transitions: np.ndarray, counts: np.ndarray) -
         x = (a @ t) * full[:, s]
         a = np.where(inside[:, s, None], x / x.sum(axis=1, keepdims=True), a)
         alpha[:, s] = a
+    if moves:
+        before = np.concatenate((ahead[:, None], alpha[:, :-1]), axis=1)
+        onward = np.empty_like(alpha)
     b = behind
     for s in range(STEP - 1, -1, -1):
         alpha[:, s] *= b
-        x = (full[:, s] * b) @ t.T
+        x = full[:, s] * b
+        if moves:
+            onward[:, s] = x
+        x = x @ t.T
         b = np.where(inside[:, s, None], x / x.sum(axis=1, keepdims=True), b)
     out = alpha[inside]
-    return out / out.sum(axis=1, keepdims=True)
+    out /= out.sum(axis=1, keepdims=True)
+    if not moves:
+        return out
+    # The chance of a pair of labels: what leads to the first, the move, and what the second leads to.
+    both = before[inside][:, :, None] * t * onward[inside][:, None, :]
+    return out, (both / both.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
 
 
 @dataclass
@@ -172,25 +184,23 @@ def fit(texts: list[str], langs: list[str], rounds: int = 40, rate: float = 0.25
     sizes = np.diff(np.concatenate((np.arange(0, len(row), 256), [len(row)]))) if len(row) else np.zeros(0, int)
     weights, moves = np.zeros((1 << BITS, k)), np.zeros((k, k))
     state = [np.zeros_like(weights), np.zeros_like(weights), np.zeros_like(moves), np.zeros_like(moves)]
-    balance = 1.0 / np.maximum(np.bincount(gold, minlength=k), 1)
-    balance = (balance / balance.mean())[gold] if len(gold) else np.zeros(0)
     owner = np.repeat(np.arange(len(h)), per)
     truth = np.zeros((len(word), k))
     truth[np.arange(len(word)), gold] = 1
     joined = np.ones(len(word), bool)
     joined[np.cumsum(sizes) - sizes] = False
     pairs = np.bincount(gold[:-1][joined[1:]] * k + gold[1:][joined[1:]], minlength=k * k).reshape(k, k) if len(gold) else np.zeros((k, k))
+    firsts = np.bincount(gold[~joined], minlength=k)
     for r in range(1, rounds + 1 if len(word) else 1):
         score = emissions(weights, buckets, per)[word]
-        p = marginals(score, moves, sizes)
+        p, expected = marginals(score, moves, sizes, moves=True)
         gap = p - truth
         by_type = np.column_stack([np.bincount(word, gap[:, j], minlength=len(h)) for j in range(k)])
         g = np.column_stack([np.bincount(buckets, by_type[owner, j], minlength=1 << BITS) for j in range(k)]) / len(word) + ridge * weights
-        # Expected moves from neighbouring marginals: exact up to their dependence, enough for a smooth ascent.
-        both = np.exp(moves - moves.max())
-        q = p[:-1][joined[1:]][:, :, None] * p[1:][joined[1:]][:, None, :] * both
-        q /= q.sum(axis=(1, 2), keepdims=True)
-        gm = (q.sum(axis=0) - pairs) / len(word) + ridge * moves
+        # The start's label is unknown in the truth too: it has the share that its move to the first label gives it.
+        begin = np.exp(moves - moves.max())
+        seen = pairs + begin / begin.sum(axis=0) * firsts
+        gm = (expected - seen) / len(word) + ridge * moves
         for x, grad, i in ((weights, g, 0), (moves, gm, 2)):
             state[i] = 0.9 * state[i] + 0.1 * grad
             state[i + 1] = 0.99 * state[i + 1] + 0.01 * grad**2

@@ -69,3 +69,35 @@ def test_odd_rows(spark):
     none = df.withColumn("lang", df.lang.substr(9, 1)).where("doc_id = 1")
     assert langid.identify(none).collect()[0].lang is None
     assert langid.identify(df.limit(0)).count() == 0
+
+
+def test_expected_moves_are_those_of_enumeration_and_the_slope_of_the_likelihood():
+    rng = np.random.default_rng(12)
+    k, counts = 3, np.array([1, 5, 0, 7, 2])
+    scores, moves = rng.standard_normal((int(counts.sum()), k)), rng.standard_normal((k, k))
+
+    def whole(moves):
+        """Log partition over all sequences, by enumeration, and the expected moves."""
+        total, expected, at = 0.0, np.zeros((k, k)), 0
+        for n in counts:
+            if not n:
+                continue
+            paths = np.array(list(itertools.product(range(k), repeat=n + 1)))
+            weight = np.exp(sum(scores[at + i, paths[:, i + 1]] + moves[paths[:, i], paths[:, i + 1]] for i in range(n)))
+            total += np.log(weight.sum())
+            for i in range(n):
+                np.add.at(expected, (paths[:, i], paths[:, i + 1]), weight / weight.sum())
+            at += n
+        return total, expected
+
+    p, got = langid.marginals(scores, moves, counts, moves=True)
+    log, expected = whole(moves)
+    assert np.allclose(got, expected) and np.allclose(p, langid.marginals(scores, moves, counts))
+    for a in range(k):
+        for b in range(k):
+            step = np.zeros((k, k))
+            step[a, b] = 1e-5
+            assert abs((whole(moves + step)[0] - log) / 1e-5 - got[a, b]) < 1e-3
+    # Over chunk borders the moves still add up to one a word.
+    long = np.array([200, 33])
+    assert abs(langid.marginals(rng.standard_normal((233, k)), moves, long, moves=True)[1].sum() - 233) < 1e-6
