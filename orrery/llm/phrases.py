@@ -191,45 +191,48 @@ def locate(sent: DataFrame, words: int, parts: int) -> DataFrame:
 
     def run(group: pa.Table) -> pa.Table:
         machine = ahocorasick.Automaton()
-        # Of rows with one doc_id only those have a say whose text is the one that counts.
-        w, n = K.words(group.column("text"))
-        a, b = (x.view(np.int64) for x in _text_keys(w, n))
-        right = np.flatnonzero((a == group.column("k1").to_numpy()) & (b == group.column("k2").to_numpy()))
-        group = group.take(pa.array(right))
-        # A text comes once to a task, whatever the number of its hubs there.
-        row_of: dict[int, list] = {}
-        for r, (d, a) in enumerate(zip(group.column("doc_id").to_pylist(), group.column("anchors").to_pylist())):
-            row_of.setdefault(d, [r, set()])[1].update(a or ())
-        low = K.lower(pa.chunked_array(group.column("text").take(pa.array([r for r, _ in row_of.values()], pa.int64())).chunks, pa.string()).combine_chunks())
-        split = [_WORD.findall(t) for t in low.to_pylist()]
+        low = K.lower(pa.chunked_array(group.column("text").chunks, pa.string()).combine_chunks())
         data, offsets = K.buffers(low)
         begins, ends, counts = K.word_bounds(data, offsets)
         h = K.rolling(data, begins, ends)
+        del begins, ends
         at = np.cumsum(counts) - counts
-        for i, (_, wanted) in enumerate(row_of.values()):
-            if wanted:
+        # Of rows with one doc_id only those have a say whose text is the one that counts, and one of them.
+        a, b = (x.view(np.int64) for x in _text_keys(h, counts))
+        right = np.flatnonzero((a == group.column("k1").to_numpy()) & (b == group.column("k2").to_numpy()))
+        ids = group.column("doc_id").to_numpy()
+        rows = np.sort(right[np.unique(ids[right], return_index=True)[1]]).tolist()
+        anchors, plain = group.column("anchors"), {}
+
+        def blanks(text: str) -> np.ndarray:
+            """Where word j begins, less one; the last is the final blank."""
+            return np.flatnonzero(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) == 32)
+
+        for i in rows:
+            plain[i] = " " + " ".join(_WORD.findall(low[i].as_py())) + " "
+            wanted = np.array(anchors[i].as_py() or (), np.int64)
+            if len(wanted):
                 first, found = K.anchors(h[at[i] : at[i] + counts[i]], counts[i : i + 1], k, words - k + 1)
-                for p, x in zip(first.tolist(), (found & ~np.uint64(1)).view(np.int64).tolist()):
-                    if x in wanted:
-                        machine.add_word(" " + " ".join(split[i][p : p + k]) + " ", k)
+                place = blanks(plain[i])
+                for p in first[np.isin((found & ~np.uint64(1)).view(np.int64), wanted)].tolist():
+                    machine.add_word(plain[i][place[p] : place[p + k] + 1], k)
         starts, docs = [], []
         if len(machine):
             machine.make_automaton()
-            for i, (d, _) in enumerate(row_of.items()):
-                text = " " + " ".join(split[i]) + " "
-                n = len(split[i])
-                last = [e for e, _ in machine.iter(text)]
-                if not last or n < words:
+            for i in rows:
+                n = int(counts[i])
+                last = [e for e, _ in machine.iter(plain[i])] if n >= words else []
+                if not last:
                     continue
-                # The blank after a phrase ends its last word: as many words lie before it as blanks, less one.
-                blank = np.cumsum(np.fromiter(map(len, split[i]), np.int64, n) + 1)
-                p = np.searchsorted(blank, np.array(last)) + 1 - k
+                # A phrase ends with the blank after its last word.
+                p = np.searchsorted(blanks(plain[i]), np.array(last)) - k
                 edge = np.zeros(n + 2, np.int64)
                 np.add.at(edge, np.maximum(p - (words - k), 0), 1)
                 np.add.at(edge, np.minimum(p, n - words) + 1, -1)
                 s = np.flatnonzero(np.cumsum(edge)[: n - words + 1] > 0)
                 starts.append(s + at[i])
-                docs.append(np.full(len(s), d, np.int64))
+                docs.append(np.full(len(s), ids[i], np.int64))
+        del machine, plain
         if not starts:
             return pa.table({"part": pa.array([], pa.int32()), "hashes": pa.array([], pa.binary()), "docs": pa.array([], pa.binary()), "starts": pa.array([], pa.binary())})
         s, d = np.concatenate(starts), np.concatenate(docs)
