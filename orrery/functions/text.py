@@ -1,4 +1,7 @@
-"""Text expressions. All are built-in Spark expressions, so they stay inside generated code."""
+"""Text expressions. All are built-in Spark expressions, so no text leaves the JVM.
+
+Filters over arrays (a lambda) are interpreted; where rows of tokens are wanted, token_rows explodes first and filters rows.
+"""
 
 from __future__ import annotations
 
@@ -24,6 +27,11 @@ def tokens(c: Column, stopwords: tuple[str, ...] = STOPWORDS) -> Column:
     return F.filter(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[a-zA-Z]{3,}"), F.lit(0)), lambda t: ~t.isin(*stopwords))
 
 
+def token_rows(c: Column) -> Column:
+    """All words of three or more ASCII letters, lower-cased; rows that are stop words are dropped after exploding."""
+    return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[a-z]{3,}"), F.lit(0))
+
+
 def doc_text(title: Column, text: Column) -> Column:
     return F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(text, F.lit("")))
 
@@ -68,3 +76,13 @@ def features(c: Column) -> Column:
     words = F.filter(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[a-z0-9_]{2,}"), F.lit(0)), lambda t: ~t.isin(*ENGLISH))
     n = F.greatest(F.size(words) - 1, F.lit(0))
     return F.concat(words, F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda a, b: F.concat_ws(" ", a, b)))
+
+
+def utc_now() -> Column:
+    """The time of the query as ISO text in UTC, whatever the session's time zone."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+
+
+def session_id() -> Column:
+    """Eight characters of a random identifier, a new one for every row."""
+    return F.substring(F.uuid(), 1, 8)

@@ -9,7 +9,7 @@ from urllib.robotparser import RobotFileParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, StringType, StructField, StructType
 
 AUTHORITY = r"^[^:/?#]+://([^/?#]*)"
 PAGE = StructType([StructField(n, StringType()) for n in ("title", "text", "snippet")] + [StructField("links", ArrayType(StringType()))])
@@ -136,3 +136,16 @@ def robots_allowed(url: Column, rules: Column, always: Column) -> Column:
         return pd.Series(out, dtype=bool)
 
     return check(url, rules, always)
+
+
+@F.pandas_udf(DoubleType())
+def crawl_delay(rules: pd.Series) -> pd.Series:
+    """Seconds that robots rules ask of all agents; null if they don't."""
+    out = []
+    for text in rules:
+        parser = RobotFileParser()
+        parser.parse((text or "").splitlines())
+        parser.modified()
+        wait = parser.crawl_delay("*")
+        out.append(float(wait) if wait else None)
+    return pd.Series(out, dtype="float64")

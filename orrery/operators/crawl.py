@@ -85,3 +85,47 @@ def polite_times(requests: DataFrame, delay: float = 0.5) -> DataFrame:
     step = int(delay * 1_000_000)
     rows = requests.select("id", "domain", "timestamp", (t - k * step).alias("_s"), (k * step).alias("_k"))
     return rows.select("id", "domain", F.timestamp_micros(F.max("_s").over(w) + F.col("_k")).alias("earliest"))
+
+
+def steal_plan(queue: DataFrame, workers: DataFrame, over: int = 15, whole_below: int = 7) -> DataFrame:
+    """worker_rank, victim, domain, whole: what each idle worker steals.
+
+    queue(url, domain, worker_rank), workers(worker_rank).  Idle is who has nothing queued; the victim is the most
+    loaded worker with more than ``over`` URLs, the domain its longest; a queue of fewer than ``whole_below`` changes
+    hands as a whole.
+    """
+    by_domain = queue.groupBy("worker_rank", "domain").agg(F.count("*").alias("n"))
+    depth = by_domain.groupBy("worker_rank").agg(F.sum("n").alias("depth"), F.max(F.struct("n", "domain")).alias("longest"))
+    victim = depth.where(F.col("depth") > over).agg(F.max(F.struct("depth", "worker_rank", "longest")).alias("v")).where("v is not null")
+    idle = workers.select("worker_rank").distinct().join(depth.select("worker_rank"), "worker_rank", "left_anti")
+    return idle.crossJoin(F.broadcast(victim)).select("worker_rank", F.col("v.worker_rank").alias("victim"), F.col("v.longest.domain").alias("domain"), (F.col("v.longest.n") < whole_below).alias("whole"))
+
+
+def rehome(owners: DataFrame, places: DataFrame, dead: int) -> DataFrame:
+    """domain, owner: domains (domain, url, owner) after a worker's death.
+
+    Its domains go where the ring sends one of their URLs, or to the first worker alive if that is the dead one again.
+    """
+    from .sketch import route
+
+    orphans = owners.where(F.col("owner") == dead).select("domain", "url")
+    first = places.where(F.col("node") != dead).agg(F.min("node").alias("first"))
+    moved = route(orphans, "url", places, "to").crossJoin(F.broadcast(first)).select("domain", F.when(F.col("to") == dead, F.col("first")).otherwise(F.col("to")).alias("owner"))
+    return owners.where(F.col("owner") != dead).select("domain", "owner").unionByName(moved)
+
+
+def frontier_stats(frontier: DataFrame) -> DataFrame:
+    """size, domains, least_depth, empty of a frontier (url, depth)."""
+    g = frontier.agg(F.count("*").alias("size"), F.count_distinct(U.netloc(F.col("url"))).alias("domains"), F.min("depth").alias("least_depth"))
+    return g.withColumn("empty", F.col("size") == 0)
+
+
+def first_links(links: DataFrame, most: int = 50) -> DataFrame:
+    """src, dst of the first ``most`` links of each page (src, dsts): a cap that the reference workload asks for."""
+    return links.select("src", F.explode(F.slice("dsts", 1, most)).alias("dst"))
+
+
+def mapper_share(docs: DataFrame, mappers: int = 6, most: int = 500) -> DataFrame:
+    """doc_id, mapper: at most the first ``most`` documents of each mapper, which take turns in order of doc_id; an option, off by default."""
+    w = Window.partitionBy("mapper").orderBy("doc_id")
+    return docs.select("doc_id", F.pmod("doc_id", F.lit(mappers)).alias("mapper")).withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).select("doc_id", "mapper")

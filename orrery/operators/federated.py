@@ -15,14 +15,34 @@ def shard(post: DataFrame, n: int) -> DataFrame:
     return post.crossJoin(F.broadcast(size)).select("term", "doc_id", F.coalesce("tf", F.lit(1)).alias("tf"), F.floor(F.col("doc_id") / F.col("size")).alias("shard_id"))
 
 
+def shard_of(lengths: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """The size of a shard (one row), and the shards' statistics from document lengths: shard_id, n (postings), avgdl."""
+    size = lengths.agg(F.ceil((F.max("doc_id") + 1) / F.lit(n)).alias("size"))
+    rows = lengths.crossJoin(F.broadcast(size)).withColumn("shard_id", F.floor(F.col("doc_id") / F.col("size")))
+    return size, rows.groupBy("shard_id").agg(F.sum("n_terms").alias("n"), (F.sum("dl") / F.count("*")).alias("avgdl"))
+
+
 def shard_search(shards: DataFrame, queries: DataFrame, pagerank: DataFrame | None = None, top_k: int = 10, weights: tuple[float, float] = (0.85, 0.15)) -> DataFrame:
     """query_id, shard_id, doc_id, score, rank: BM25 with the shard's own N (its number of postings), df and mean length."""
     length = shards.groupBy("shard_id", "doc_id").agg(F.sum("tf").alias("dl"), F.count("*").alias("p"))
     stats = length.groupBy("shard_id").agg(F.sum("p").alias("n"), (F.sum("dl") / F.count("*")).alias("avgdl"))
     terms = queries.select("query_id", F.explode(query_terms(F.col("q"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     mine = shards.join(terms.select("term").distinct(), "term", "left_semi")
-    df = mine.groupBy("shard_id", "term").agg(F.count("*").alias("df"))
-    hits = mine.join(df, ["shard_id", "term"]).join(terms, "term").join(stats, "shard_id").join(length.drop("p"), ["shard_id", "doc_id"])
+    return _ranked(mine.join(terms, "term").join(length.drop("p"), ["shard_id", "doc_id"]), stats, pagerank, top_k, weights)
+
+
+def shard_search_stored(store, n: int, queries: DataFrame, pagerank: DataFrame | None = None, top_k: int = 10, weights: tuple[float, float] = (0.85, 0.15)) -> DataFrame:
+    """The same over a stored index divided into n shards of documents: the terms' slots and the lengths are read, no texts."""
+    size, stats = shard_of(store.lengths, n)
+    hits = store.hits(queries).drop("df").crossJoin(F.broadcast(size)).withColumn("shard_id", F.floor(F.col("doc_id") / F.col("size")))
+    return _ranked(hits, stats, pagerank, top_k, weights)
+
+
+def _ranked(hits: DataFrame, stats: DataFrame, pagerank: DataFrame | None, top_k: int, weights: tuple[float, float]) -> DataFrame:
+    """hits: query_id, term, times, shard_id, doc_id, tf, dl."""
+    df = hits.groupBy("shard_id", "term").agg(F.count_distinct("doc_id").alias("df"))
+    # As many rows as shards.
+    hits = hits.join(df, ["shard_id", "term"]).join(F.broadcast(stats), "shard_id")
     part = F.col("times") * S.idf(F.col("n"), F.col("df")) * S.tf_norm(F.col("tf"), F.col("dl"), F.col("avgdl"))
     found = hits.groupBy("query_id", "shard_id", "doc_id").agg(F.sum(part).alias("s"))
     if pagerank is None:

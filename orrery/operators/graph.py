@@ -47,6 +47,12 @@ def pagerank(edges: DataFrame, nodes: DataFrame | None = None, damping: float =
     return ranks.crossJoin(F.broadcast(best)).select("doc_id", F.round(F.col("r") / F.col("m"), 6).alias("score"))
 
 
+def inlink_shares(edges: DataFrame) -> DataFrame:
+    """doc_id, share: links to each page over those to the most linked one (6 places)."""
+    n = edges.groupBy(F.col("dst").alias("doc_id")).agg(F.count("*").alias("n"))
+    return n.crossJoin(F.broadcast(n.agg(F.max("n").alias("most")))).select("doc_id", F.round(F.col("n") / F.col("most"), 6).alias("share"))
+
+
 def subgraph(edges: DataFrame, ranks: DataFrame, n: int = 300, most: int = 800) -> DataFrame:
     """src, dst between the n best pages, the first ``most`` of them, with node sizes from 8 to 58."""
     best = ranks.orderBy(F.col("score").desc(), "doc_id").limit(n)
@@ -56,6 +62,17 @@ def subgraph(edges: DataFrame, ranks: DataFrame, n: int = 300, most: int = 800)
     return inner.select("src", "dst", "src_size", "dst_size").orderBy("src", "dst").limit(most)
 
 
+def nodes_to_draw(ranks: DataFrame, edges: DataFrame, n: int = 300) -> DataFrame:
+    """doc_id, size, colour, drawn_links of the n best pages: how they are drawn, and how many of their links lead to others of them."""
+    best = ranks.orderBy(F.col("score").desc(), "doc_id").limit(n)
+    size = best.crossJoin(F.broadcast(best.agg(F.max("score").alias("m")))).select("doc_id", F.round(8 + F.col("score") / F.when(F.col("m") == 0, 1.0).otherwise(F.col("m")) * 50, 3).alias("size"))
+    ids = F.broadcast(best.select("doc_id"))
+    inner = edges.join(ids.withColumnRenamed("doc_id", "dst"), "dst").groupBy(F.col("src").alias("doc_id")).agg(F.count("*").alias("k"))
+    group = F.pmod("doc_id", F.lit(3))
+    colour = F.when(group == 0, "blue").when(group == 1, "green").otherwise("grey")
+    return size.join(inner, "doc_id", "left").select("doc_id", "size", colour.alias("colour"), F.coalesce("k", F.lit(0)).alias("drawn_links"))
+
+
 def neighbours(edges: DataFrame, start: DataFrame, hops: int = 2) -> DataFrame:
     """start, doc_id, hop: nodes within so many hops of each start, by their least distance, in either direction."""
     both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(edges.select(F.col("dst").alias("a"), F.col("src").alias("b"))).distinct()

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import STOPWORDS, token_rows, tokens
 
 
 def emit(docs: DataFrame, text: str | Column = "text") -> DataFrame:
     """One row (doc_id, term) per token."""
-    return docs.select("doc_id", F.explode(tokens(F.col(text) if isinstance(text, str) else text)).alias("term"))
+    return docs.select("doc_id", F.explode(token_rows(F.col(text) if isinstance(text, str) else text)).alias("term")).where(~F.col("term").isin(*STOPWORDS))
 
 
 def postings(docs: DataFrame, text: str | Column = "text") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores as S
 from ..functions.text import features, query_terms
+from ..session import maybe_broadcast, small, written
 
 
 def top(df: DataFrame, score: str, n: int, by: str = "query_id") -> DataFrame:
@@ -28,8 +29,17 @@ def bm25(post: DataFrame, lengths: DataFrame, n_docs: DataFrame, queries: DataFr
     # Only postings of query terms take part, from the scan on.
     mine = post.join(terms.select("term").distinct(), "term", "left_semi")
     df = mine.groupBy("term").agg(F.count("*").alias("df"))
-    corpus = n_docs.crossJoin(lengths.agg(F.sum("dl").alias("total"))).select("n", (F.col("total") / F.col("n")).alias("avgdl"))
-    hits = mine.join(df, "term").join(terms, "term").join(lengths, "doc_id", "left").crossJoin(F.broadcast(corpus))
+    corpus = n_docs.crossJoin(lengths.agg(F.sum("dl").alias("total")))
+    return _scored(mine.join(df, "term").join(terms, "term").join(lengths, "doc_id", "left"), corpus, pagerank, top_n, weights)
+
+
+def bm25_stored(store, queries: DataFrame, pagerank: DataFrame | None = None, top_n: int = 20, weights: tuple[float, float] = (0.8, 0.2)) -> DataFrame:
+    """The same from a stored index: the scan of the terms' slots, one aggregation and one ranking."""
+    return _scored(store.hits(queries), store.corpus, pagerank, top_n, weights)
+
+
+def _scored(hits: DataFrame, corpus: DataFrame, pagerank: DataFrame | None, top_n: int, weights: tuple[float, float]) -> DataFrame:
+    hits = hits.crossJoin(F.broadcast(corpus.select("n", (F.col("total") / F.col("n")).alias("avgdl"))))
     part = F.col("times") * S.idf(F.col("n"), F.col("df")) * S.tf_norm(F.col("tf"), F.coalesce("dl", "avgdl"), F.col("avgdl"))
     found = hits.select("query_id", "doc_id", part.alias("part")).groupBy("query_id", "doc_id").agg(F.sum("part").alias("s"))
     if pagerank is not None:
@@ -43,13 +53,14 @@ def tfidf(docs: DataFrame, max_features: int = 30000, min_df: int = 2) -> tuple[
     Words and neighbouring pairs, in min_df documents at least, the most frequent
     max_features by total count; weight 1 + ln tf times idf, rows of length one.
     """
-    counts = docs.select("doc_id", F.explode(features(F.col("text"))).alias("feature")).groupBy("feature", "doc_id").agg(F.count("*").alias("tf"))
+    counts = written(docs.select("doc_id", F.explode(features(F.col("text"))).alias("feature")).groupBy("feature", "doc_id").agg(F.count("*").alias("tf")), "features")
     n = docs.agg(F.count("*").alias("n"))
     kept = counts.groupBy("feature").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).where(F.col("df") >= min_df).orderBy(F.col("total").desc(), "feature").limit(max_features)
-    kept = kept.crossJoin(F.broadcast(n)).select("feature", (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    raw = counts.join(kept, "feature").select("doc_id", "feature", ((1 + F.ln("tf")) * F.col("idf")).alias("w"))
-    norm = raw.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, "doc_id").select("doc_id", "feature", (F.col("w") / F.col("norm")).alias("weight")), kept
+    kept = written(kept.crossJoin(F.broadcast(n)).select("feature", (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")), "kept")
+    # No more rows than max_features.
+    raw = counts.join(maybe_broadcast(kept), "feature").select("doc_id", "feature", ((1 + F.ln("tf")) * F.col("idf")).alias("w"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id")))
+    return raw.select("doc_id", "feature", (F.col("w") / norm).alias("weight")), kept
 
 
 def tfidf_search(weights: DataFrame, kept: DataFrame, queries: DataFrame, top_n: int = 20) -> DataFrame:
@@ -62,6 +73,20 @@ def tfidf_search(weights: DataFrame, kept: DataFrame, queries: DataFrame, top_n:
     return top(found, "similarity", top_n)
 
 
+def tfidf_stored(store, queries: DataFrame, top_n: int = 20) -> DataFrame:
+    """The same from a stored index, whose features' slots alone are read."""
+    from .store import meet, terms_of
+
+    weights, kept = store.features
+    q = terms_of(queries, F.explode(features(F.col("q"))), store.slots, "feature")
+    few = small(q)
+    w = meet(q, kept, "feature").select("query_id", "feature", "slot", ((1 + F.ln("times")) * F.col("idf")).alias("w"))
+    w = w.withColumn("norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("query_id"))))
+    found = weights.join(F.broadcast(w) if few else w, ["slot", "feature"]).groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("w")).alias("s"), F.first("norm").alias("norm"))
+    found = found.select("query_id", "doc_id", F.round(F.col("s") / F.col("norm"), 4).alias("similarity")).where("similarity > 0")
+    return top(found, "similarity", top_n)
+
+
 def _blocks(df: DataFrame, key: str, vector: str, name: str, rows: int) -> DataFrame:
     """Rows of up to ``rows`` vectors of length one as bytes, with their keys; null vectors are left out."""
     kind = dict(df.dtypes)[key]

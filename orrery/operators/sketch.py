@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 
 def bloom_size(capacity: int, fp: float) -> tuple[int, int]:
     """Bits and hash functions for so many items at a false-positive rate."""
@@ -74,39 +76,66 @@ def ring(spark, nodes: list, virtual: int = 150) -> DataFrame:
     return rows.select(F.md5(F.concat(F.col("node").cast("string"), F.lit("-vnode-"), F.col("i").cast("string")).cast("binary")).alias("pos"), "node")
 
 
-def route(items: DataFrame, key: str | Column, places: DataFrame, name: str = "node") -> DataFrame:
+def route(items: DataFrame, key: str | Column, places: DataFrame, name: str = "node", digits: int = 3) -> DataFrame:
     """items with the node whose place is the first at or after the key's hash, around the ring.
 
-    Keys and places are merged by position in ranges of the ring's first hex
-    digits, so no task needs all of either; the ring's own size is fixed by its nodes.
+    The ring is cut into 16 ** digits ranges of leading hex digits.  Every arc between two places is listed in the
+    ranges that it touches, so keys find theirs by equality of the range and compare the few arcs in it.  The arcs'
+    number is fixed by the nodes, not by the keys.
     """
     c = F.col(key) if isinstance(key, str) else key
-    w = Window.orderBy("pos")
-    spans = places.withColumn("from", F.lag("pos").over(w)).withColumn("last", F.max("pos").over(Window.partitionBy()))
-    first = F.col("from").isNull()
-    r = spans.select(F.col("pos").alias("_to"), F.col("from").alias("_from"), F.col("node").alias(name), F.when(first, F.col("last")).alias("_last"))
-    h = F.md5(c.cast("string").cast("binary"))
-    inside = (F.col("_h") <= F.col("_to")) & (F.col("_from").isNull() | (F.col("_h") > F.col("_from")))
-    return items.withColumn("_h", h).join(F.broadcast(r), inside | (F.col("_h") > F.col("_last"))).drop("_h", "_to", "_from", "_last")
-
-
-def push_sum(values: list[float], rounds: int | None = None) -> list[dict]:
-    """Gossip means by ring doubling: what every node estimates after all rounds.
-
-    A simulation of the protocol on its node count; exact sums are Spark's own.
+    taken = set(items.columns) | {name}
+    h, bucket = (next(x for x in (f"{base}{'_' * k}" for k in range(99)) if x not in taken) for base in ("ring_hash", "ring_range"))
+    w = Window.partitionBy(F.lit(0)).orderBy("pos")
+    whole = places.groupBy().agg(F.min(F.struct("pos", "node")).alias("a"), F.max("pos").alias("z"))
+    arcs = places.select(F.lag("pos").over(w).alias("after"), F.col("pos").alias("until"), "node").where("after is not null")
+    # The first place's arc runs from the last one over the ring's end; a place at its start has no arc before it.
+    arcs = arcs.unionByName(whole.select(F.lit("").alias("after"), F.col("a.pos").alias("until"), "a.node")).unionByName(whole.select(F.col("z").alias("after"), F.lit("g").alias("until"), "a.node"))
+    number = lambda x: F.coalesce(F.conv(F.rpad(F.substring(x, 1, digits), digits, "0"), 16, 10).cast("int"), F.lit(0))
+    last = F.when(F.col("until") == "g", F.lit(16**digits - 1)).otherwise(number("until"))
+    arcs = arcs.withColumn(bucket, F.explode(F.sequence(F.when(F.col("after") == "", 0).otherwise(number("after")), last)))
+    arcs = arcs.select(bucket, F.col("after").alias("ring_after"), F.col("until").alias("ring_until"), F.col("node").alias("ring_node"))
+    keyed = items.withColumn(h, F.md5(c.cast("string").cast("binary")))
+    keyed = keyed.withColumn(bucket, number(h))
+    hit = keyed.join(F.broadcast(arcs), [bucket]).where((F.col(h) > F.col("ring_after")) & (F.col(h) <= F.col("ring_until")))
+    return hit.select(*[F.col(f"`{x}`") for x in items.columns if x != name], F.col("ring_node").alias(name))
+
+
+def push_sum(values: DataFrame, nodes: int, rounds: int | None = None) -> DataFrame:
+    """node, mean, sum (6 places): what every node estimates after rounds of gossip by ring doubling.
+
+    values(node, value), nodes numbered from 0.  A round is one join of the nodes with the one so far before them; it
+    simulates the protocol, since an exact sum is an aggregate.
     """
-    n = len(values)
-    steps = math.ceil(math.log2(max(n, 2)))
-    rounds = steps + 1 if rounds is None else rounds
-    v, w = [float(x) for x in values], [1.0] * n
-    done = [0] * n
-    live = [v[i] / w[i] for i in range(n)]
-    for r in range(rounds):
-        stride = 1 << (r % steps)
-        v = [v[i] / 2 + v[(i - stride) % n] / 2 for i in range(n)]
-        w = [w[i] / 2 + w[(i - stride) % n] / 2 for i in range(n)]
-        now = [v[i] / max(w[i], 1e-12) for i in range(n)]
-        if r >= 2:
-            done = [d or (r + 1 if abs(a - b) / max(abs(b), 1e-9) < 0.001 else 0) for d, a, b in zip(done, now, live)]
-        live = now
-    return [{"node": i, "mean": live[i], "sum": live[i] * n, "converged_at": done[i] or None} for i in range(n)]
+    steps = math.ceil(math.log2(max(nodes, 2)))
+    state = written(values.select("node", F.col("value").alias("v"), F.lit(1.0).alias("w")), "gossip")
+    for r in range(steps + 1 if rounds is None else rounds):
+        sent = state.select(F.pmod(F.col("node") + (1 << (r % steps)), F.lit(nodes)).alias("node"), F.col("v").alias("gv"), F.col("w").alias("gw"))
+        state = state.join(sent, "node").select("node", (F.col("v") / 2 + F.col("gv") / 2).alias("v"), (F.col("w") / 2 + F.col("gw") / 2).alias("w"))
+    mean = F.col("v") / F.greatest(F.col("w"), F.lit(1e-12))
+    return state.select("node", F.round(mean, 6).alias("mean"), F.round(mean * nodes, 6).alias("sum"))
+
+
+def gossip(bits: DataFrame, nodes: int, rounds: int, key: str = "node") -> DataFrame:
+    """round, node, n_bits, new_bits: filters (node from 0, pos) that each take in the one 1, 2, 4... places before, round by round."""
+    state = written(bits.select(key, "pos").distinct(), "gossip")
+    count = lambda x, r: x.groupBy(key).agg(F.count("*").alias("n_bits")).select(F.lit(r).cast("long").alias("round"), key, "n_bits")
+    seen = count(state, 0)
+    for r in range(1, rounds + 1):
+        sent = state.select(F.pmod(F.col(key) + (1 << (r - 1)), F.lit(nodes)).alias(key), "pos")
+        state = written(state.unionByName(sent).distinct(), "gossip")
+        seen = seen.unionByName(count(state, r))
+    w = Window.partitionBy(key).orderBy("round")
+    return seen.withColumn("new_bits", F.col("n_bits") - F.coalesce(F.lag("n_bits").over(w), F.lit(0)))
+
+
+def false_positives(known: DataFrame, unseen: DataFrame, column: str, m: int, k: int) -> DataFrame:
+    """tested, found, rate (6 places): how many of the items that were not put in a filter it takes for its own."""
+    hit = bloom_contains(unseen, column, bloom(known, column, m, k), m, k)
+    return hit.agg(F.count("*").alias("tested"), F.count_if("maybe_present").alias("found")).withColumn("rate", F.round(F.col("found") / F.col("tested"), 6))
+
+
+def common_bits(bits: DataFrame, key: str = "filter_id") -> DataFrame:
+    """a < b, n: how many bits each two filters share."""
+    a, b = bits.select(F.col(key).alias("a"), "pos").distinct(), bits.select(F.col(key).alias("b"), "pos").distinct()
+    return a.join(b, "pos").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))

@@ -11,25 +11,25 @@ from ..operators import index as I
 from ..operators import logs as L
 from ..operators import rank as R
 from ..operators import suggest as SG
+from ..operators.store import Store
 from ..sources import tables as TB
 from ..streaming import live as LV
 
 
 class Engine:
-    """A corpus with its index, and the logs around it.
+    """A corpus with its stored index, and the logs around it.
 
-    docs(doc_id, text), meta(doc_id, url, title, snippet), pagerank(doc_id, score),
+    store (of docs), meta(doc_id, url, title, snippet), pagerank(doc_id, score),
     query_log, click_log, crawl_log.  Requests are tables too, so a hundred
-    searches are one plan.
+    searches are one plan.  Nothing but ``reindex`` reads a text.
     """
 
-    def __init__(self, docs: DataFrame, meta: DataFrame, pagerank: DataFrame | None = None, query_log: DataFrame | None = None, click_log: DataFrame | None = None, crawl_log: DataFrame | None = None, postings: DataFrame | None = None, curated: DataFrame | None = None):
-        self.docs, self.meta, self.pagerank = docs, meta, pagerank
+    def __init__(self, store: Store, meta: DataFrame, pagerank: DataFrame | None = None, query_log: DataFrame | None = None, click_log: DataFrame | None = None, crawl_log: DataFrame | None = None, curated: DataFrame | None = None, vectors: DataFrame | None = None):
+        self.store, self.meta, self.pagerank, self.vectors = store, meta, pagerank, vectors
         self.query_log, self.click_log, self.crawl_log = query_log, click_log, crawl_log
-        self.postings = postings if postings is not None else I.postings(docs)
-        self.lengths, self.n = I.lengths_of(docs), docs.agg(F.count("*").alias("n"))
-        self.vocabulary = I.frequencies(self.postings)
-        self.curated = curated if curated is not None else SG.synonym_table(docs.sparkSession)
+        self.vocabulary = store.vocabulary.select("term", "df")
+        self.postings = store.postings.select("term", "doc_id", "tf")
+        self.curated = curated
 
     def suggest(self, prefixes: DataFrame) -> DataFrame:
         return SG.complete(self.vocabulary, prefixes, least=2)
@@ -41,17 +41,24 @@ class Engine:
         return SG.correct_queries(self.vocabulary, queries)
 
     def expand(self, queries: DataFrame) -> DataFrame:
+        """With words that occur together, after those of the curated table (term, pos, synonym) if there is one."""
         terms = queries.select(F.explode(F.split(F.trim(F.lower("q")), r"\s+")).alias("term"))
         return SG.expand(queries, SG.synonyms(terms, self.vocabulary, SG.cooccurrence(self.postings), self.curated))
 
     def search(self, queries: DataFrame, limit: int = 10) -> DataFrame:
-        return R.with_meta(R.bm25(self.postings, self.lengths, self.n, queries, self.pagerank, limit), self.meta)
+        return R.with_meta(R.bm25_stored(self.store, queries, self.pagerank, limit), self.meta)
 
     def hybrid(self, queries: DataFrame, expanded: DataFrame | None = None, top_n: int = 20) -> DataFrame:
-        """Lexical search on the expanded queries, semantic search on the queries as they are."""
-        lexical = R.bm25(self.postings, self.lengths, self.n, queries if expanded is None else expanded, self.pagerank, 2 * top_n)
-        semantic = R.tfidf_search(*R.tfidf(self.docs), queries, 2 * top_n)
-        return R.hybrid(lexical, semantic, 0.05, R.hybrid_weights(2, False), top_n)
+        """Lexical search on the expanded queries, semantic search on the queries as they are.
+
+        With vectors of the documents (doc_id, embedding) the semantic side is vector search; otherwise it is TF-IDF.
+        """
+        lexical = R.bm25_stored(self.store, queries if expanded is None else expanded, self.pagerank, 2 * top_n)
+        if self.vectors is None:
+            return R.hybrid(lexical, R.tfidf_stored(self.store, queries, 2 * top_n), 0.05, R.hybrid_weights(2, False), top_n)
+        asked = R.encode_words(queries.withColumnRenamed("query_id", "doc_id"), "q").select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("q_vector"))
+        found = R.vector_search(self.vectors, asked, 2 * top_n, key="doc_id")
+        return R.hybrid(lexical, found, 0.2, R.hybrid_weights(2, True), top_n)
 
     def page(self, queries: DataFrame) -> DataFrame:
         """A result page: spelling, expansion, hybrid search, click boost, highlighted snippets."""
@@ -68,7 +75,7 @@ class Engine:
         return queries.join(counts, "query_id", "left").select(F.col("q").alias("query"), F.coalesce("n", F.lit(0)).alias("result_count"), F.lit(now).cast("timestamp").alias("timestamp"), F.lit(session).alias("session_id"))
 
     def stats(self) -> DataFrame:
-        return self.n.crossJoin(self.vocabulary.agg(F.count("*").alias("terms")))
+        return self.store.corpus.select("n").crossJoin(self.vocabulary.agg(F.count("*").alias("terms")))
 
     def document(self, doc_id: int) -> DataFrame:
         found = TB.document(self.meta, doc_id)
@@ -84,11 +91,11 @@ class Engine:
         return {"top_terms": L.term_frequency(self.query_log), "position_bias": L.position_bias(self.click_log), "zero_results": L.result_gaps(self.query_log).where("kind = 'zero'"), "hourly_volume": L.hour_volume(self.query_log)}
 
     def federated(self, queries: DataFrame, shards: int = 3) -> DataFrame:
-        return FD.merge_shards(FD.shard_search(FD.shard(self.postings, shards), queries, self.pagerank))
+        return FD.merge_shards(FD.shard_search_stored(self.store, shards, queries, self.pagerank))
 
     def collaborative(self, queries: DataFrame, now: str, half_life: float = 300.0) -> DataFrame:
         return R.boost_crowd(self.hybrid(queries), LV.crowd_scores(self.click_log, now, half_life))
 
     def reindex(self, indexed: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Postings and index metadata with the documents that ``indexed`` (doc_id, term_count) lacks."""
-        return I.incremental(self.docs, self.postings.join(indexed.select("doc_id"), "doc_id", "left_semi"), indexed)
+        return I.incremental(self.store.docs, self.postings.join(indexed.select("doc_id"), "doc_id", "left_semi"), indexed)

@@ -10,9 +10,14 @@ from pyspark.sql import functions as F
 from ..functions import urls as U
 from ..functions.text import ENGLISH, LOG_STOPWORDS, STOPWORDS
 from ..operators import index as I
+from ..operators.store import Store
 from ..session import importable, scratch
 
 
+#: Stored indexes by application and folder: built by the first query that searches, read by all later ones.
+_STORES: dict[tuple[str, str], Store] = {}
+
+
 class Inputs:
     """Base tables, and the logs and graphs that are derived from them."""
 
@@ -57,10 +62,30 @@ class Inputs:
     def page_docs(self) -> DataFrame:
         return self.pages.select(F.col("page_id").alias("doc_id"), "url", U.title_of(F.col("html")).alias("title"), F.lit(None).cast("string").alias("snippet"))
 
+    @cached_property
+    def parsed(self) -> DataFrame:
+        """Pages in full: doc_id, url, title, text, snippet, links."""
+        return self.pages.select(F.col("page_id").alias("doc_id"), "url", U.parse_page("html", "url").alias("p")).select("doc_id", "url", "p.title", "p.text", "p.snippet", "p.links")
+
+    @cached_property
+    def links(self) -> DataFrame:
+        """src, dst of every link, repeated ones and loops too."""
+        from pyspark.sql import Window
+
+        w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+        return self.read("lineitem").select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst")).where("dst is not null")
+
     @cached_property
     def postings(self) -> DataFrame:
         return I.postings(self.documents)
 
+    @property
+    def store(self) -> Store:
+        key = (self.spark.sparkContext.applicationId, self.dir)
+        if key not in _STORES:
+            _STORES[key] = Store.build(self.documents)
+        return _STORES[key]
+
     @cached_property
     def lengths(self) -> DataFrame:
         return I.lengths_of(self.documents)
@@ -75,11 +100,7 @@ class Inputs:
 
     @cached_property
     def edges(self) -> DataFrame:
-        from pyspark.sql import Window
-
-        w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
-        l = self.read("lineitem").select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst"))
-        return l.where("dst is not null and src <> dst").distinct()
+        return self.links.where("src <> dst").distinct()
 
     @cached_property
     def queries(self) -> DataFrame:
@@ -113,6 +134,7 @@ POST = f"tok AS (SELECT doc_id, unnest({toks('text')}) AS term FROM documents),
 VOCAB = f"{POST}, vocabulary AS (SELECT term, count(*) AS df FROM postings GROUP BY term)"
 TITLE = "coalesce(nullif(trim(replace(replace(replace(replace(replace(regexp_extract(coalesce(html, ''), '(?is)<title[^>]*>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&')), ''), 'No title')"
 PDOCS = f"page_docs AS (SELECT page_id AS doc_id, url, {TITLE} AS title, CAST(NULL AS VARCHAR) AS snippet FROM pages)"
+LINKS = "links AS (SELECT src, dst FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS dst FROM lineitem) WHERE dst IS NOT NULL)"
 EDGES = "edges AS (SELECT DISTINCT src, dst FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS dst FROM lineitem) WHERE dst IS NOT NULL AND src <> dst)"
 
 
@@ -134,3 +156,14 @@ def pagerank(rounds: int = 20) -> str:
     for i in range(1, rounds + 1):
         steps.append(f"r{i} AS MATERIALIZED (SELECT doc_id, 0.15::DOUBLE / n + 0.85::DOUBLE * coalesce(got, 0) AS r FROM nodes LEFT JOIN (SELECT dst AS doc_id, sum(r / degree) AS got FROM moves JOIN r{i - 1} ON src = r{i - 1}.doc_id GROUP BY dst) USING (doc_id), cnt)")
     return ", ".join(steps) + f", pr AS (SELECT doc_id, round(r / (SELECT max(r) FROM r{rounds}), 6) AS pr FROM r{rounds})"
+
+
+def push_sum(nodes: int, rounds: int) -> str:
+    """A query of all nodes' estimates after so many rounds, over crawl_log."""
+    import math
+
+    steps = math.ceil(math.log2(nodes))
+    out = ["s0 AS (SELECT node, v, 1.0::DOUBLE AS w FROM (SELECT worker_rank AS node, CAST(count(*) FILTER (status = 'ok') AS DOUBLE) AS v FROM crawl_log GROUP BY 1 UNION ALL SELECT 0, 0.0))"]
+    for r in range(rounds):
+        out.append(f"s{r + 1} AS (SELECT a.node, a.v / 2 + b.v / 2 AS v, a.w / 2 + b.w / 2 AS w FROM s{r} a JOIN s{r} b ON b.node = (a.node + {nodes} - {1 << (r % steps)}) % {nodes})")
+    return ", ".join(out) + f" SELECT node, round(v / w, 6) AS mean, round(v / w * {nodes}, 6) AS sum FROM s{rounds}"

@@ -47,14 +47,20 @@ register("src_crawled_urls", lambda t: t.pages.select("url").distinct(), "SELECT
 register("src_logs", lambda t: t.query_log.orderBy("timestamp", "id"), f"WITH {N.QLOG} SELECT * FROM query_log ORDER BY timestamp, id")
 
 
-def _json_pages(t: Inputs) -> DataFrame:
+def _json_pages(t: Inputs, whole: bool) -> DataFrame:
+    """Pages as JSON and back: whether text, snippet and links came back as they went."""
     path = scratch(t.spark, "pages")
-    docs = t.page_docs.withColumn("text", F.lit("")).withColumn("links", F.array().cast("array<string>"))
+    docs = t.parsed
     TB.write_pages(docs, path)
-    return TB.json_pages(t.spark, path, whole_files=False).select("doc_id", "url", "title")
+    mark = F.xxhash64("text", "snippet", "links")
+    back = TB.json_pages(t.spark, path, whole_files=False)
+    if not whole:
+        return back.select("doc_id", "url", "title", (F.length("text") > 0).alias("has_text"))
+    return back.select("doc_id", "url", mark.alias("b")).join(docs.select("doc_id", mark.alias("a")), "doc_id").select("doc_id", "url", (c("a") == c("b")).alias("same"))
 
 
-register("src_json_pages", _json_pages, f"WITH {N.PDOCS} SELECT doc_id, url, title FROM page_docs")
+register("src_json_pages", lambda t: _json_pages(t, False), f"WITH {N.PDOCS} SELECT doc_id, url, title, true AS has_text FROM page_docs")
+register("snk_page_json", lambda t: _json_pages(t, True), "SELECT page_id AS doc_id, url, true AS same FROM pages")
 
 
 def _index_round(t: Inputs) -> DataFrame:
@@ -74,7 +80,8 @@ def _metrics_round(t: Inputs) -> DataFrame:
 
 
 register("src_metrics_jsonl", _metrics_round, f"WITH {N.WLOG} SELECT domain, status, count(*) AS n, round(sum(round(duration_ms, 1)), 1) AS ms FROM crawl_log WHERE status <> 'blocked' GROUP BY ALL")
-register("src_vectors", lambda t: t.read("embeddings").select("vec_id", "label", F.size("embedding").cast("long").alias("dims")), "SELECT vec_id, label, len(embedding) AS dims FROM embeddings")
+VECTORS = "SELECT vec_id, label, i AS dim, round(embedding[i]::DOUBLE, 6) AS x FROM embeddings, range(1, 65) r(i)"
+register("src_vectors", lambda t: TB.components(t.read("embeddings")), VECTORS)
 
 # Sinks as transformations ------------------------------------------------------------------------
 register(
@@ -152,7 +159,7 @@ for _s in ("ok", "failed", "blocked"):
     register(f"flt_status_{_s}", lambda t, s=_s: t.crawl_log.where(c("status") == s), f"WITH {N.WLOG} SELECT * FROM crawl_log WHERE status = '{_s}'")
 register("flt_zero_results", lambda t: t.query_log.where("result_count = 0"), f"WITH {N.QLOG} SELECT * FROM query_log WHERE result_count = 0")
 register("flt_like_prefix_word", lambda t: t.click_log.where(F.lower("query").contains("term1")), f"WITH {N.CLOG} SELECT * FROM click_log WHERE query ILIKE '%TERM1%'")
-register("flt_last_24h", lambda t: L.hourly(t.query_log, NOW, 24), f"WITH {N.QLOG} SELECT strftime(timestamp, '%H:00') AS hour, count(*) AS n FROM query_log WHERE timestamp >= TIMESTAMP '{NOW}' - INTERVAL 24 HOUR AND timestamp <= TIMESTAMP '{NOW}' GROUP BY 1")
+register("flt_last_24h", lambda t: t.query_log.where(L.within(NOW, 24)), f"WITH {N.QLOG} SELECT * FROM query_log WHERE timestamp >= TIMESTAMP '{NOW}' - INTERVAL 24 HOUR AND timestamp <= TIMESTAMP '{NOW}'")
 register("flt_len_diff", lambda t: t.read("nation").crossJoin(t.read("region")).where(F.abs(F.length("n_name") - F.length("r_name")) <= 3).select("n_name", "r_name"), "SELECT n_name, r_name FROM nation, region WHERE abs(length(n_name) - length(r_name)) <= 3")
 register("flt_cooc_ge3", lambda t: SG.cooccurrence(t.postings).where("n >= 3"), f"WITH {N.VOCAB}, top AS (SELECT term, df FROM vocabulary ORDER BY df DESC, term LIMIT 2000), o AS (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY df DESC, term) AS i FROM postings JOIN top USING (term)), p AS (SELECT a.term AS t1, b.term AS t2 FROM o a JOIN o b ON a.doc_id = b.doc_id AND b.i - a.i BETWEEN 1 AND 5) SELECT t1, t2, count(*) AS n FROM (SELECT * FROM p UNION ALL SELECT t2, t1 FROM p) GROUP BY ALL HAVING count(*) >= 3")
 register("flt_low_result", lambda t: L.result_gaps(t.query_log).where("kind = 'low'"), f"WITH {N.QLOG} SELECT lower(query) AS query, count(*) AS n, round(avg(result_count), 4) AS avg_results, 'low' AS kind FROM query_log GROUP BY 1 HAVING avg(result_count) > 0 AND avg(result_count) < 3 AND count(*) > 1")
@@ -162,7 +169,7 @@ register("flt_title_ok", lambda t: C.accepted(t.crawl_log.withColumn("title", F.
 register("flt_content_type", lambda t: t.pages.select("page_id", F.when(c("page_id") % 3 == 0, "text/html; charset=utf-8").otherwise("image/png").alias("kind")).where(c("kind").contains("text/html")), "SELECT page_id, 'text/html; charset=utf-8' AS kind FROM pages WHERE page_id % 3 = 0")
 register("flt_self_loop", lambda t: t.edges, f"WITH {N.EDGES} SELECT * FROM edges")
 register("flt_shard_range", lambda t: FD.shard(t.postings, 3).select("doc_id", "shard_id").distinct(), f"WITH {N.POST}, z AS (SELECT ceil((max(doc_id) + 1) / 3)::BIGINT AS size FROM postings) SELECT DISTINCT doc_id, doc_id // size AS shard_id FROM postings, z")
-register("flt_min_prefix", lambda t: SG.complete(t.vocabulary, t.rows([("th",), ("t",)], "prefix string"), least=2), f"WITH {N.VOCAB} SELECT 'th' AS prefix, term, df, CAST(row_number() OVER (ORDER BY df DESC, term) AS INTEGER) AS rank FROM vocabulary WHERE starts_with(term, 'th') QUALIFY rank <= 8")
+register("flt_min_prefix", lambda t: SG.complete(t.store.vocabulary.drop("slot"), t.rows([("th",), ("t",)], "prefix string"), least=2), f"WITH {N.VOCAB} SELECT 'th' AS prefix, term, df, CAST(row_number() OVER (ORDER BY df DESC, term) AS INTEGER) AS rank FROM vocabulary WHERE starts_with(term, 'th') QUALIFY rank <= 8")
 
 
 def _running(t: Inputs) -> DataFrame:
@@ -193,7 +200,7 @@ register("agg_remove_docs", lambda t: I.remove(t.postings, t.read("labels").sele
 register("agg_doclen", lambda t: I.doc_lengths(t.postings), f"WITH {N.POST} SELECT doc_id, CAST(sum(tf) AS BIGINT) AS dl FROM postings GROUP BY doc_id")
 register("agg_df", lambda t: t.vocabulary, f"WITH {N.VOCAB} SELECT * FROM vocabulary")
 register("agg_corpus_stats", lambda t: I.corpus_stats(t.postings), f"WITH {N.POST} SELECT count(DISTINCT doc_id) AS total_docs, count(DISTINCT term) AS total_terms, CAST(sum(tf) AS BIGINT) AS total_length, round(sum(tf) / count(DISTINCT doc_id), 4) AS avgdl FROM postings")
-register("agg_push_sum", lambda t: t.rows([(d["node"], d["mean"], d["sum"]) for d in SK.push_sum([0.0] + [500.0] * 6, 4)], "node long, mean double, sum double"))
+register("agg_push_sum", lambda t: SK.push_sum(L.pages_by_worker(t.crawl_log).select(c("worker_rank").cast("long").alias("node"), c("pages").cast("double").alias("value")).union(t.rows([(0, 0.0)], "node long, value double")), 7, 4), f"WITH {N.WLOG}, {N.push_sum(7, 4)}")
 register("agg_crawl_stats", lambda t: L.crawl_stats(t.crawl_log), f"WITH {N.WLOG} SELECT count(*) AS total, count(*) FILTER (status = 'ok') AS ok, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'blocked') AS blocked, coalesce(round(avg(duration_ms) FILTER (status = 'ok'), 1), 0) AS avg_ms FROM crawl_log")
 register("agg_doc_count", lambda t: t.n_docs, "SELECT count(*) AS n FROM documents")
 register("agg_query_totals", lambda t: t.query_log.agg(F.count("*").alias("total_queries"), F.count_distinct("query").alias("unique_queries")).crossJoin(t.click_log.agg(F.count("*").alias("total_clicks"))), f"WITH {N.QLOG}, {N.CLOG} SELECT count(*) AS total_queries, count(DISTINCT query) AS unique_queries, (SELECT count(*) FROM click_log) AS total_clicks FROM query_log")
@@ -221,7 +228,7 @@ register("agg_job4_zero", lambda t: L.result_gaps(t.query_log), f"WITH {N.QLOG},
 register("agg_job5_hour", lambda t: L.hour_volume(t.query_log), f"WITH {N.QLOG} SELECT strftime(timestamp, '%H') AS hour, count(*) AS n FROM query_log GROUP BY 1")
 register("agg_session_journey", lambda t: L.session_journey(t.query_log), f"WITH {N.QLOG} SELECT session_id, CAST(count(*) AS INTEGER) AS n, string_agg(query, ' > ' ORDER BY timestamp, id, query) AS journey FROM query_log GROUP BY session_id")
 PCT = lambda p: f"CASE WHEN len(v) > 0 THEN round(v[greatest(1, CAST(floor(len(v) * {p} / 100) AS INTEGER))], 1) ELSE 0 END"
-register("agg_pct_floor", lambda t: t.crawl_log.groupBy("domain").agg(F.collect_list("duration_ms").alias("v")).select("domain", *[S.percentile_floor(c("v"), p).alias(f"p{p}") for p in (50, 95, 99)]), f"WITH {N.WLOG}, g AS (SELECT domain, list(duration_ms ORDER BY duration_ms) AS v FROM crawl_log GROUP BY domain) SELECT domain, {PCT(50)} AS p50, {PCT(95)} AS p95, {PCT(99)} AS p99 FROM g")
+register("agg_pct_floor", lambda t: L.percentiles(t.crawl_log, "domain", "duration_ms", (50, 95, 99)), f"WITH {N.WLOG}, g AS (SELECT domain, list(duration_ms ORDER BY duration_ms) AS v FROM crawl_log GROUP BY domain) SELECT domain, {PCT(50)} AS p50, {PCT(95)} AS p95, {PCT(99)} AS p99 FROM g")
 register("agg_pct_ceil", lambda t: t.crawl_log.groupBy("domain").agg(F.expr("percentile_disc(0.95) within group (order by duration_ms)").alias("p95")), f"WITH {N.WLOG} SELECT domain, quantile_disc(duration_ms, 0.95) AS p95 FROM crawl_log GROUP BY domain")
 DSTATS = f"WITH {N.WLOG}, g AS (SELECT domain, count(*) AS fetches, count(*) FILTER (status = 'failed') AS errors, count(*) FILTER (status = 'blocked') AS blocked, list(duration_ms ORDER BY duration_ms) FILTER (status = 'ok') AS v, avg(duration_ms) FILTER (status = 'ok') AS a FROM crawl_log GROUP BY domain) SELECT domain, fetches, errors, blocked, round(errors / fetches * 100, 1) AS error_rate, {PCT(50)} AS p50_ms, {PCT(95)} AS p95_ms, {PCT(99)} AS p99_ms, coalesce(round(a, 1), 0) AS avg_ms FROM g"
 register("agg_domain_stats", lambda t: L.domain_stats(t.crawl_log), DSTATS)
@@ -232,7 +239,7 @@ register("agg_imbalance", lambda t: L.imbalance(L.pages_by_worker(t.crawl_log)),
 register("agg_trending_q", lambda t: LV.query_counts(t.query_log).orderBy(c("n").desc(), "query").limit(5), f"WITH {N.QLOG} SELECT lower(query) AS query, count(*) AS n FROM query_log GROUP BY 1 ORDER BY n DESC, query LIMIT 5")
 register("agg_collab_stats", lambda t: LV.active_users(t.query_log, NOW, 86400).crossJoin(LV.query_counts(t.query_log).agg(F.sum("n").alias("total"), F.count("*").alias("unique_queries"))), f"WITH {N.QLOG} SELECT (SELECT count(DISTINCT session_id) FROM query_log WHERE timestamp > TIMESTAMP '{NOW}' - INTERVAL 1 DAY AND timestamp <= TIMESTAMP '{NOW}') AS active_users, count(*) AS total, count(DISTINCT lower(query)) AS unique_queries FROM query_log")
 register("agg_bloom_similarity", lambda t: SK.filter_similarity(t.crawl_log.select(c("worker_rank").alias("filter_id"), (c("doc_id") % 97).alias("pos")).distinct()), f"WITH {N.WLOG}, b AS (SELECT DISTINCT worker_rank AS f, doc_id % 97 AS pos FROM crawl_log), z AS (SELECT f, count(*) AS n FROM b GROUP BY f), p AS (SELECT x.f AS a, y.f AS b, x.n AS na, y.n AS nb, (SELECT count(*) FROM b u JOIN b v ON u.pos = v.pos WHERE u.f = x.f AND v.f = y.f) AS i FROM z x JOIN z y ON x.f < y.f) SELECT round(avg(i / (na + nb - i)), 6) AS mean_jaccard, avg(i / (na + nb - i)) > 0.95 AS converged FROM p")
-register("agg_inlinks", lambda t: t.edges.groupBy(c("dst").alias("doc_id")).agg(F.count("*").alias("n")).select("doc_id", F.round(c("n") / F.max("n").over(R.Window.partitionBy()), 6).alias("share")), f"WITH {N.EDGES} SELECT dst AS doc_id, round(count(*) / max(count(*)) OVER (), 6) AS share FROM edges GROUP BY dst")
+register("agg_inlinks", lambda t: G.inlink_shares(t.edges), f"WITH {N.EDGES} SELECT dst AS doc_id, round(count(*) / max(count(*)) OVER (), 6) AS share FROM edges GROUP BY dst")
 
 # Retrieval ---------------------------------------------------------------------------------------
 register("ir_map_emit", lambda t: I.emit(t.documents), f"WITH {N.POST} SELECT doc_id, term FROM tok")
@@ -247,9 +254,9 @@ def _incremental(t: Inputs, what: int) -> DataFrame:
 
 register("ir_incremental", lambda t: _incremental(t, 0), f"WITH {N.POST} SELECT term, doc_id, tf FROM postings")
 register("ir_incremental_meta", lambda t: _incremental(t, 1), f"SELECT doc_id, len({N.toks('text')}) AS term_count FROM documents")
-register("ir_bm25", lambda t: R.bm25(t.postings, t.lengths, t.n_docs, t.queries), f"WITH {N.bm25()} SELECT * FROM hits")
-register("ir_bm25_pagerank", lambda t: R.bm25(t.postings, t.lengths, t.n_docs, t.queries, G.pagerank(t.edges, least=None)), f"WITH {N.pagerank()}, {N.bm25(blend='0.8 * s + 0.2 * 10 * coalesce(pr, 0)')} SELECT * FROM hits")
-register("ir_bm25_api", lambda t: R.with_meta(R.bm25(t.postings, t.lengths, t.n_docs, t.queries, top_n=10), t.page_docs), f"WITH {N.bm25(top=10)}, {N.PDOCS} SELECT hits.*, coalesce(url, '') AS url, coalesce(title, 'No title') AS title, coalesce(snippet, '') AS snippet FROM hits LEFT JOIN page_docs USING (doc_id)")
+register("ir_bm25", lambda t: R.bm25_stored(t.store, t.queries), f"WITH {N.bm25()} SELECT * FROM hits")
+register("ir_bm25_pagerank", lambda t: R.bm25_stored(t.store, t.queries, G.pagerank(t.edges, least=None)), f"WITH {N.pagerank()}, {N.bm25(blend='0.8 * s + 0.2 * 10 * coalesce(pr, 0)')} SELECT * FROM hits")
+register("ir_bm25_api", lambda t: R.with_meta(R.bm25_stored(t.store, t.queries, top_n=10), t.page_docs), f"WITH {N.bm25(top=10)}, {N.PDOCS} SELECT hits.*, coalesce(url, '') AS url, coalesce(title, 'No title') AS title, coalesce(snippet, '') AS snippet FROM hits LEFT JOIN page_docs USING (doc_id)")
 TFIDF = f"""ft AS ({N.feats('doc_id', 'text', 'documents')}), cnt AS (SELECT feature, doc_id, count(*) AS tf FROM ft GROUP BY ALL),
   kept AS (SELECT feature, ln((1 + (SELECT count(*) FROM documents)) / (1 + count(*))) + 1 AS idf FROM cnt GROUP BY feature HAVING count(*) >= 2 ORDER BY sum(tf) DESC, feature LIMIT 30000),
   w AS (SELECT doc_id, feature, (1 + ln(tf)) * idf AS w FROM cnt JOIN kept USING (feature)), weights AS (SELECT doc_id, feature, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM w)"""
@@ -257,18 +264,18 @@ register("ir_tfidf_build", lambda t: R.tfidf(t.documents)[0].select("doc_id", "f
 SEARCH = f"""{N.QUERIES}, qf AS ({N.feats('query_id', 'q', 'queries')}), qw AS (SELECT query_id, feature, (1 + ln(count(*))) * any_value(idf) AS w FROM qf JOIN kept USING (feature) GROUP BY ALL),
   qn AS (SELECT query_id, sqrt(sum(w * w)) AS norm FROM qw GROUP BY 1), sims AS (SELECT query_id, doc_id, round(sum(weight * w) / any_value(norm), 4) AS similarity FROM weights JOIN qw USING (feature) JOIN qn USING (query_id) GROUP BY ALL HAVING similarity > 0),
   found AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, doc_id) AS INTEGER) AS rank FROM sims QUALIFY rank <= 20)"""
-register("ir_tfidf_search", lambda t: R.tfidf_search(*R.tfidf(t.documents), t.queries), f"WITH {TFIDF}, {SEARCH} SELECT * FROM found")
-# Every embedding is a query; the SQL, kept as it was, has the first five.
-QV = lambda t: t.read("embeddings").select(c("vec_id").alias("query_id"), c("embedding").alias("q_vector"))
-VS = "vs AS (SELECT q.vec_id AS query_id, e.vec_id AS doc_id, round(list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) / sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[]) * list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])), 4) AS similarity FROM embeddings e, embeddings q WHERE q.vec_id < 5)"
+register("ir_tfidf_search", lambda t: R.tfidf_stored(t.store, t.queries), f"WITH {TFIDF}, {SEARCH} SELECT * FROM found")
+# The queries are every vector whose id is divisible by 50, against all rows.
+QV = lambda t: t.read("embeddings").where("vec_id % 50 = 0").select(c("vec_id").alias("query_id"), c("embedding").alias("q_vector"))
+VS = "vs AS (SELECT q.vec_id AS query_id, e.vec_id AS doc_id, round(list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) / sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[]) * list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])), 4) AS similarity FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0)"
 register("ir_vector_search", lambda t: R.vector_search(t.read("embeddings"), QV(t)), f"WITH {VS} SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, doc_id) AS INTEGER) AS rank FROM vs QUALIFY rank <= 20")
 register("ir_embed_build", lambda t: R.encode_words(t.documents))
 register("flt_bert_gt", lambda t: R.vector_search(t.read("embeddings"), QV(t)).where("similarity > 0.2"), f"WITH {VS} SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, doc_id) AS INTEGER) AS rank FROM vs QUALIFY rank <= 20 AND similarity > 0.2")
 
 
 def _hybrid(t: Inputs) -> DataFrame:
-    lexical = R.bm25(t.postings, t.lengths, t.n_docs, t.queries, top_n=40)
-    return R.hybrid(lexical, R.tfidf_search(*R.tfidf(t.documents), t.queries, top_n=40), 0.05, R.hybrid_weights(2, False))
+    lexical = R.bm25_stored(t.store, t.queries, top_n=40)
+    return R.hybrid(lexical, R.tfidf_stored(t.store, t.queries, top_n=40), 0.05, R.hybrid_weights(2, False))
 
 
 HYB = f"""{N.bm25(top=40)}, {TFIDF}, {SEARCH.replace(N.QUERIES + ', ', '').replace('rank <= 20', 'rank <= 40')},
@@ -277,12 +284,12 @@ HYB = f"""{N.bm25(top=40)}, {TFIDF}, {SEARCH.replace(N.QUERIES + ', ', '').repla
   bl AS (SELECT query_id, doc_id, round(coalesce(l, 0), 3) AS bm25, round(coalesce(s, 0), 3) AS semantic, round(0.60 * coalesce(l, 0) + 0.40 * coalesce(s, 0), 3) AS score FROM lx FULL JOIN se USING (query_id, doc_id)),
   hybrid AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM bl QUALIFY rank <= 20)"""
 register("ir_hybrid", _hybrid, f"WITH {HYB} SELECT * FROM hybrid")
-register("flt_tfidf_gt", lambda t: R.tfidf_search(*R.tfidf(t.documents), t.queries).where("similarity > 0.05"), f"WITH {TFIDF}, {SEARCH} SELECT * FROM found WHERE similarity > 0.05")
+register("flt_tfidf_gt", lambda t: R.tfidf_stored(t.store, t.queries).where("similarity > 0.05"), f"WITH {TFIDF}, {SEARCH} SELECT * FROM found WHERE similarity > 0.05")
 WRONG = ["tione", "thonn", "inge", "blle", "zzqx", "th", "thther"]
-register("ir_spell", lambda t: SG.correct(t.vocabulary, t.rows([(w,) for w in WRONG], "word string")).select("word", "correction", c("distance").cast("long").alias("distance"), "df"), f"""WITH {N.VOCAB}, w AS (SELECT unnest({WRONG}) AS word), m AS (SELECT word FROM w WHERE length(word) >= 3 AND word NOT IN (SELECT term FROM vocabulary)),
+register("ir_spell", lambda t: SG.correct(t.store.vocabulary.drop("slot"), t.rows([(w,) for w in WRONG], "word string")).select("word", "correction", c("distance").cast("long").alias("distance"), "df"), f"""WITH {N.VOCAB}, w AS (SELECT unnest({WRONG}) AS word), m AS (SELECT word FROM w WHERE length(word) >= 3 AND word NOT IN (SELECT term FROM vocabulary)),
   n AS (SELECT word, term AS correction, levenshtein(word, term) AS distance, df FROM m JOIN vocabulary ON substr(word, 1, 2) = substr(term, 1, 2) AND abs(length(word) - length(term)) <= 3)
   SELECT * FROM n WHERE distance <= 2 QUALIFY row_number() OVER (PARTITION BY word ORDER BY distance, df DESC, correction) = 1""")
-register("ir_spell_query", lambda t: SG.correct_queries(t.vocabulary, t.rows([(1, "Tione ingg"), (2, "thon zzqx th")], "query_id long, q string")), f"""WITH {N.VOCAB}, qs(query_id, q) AS (VALUES (1::BIGINT, 'Tione ingg'), (2, 'thon zzqx th')), w AS (SELECT query_id, q, unnest(string_split_regex(trim(lower(q)), '\\s+')) AS word, generate_subscripts(string_split_regex(trim(lower(q)), '\\s+'), 1) AS pos FROM qs),
+register("ir_spell_query", lambda t: SG.correct_queries(t.store.vocabulary.drop("slot"), t.rows([(1, "Tione ingg"), (2, "thon zzqx th")], "query_id long, q string")), f"""WITH {N.VOCAB}, qs(query_id, q) AS (VALUES (1::BIGINT, 'Tione ingg'), (2, 'thon zzqx th')), w AS (SELECT query_id, q, unnest(string_split_regex(trim(lower(q)), '\\s+')) AS word, generate_subscripts(string_split_regex(trim(lower(q)), '\\s+'), 1) AS pos FROM qs),
   m AS (SELECT DISTINCT word FROM w WHERE length(word) >= 3 AND word NOT IN (SELECT term FROM vocabulary)), n AS (SELECT word, term, levenshtein(word, term) AS d, df FROM m JOIN vocabulary ON substr(word, 1, 2) = substr(term, 1, 2) AND abs(length(word) - length(term)) <= 3),
   b AS (SELECT * FROM n WHERE d <= 2 QUALIFY row_number() OVER (PARTITION BY word ORDER BY d, df DESC, term) = 1)
   SELECT query_id, q, string_agg(coalesce(term, word), ' ' ORDER BY pos) AS corrected, count(term) AS n_fixed FROM w LEFT JOIN b USING (word) GROUP BY ALL""")
@@ -290,7 +297,7 @@ register("ir_spell_query", lambda t: SG.correct_queries(t.vocabulary, t.rows([(1
 
 def _synonyms(t: Inputs) -> DataFrame:
     curated = t.rows([("tion", 0, "ing"), ("tion", 1, "nosuchterm"), ("tion", 2, "ble")], "term string, pos int, synonym string")
-    return SG.synonyms(t.queries.select(F.explode(T.query_terms(c("q"))).alias("term")), t.vocabulary, SG.cooccurrence(t.postings), curated)
+    return SG.synonyms(t.queries.select(F.explode(T.query_terms(c("q"))).alias("term")), t.store.vocabulary.drop("slot"), SG.cooccurrence(t.store.postings), curated)
 
 
 SYN = f"""{ORACLES['agg_cooc'][5:].rsplit(' SELECT t1', 1)[0]}, cooc AS (SELECT t1, t2, count(*) AS n FROM (SELECT * FROM p UNION ALL SELECT t2, t1 FROM p) GROUP BY ALL), {N.QUERIES}, ts AS (SELECT DISTINCT unnest({N.qterms('q')}) AS term FROM queries),
@@ -299,7 +306,7 @@ SYN = f"""{ORACLES['agg_cooc'][5:].rsplit(' SELECT t1', 1)[0]}, cooc AS (SELECT
   f AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY term, synonym ORDER BY source, o) = 1), syn AS (SELECT term, synonym, CAST(row_number() OVER (PARTITION BY term ORDER BY source, o, synonym) AS INTEGER) AS rank FROM f QUALIFY rank <= 3)"""
 register("ir_synonyms", _synonyms, f"WITH {SYN} SELECT * FROM syn")
 register("ir_expand", lambda t: SG.expand(t.queries, _synonyms(t)), f"WITH {SYN}, x AS (SELECT query_id, q, unnest({N.qterms('q')}) AS term, generate_subscripts({N.qterms('q')}, 1) AS pos FROM queries), y AS (SELECT query_id, string_agg(synonym, ' ' ORDER BY pos, rank) AS more FROM x JOIN syn USING (term) GROUP BY 1) SELECT query_id, q, q || coalesce(' ' || more, '') AS expanded FROM queries LEFT JOIN y USING (query_id)")
-register("ir_suggest", lambda t: SG.complete(t.vocabulary, t.rows([("th",), ("TIO",), ("zzz",)], "prefix string")), f"WITH {N.VOCAB}, p AS (SELECT unnest(['th', 'tio', 'zzz']) AS prefix) SELECT prefix, term, df, CAST(row_number() OVER (PARTITION BY prefix ORDER BY df DESC, term) AS INTEGER) AS rank FROM vocabulary JOIN p ON starts_with(term, prefix) QUALIFY rank <= 8")
+register("ir_suggest", lambda t: SG.complete(t.store.vocabulary.drop("slot"), t.rows([("th",), ("TIO",), ("zzz",)], "prefix string")), f"WITH {N.VOCAB}, p AS (SELECT unnest(['th', 'tio', 'zzz']) AS prefix) SELECT prefix, term, df, CAST(row_number() OVER (PARTITION BY prefix ORDER BY df DESC, term) AS INTEGER) AS rank FROM vocabulary JOIN p ON starts_with(term, prefix) QUALIFY rank <= 8")
 CQ = "cq(query_id, q) AS (VALUES (1::BIGINT, 'term1 x'), (2, 'TERM2'))"
 CQROWS = [(1, "term1 x"), (2, "TERM2")]
 
@@ -333,8 +340,8 @@ FED = f"""{N.POST}, z AS (SELECT ceil((max(doc_id) + 1) / 3)::BIGINT AS size FRO
   sc AS (SELECT query_id, shard_id, doc_id, round(0.85 * sum(times * ln((n - df + 0.5) / (df + 0.5) + 1) * (tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl)))), 3) AS score FROM sh JOIN qt USING (term) JOIN df USING (shard_id, term) JOIN st USING (shard_id) JOIN ln1 USING (shard_id, doc_id) GROUP BY ALL),
   fed AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id, shard_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM sc QUALIFY rank <= 10)"""
 register("fd_shard", lambda t: FD.shard(t.postings, 3), f"WITH {N.POST}, z AS (SELECT ceil((max(doc_id) + 1) / 3)::BIGINT AS size FROM postings) SELECT term, doc_id, tf, doc_id // size AS shard_id FROM postings, z")
-register("fd_shard_search", lambda t: FD.shard_search(FD.shard(t.postings, 3), t.queries), f"WITH {FED} SELECT * FROM fed")
-register("fd_merge", lambda t: FD.merge_shards(FD.shard_search(FD.shard(t.postings, 3), t.queries)), f"WITH {FED} SELECT query_id, shard_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM fed QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 20")
+register("fd_shard_search", lambda t: FD.shard_search_stored(t.store, 3, t.queries), f"WITH {FED} SELECT * FROM fed")
+register("fd_merge", lambda t: FD.merge_shards(FD.shard_search_stored(t.store, 3, t.queries)), f"WITH {FED} SELECT query_id, shard_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM fed QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 20")
 register("fd_api", lambda t: FD.shard_sizes(FD.shard(t.postings, 3)), f"WITH {N.POST}, z AS (SELECT ceil((max(doc_id) + 1) / 3)::BIGINT AS size FROM postings) SELECT doc_id // size AS shard_id, count(DISTINCT term) AS n_terms, count(DISTINCT doc_id) AS n_docs FROM postings, z GROUP BY 1")
 
 # Live signals, as batches ------------------------------------------------------------------------
@@ -345,12 +352,12 @@ register("st_record_click", lambda t: LV.crowd_scores(t.click_log, NOW, DAY), f"
 register("st_trending_docs", lambda t: LV.trending_documents(LV.crowd_scores(t.click_log, NOW, DAY)), f"WITH {N.CLOG}, {CROWD} SELECT * FROM crowd ORDER BY score DESC, doc_id LIMIT 5")
 register("st_active_users", lambda t: LV.active_users(t.query_log, NOW, 3600), f"WITH {N.QLOG} SELECT count(DISTINCT session_id) AS active_users FROM query_log WHERE timestamp > TIMESTAMP '{NOW}' - INTERVAL 1 HOUR AND timestamp <= TIMESTAMP '{NOW}'")
 register("st_live_feed", lambda t: LV.feed(t.query_log, t.click_log), f"WITH {N.QLOG}, {N.CLOG} SELECT 'query' AS kind, id, query AS what, timestamp FROM query_log UNION ALL SELECT 'click', id, doc_id::VARCHAR, timestamp FROM click_log ORDER BY timestamp DESC, id DESC LIMIT 100")
-register("st_collab_search", lambda t: R.boost_crowd(R.bm25(t.postings, t.lengths, t.n_docs, t.queries).drop("bm25"), LV.crowd_scores(t.click_log, NOW, DAY)), f"WITH {N.bm25()}, {N.CLOG}, {CROWD}, j AS (SELECT query_id, hits.doc_id, round(coalesce(crowd.score, 0), 3) AS crowd, round(hits.score + 0.1 * round(coalesce(crowd.score, 0), 3), 3) AS score FROM hits LEFT JOIN crowd ON crowd.doc_id = hits.doc_id) SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM j QUALIFY rank <= 20")
+register("st_collab_search", lambda t: R.boost_crowd(R.bm25_stored(t.store, t.queries).drop("bm25"), LV.crowd_scores(t.click_log, NOW, DAY)), f"WITH {N.bm25()}, {N.CLOG}, {CROWD}, j AS (SELECT query_id, hits.doc_id, round(coalesce(crowd.score, 0), 3) AS crowd, round(hits.score + 0.1 * round(coalesce(crowd.score, 0), 3), 3) AS score FROM hits LEFT JOIN crowd ON crowd.doc_id = hits.doc_id) SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM j QUALIFY rank <= 20")
 register("st_token_bucket", lambda t: C.token_bucket(t.crawl_log, "domain", rate=0.001, capacity=2.0))
 register("st_heartbeat", lambda t: C.silent(t.crawl_log, seconds=3600.0), f"WITH {N.WLOG}, g AS (SELECT worker_rank, timestamp AS died_at, round((epoch_us(lead(timestamp) OVER (PARTITION BY worker_rank ORDER BY timestamp, id)) - epoch_us(timestamp)) / 1e6, 3) AS gap_s FROM crawl_log) SELECT * FROM g WHERE gap_s > 3600")
 register("st_queue_depth", lambda t: LV.queue_depth(t.crawl_log, "1 hour"), f"WITH {N.WLOG} SELECT time_bucket(INTERVAL 1 HOUR, timestamp) AS start, round(avg(depth), 3) AS mean_depth, max(depth) AS most FROM crawl_log GROUP BY 1")
 register("st_dup_suppress", lambda t: C.first_results(t.crawl_log), f"WITH {N.WLOG} SELECT * FROM crawl_log QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY timestamp, id) = 1")
-register("st_domain_metrics", lambda t: L.domain_stats(t.crawl_log), DSTATS)
+register("st_domain_metrics", lambda t: LV.domain_windows(t.crawl_log, "1 day"), f"WITH {N.WLOG} SELECT domain, time_bucket(INTERVAL 1 DAY, timestamp) AS start, count(*) AS fetches, count(*) FILTER (status = 'failed') AS errors, count(*) FILTER (status = 'blocked') AS blocked, round(avg(duration_ms) FILTER (status = 'ok'), 1) AS avg_ms FROM crawl_log GROUP BY 1, 2")
 
 # Crawl -------------------------------------------------------------------------------------------
 register("cr_bfs", lambda t: C.bfs(t.edges, t.rows([(1,), (2,)], "node long"), 2), f"WITH {N.EDGES}, h1 AS (SELECT DISTINCT dst AS n FROM edges WHERE src IN (1, 2)), h2 AS (SELECT DISTINCT dst AS n FROM edges WHERE src IN (SELECT n FROM h1)), u AS (SELECT unnest([1, 2])::BIGINT AS node, 0 AS depth UNION ALL SELECT n, 1 FROM h1 UNION ALL SELECT n, 2 FROM h2) SELECT node, min(depth) AS depth FROM u GROUP BY node")
@@ -386,26 +393,17 @@ register("snk_crawl_log", lambda t: _kept(t, "crawl", t.crawl_log), f"WITH {N.WL
 register("snk_query_log", lambda t: _kept(t, "query", t.query_log), f"WITH {N.QLOG} SELECT * FROM query_log")
 register("snk_click_log", lambda t: _kept(t, "click", t.click_log), f"WITH {N.CLOG} SELECT * FROM click_log")
 register("snk_stats_json", lambda t: _json(t, "stats", I.corpus_stats(t.postings)), ORACLES["agg_corpus_stats"])
-register("snk_vectors", lambda t: _kept(t, "vectors", t.read("embeddings").select("vec_id", "label", F.size("embedding").cast("long").alias("dims"))), ORACLES["src_vectors"])
+register("snk_vectors", lambda t: TB.components(_kept(t, "vectors", t.read("embeddings"))), VECTORS)
 
 
 def _snapshot(t: Inputs) -> DataFrame:
     path = scratch(t.spark, "snapshot")
     TB.save_snapshot(t.pages.select("url", (c("page_id") % 4).alias("depth")), t.pages.select("url"), path)
-    return TB.load_snapshot(t.spark, path)[0]
+    front, visited = TB.load_snapshot(t.spark, path)
+    return front.select("url", "depth").unionByName(visited.select("url", F.lit(-1).cast("long").alias("depth")))
 
 
-register("snk_checkpoint", _snapshot, "SELECT url, page_id % 4 AS depth FROM pages")
-
-# Operators that are a part of another: the same plan under their own name ----------------------------
-for _name, _of in {
-    "join_url_resolve": "gr_link_graph", "join_pagerank": "ir_bm25_pagerank", "join_hybrid": "ir_hybrid", "join_crowd": "st_collab_search", "join_click_boost": "ir_click_boost", "join_spell_cand": "ir_spell", "join_prefix": "ir_suggest",
-    "join_cooc_window": "agg_cooc", "agg_hourly_24h": "flt_last_24h", "win_norm_max": "agg_inlinks", "win_last200": "agg_p95_rolling", "win_pct_total": "agg_job2_position", "win_dedup_first": "st_dup_suppress", "win_spell_best": "ir_spell",
-    "win_shard_topk": "fd_shard_search", "top_bm25": "ir_bm25", "top_blend": "ir_hybrid", "top_resort_click": "ir_click_boost", "top_resort_crowd": "st_collab_search", "top_shard_heap": "fd_shard_search", "top_merge": "fd_merge",
-    "top_argsort": "ir_tfidf_search", "top_faiss": "ir_vector_search", "top_prefix": "ir_suggest", "top_trending_docs": "st_trending_docs", "lim_feed": "st_live_feed", "ord_sql": "src_all_docs", "set_dedup_links": "flt_self_loop",
-    "set_diff_visited": "join_visited", "set_or_filter": "pb_merge", "set_and_filter": "agg_bloom_similarity", "gr_viz_subgraph": "join_graph_top", "st_crowd_boost": "st_record_click", "st_evict": "st_record_click", "st_p95_state": "agg_p95_rolling",
-}.items():
-    QUERIES[_name], ORACLES[_name] = QUERIES[_of], ORACLES[_of]
+register("snk_checkpoint", _snapshot, "SELECT url, page_id % 4 AS depth FROM pages UNION ALL SELECT url, -1 FROM pages")
 
 RANKED = f"WITH {N.VOCAB}, top AS (SELECT term, df FROM vocabulary ORDER BY df DESC, term LIMIT 2000)"
 register("top_terms_df", lambda t: t.vocabulary.orderBy(c("df").desc(), "term").limit(2000), f"{RANKED} SELECT * FROM top")
@@ -427,8 +425,10 @@ register("flt_budget", lambda t: C.admit(t.pages.select("url", (c("page_id") % 6
 def _engine(t: Inputs):
     from .api import Engine
 
-    return Engine(t.documents, t.page_docs, None, t.query_log, t.click_log, t.crawl_log)
+    return Engine(t.store, t.page_docs, None, t.query_log, t.click_log, t.crawl_log)
 
 
 register("ir_search_page", lambda t: _engine(t).page(t.queries))
 register("ir_search_log", lambda t: _engine(t).log_of(_engine(t).search(t.queries, 20), t.queries, NOW), f"WITH {N.bm25()} SELECT q AS query, count(rank) AS result_count, TIMESTAMP '{NOW}' AS timestamp, '' AS session_id FROM queries LEFT JOIN hits USING (query_id) GROUP BY query_id, q")
+
+from . import parts  # noqa: E402, F401 - registers the operators that are parts of the above

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
+from ..functions.text import log_rank, log_url
 
 PAGE_JSON = "doc_id long, url string, title string, text string, snippet string, links array<string>"
 METRICS_JSON = "type string, domain string, duration_ms double, status string, depth long, active_workers long, ts double"
@@ -80,16 +81,80 @@ def write_pages(docs: DataFrame, path: str) -> None:
     write_json(docs.select("doc_id", "url", "title", "text", "snippet", "links"), path)
 
 
-def migrate(spark: SparkSession, source: str, target: str) -> int:
+def migrate(spark: SparkSession, source: str, target: str, whole_files: bool = True) -> int:
     """Page JSON files into a table; the files stay. Gives the number of documents."""
-    json_pages(spark, source).write.mode("overwrite").parquet(target)
+    json_pages(spark, source, whole_files).write.mode("overwrite").parquet(target)
     return spark.read.parquet(target).count()
 
 
+def components(vectors: DataFrame) -> DataFrame:
+    """vec_id, label, dim (from 1), x (6 places) of stored vectors."""
+    rows = vectors.select("vec_id", "label", F.posexplode("embedding").alias("i", "x"))
+    return rows.select("vec_id", "label", (F.col("i") + 1).cast("long").alias("dim"), F.round(F.col("x").cast("double"), 6).alias("x"))
+
+
+def write_index_json(nested: DataFrame, path: str) -> None:
+    """An index as lines of JSON, a term each: term, df, doc_ids, tf by document."""
+    nested.select("term", "df", "doc_ids", F.transform("doc_ids", lambda d: F.element_at("tf", d)).alias("tfs")).write.mode("overwrite").json(path)
+
+
+def index_json(spark: SparkSession, path: str) -> DataFrame:
+    rows = spark.read.schema("term string, df long, doc_ids array<long>, tfs array<long>").json(path)
+    return rows.select("term", F.explode(F.arrays_zip("doc_ids", "tfs")).alias("p")).select("term", F.col("p.doc_ids").alias("doc_id"), F.col("p.tfs").alias("tf"))
+
+
+def write_metrics(fetches: DataFrame, queue: DataFrame, path: str) -> None:
+    """Appends fetch events, with durations to one place, and queue events to a metrics log."""
+    ts = (F.unix_micros("timestamp") / 1e6).alias("ts")
+    fetches.select(F.lit("fetch").alias("type"), "domain", F.round("duration_ms", 1).alias("duration_ms"), "status", ts).write.mode("append").json(path)
+    queue.select(F.lit("queue").alias("type"), F.col("depth").cast("long").alias("depth"), F.col("active_workers").cast("long").alias("active_workers"), ts).write.mode("append").json(path)
+
+
+def queue_metrics(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(METRICS_JSON).option("mode", "DROPMALFORMED").json(path).where("type = 'queue'").select("depth", "active_workers", "ts")
+
+
+def write_log(lines: DataFrame, path: str) -> None:
+    """Appends log lines (timestamp, level, logger, message) as JSON, with the worker's rank and the URL found in the message."""
+    iso = F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss").alias("iso")
+    lines.select((F.unix_micros("timestamp") / 1e6).alias("ts"), iso, "level", "logger", "message", log_rank(F.col("message")).alias("worker_rank"), log_url(F.col("message")).alias("url")).write.mode("append").json(path)
+
+
+def logs(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(LOG_JSON).option("mode", "DROPMALFORMED").json(path)
+
+
+def page_sinks(path: str):
+    """A sink for streaming.live.start: every batch of pages goes to documents and to the crawl log.
+
+    Both have a folder for each batch, so that one that is run again replaces itself in both.
+    """
+
+    def sink(batch: DataFrame, epoch: int) -> None:
+        batch.select("doc_id", "url", "title").write.mode("overwrite").parquet(f"{path}/documents/epoch={epoch}")
+        batch.select("url", "doc_id", F.lit("ok").alias("status")).write.mode("overwrite").parquet(f"{path}/crawl_log/epoch={epoch}")
+
+    return sink
+
+
+def robots(rules: DataFrame, always: list[str] = (), default: float = 0.5) -> DataFrame:
+    """domain, rules, delay, free: the robots table that crawling joins, of texts by domain (the greatest counts of several).
+
+    Domains in always are free and wait the default; so do domains without rules or without a delay for all agents.
+    """
+    one = rules.groupBy("domain").agg(F.max("rules").alias("rules"))
+    free = F.col("domain").isin(*always) if always else F.lit(False)
+    return one.select("domain", "rules", F.when(free, F.lit(default)).otherwise(F.coalesce(U.crawl_delay(F.col("rules")), F.lit(default))).alias("delay"), free.alias("free"))
+
+
 def save_snapshot(frontier: DataFrame, visited: DataFrame, path: str) -> None:
     frontier.write.mode("overwrite").parquet(f"{path}/frontier")
     visited.write.mode("overwrite").parquet(f"{path}/visited")
 
 
-def load_snapshot(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def load_snapshot(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame] | None:
+    """Frontier and visited set, or None where there is no snapshot."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/visited/_SUCCESS")
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        return None
     return spark.read.parquet(f"{path}/frontier"), spark.read.parquet(f"{path}/visited")

@@ -10,7 +10,7 @@ import math
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -128,3 +128,56 @@ def start(stream: DataFrame, sink, checkpoint: str, mode: str, every: str | None
     """Starts a query that hands every batch to ``sink(df, epoch)``; without ``every`` it ends when the source is read."""
     writer = stream.writeStream.foreachBatch(sink).outputMode(mode).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+def domain_windows(log: DataFrame, window: str = "1 minute", watermark: str | None = None) -> DataFrame:
+    """domain, start, fetches, errors, blocked, avg_ms (1 place) by windows of event time: of a table, or with a watermark of a stream."""
+    rows = log.withWatermark("timestamp", watermark) if watermark else log
+    ok = F.when(F.col("status") == "ok", F.col("duration_ms"))
+    g = rows.groupBy("domain", F.window("timestamp", window)).agg(
+        F.count("*").alias("fetches"), F.count_if(F.col("status") == "failed").alias("errors"), F.count_if(F.col("status") == "blocked").alias("blocked"), F.round(F.avg(ok), 1).alias("avg_ms"),
+    )
+    return g.select("domain", F.col("window.start").alias("start"), "fetches", "errors", "blocked", "avg_ms")
+
+
+def activity(queries: DataFrame, clicks: DataFrame, now: str, half_life: float = S.HALF_LIFE, seconds: int = 300, trending: int = 5, newest: int = 10) -> DataFrame:
+    """What a page of live activity shows: section, place, what, value (text), from the state of both logs."""
+    total = queries.agg(F.count("*").alias("total_queries"), F.count_distinct(F.lower("query")).alias("unique_queries")).crossJoin(active_users(queries, now, seconds))
+    names = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(n).alias("what"), F.col(n).cast("string").alias("value")) for i, n in enumerate(("total_queries", "unique_queries", "active_users"), 1)])
+    stats = total.select(F.explode(names).alias("x")).select(F.lit("stats").alias("section"), "x.*")
+    by = lambda df, *order: df.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))
+    # Both lists are limited before they are numbered.
+    top = by(trending_documents(crowd_scores(clicks, now, half_life), trending), F.col("score").desc(), "doc_id")
+    last = by(feed(queries, clicks, newest), F.col("timestamp").desc(), F.col("id").desc())
+    return stats.unionByName(top.select(F.lit("trending").alias("section"), "place", F.col("doc_id").cast("string").alias("what"), F.format_string("%.6f", "score").alias("value"))).unionByName(
+        last.select(F.lit("feed").alias("section"), "place", F.concat_ws(" ", "kind", F.col("id").cast("string")).alias("what"), F.col("what").alias("value"))
+    )
+
+
+def throughput(log: DataFrame, window: str = "1 hour", points: int = 80) -> DataFrame:
+    """The last ``points`` points of a crawl's progress: start, pages so far."""
+    per = log.where("status = 'ok'").groupBy(F.window("timestamp", window).alias("w")).agg(F.count("*").alias("n"))
+    # One row for each window, which the running sum needs in one order.
+    ran = per.select(F.col("w.start").alias("start"), F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("w.start")).alias("pages"))
+    return ran.orderBy(F.col("start").desc()).limit(points)
+
+
+def dashboard(log: DataFrame) -> DataFrame:
+    """One row for a crawl dashboard: pages, failed, blocked, workers, imbalance of the latest state."""
+    per = progress(log)
+    used = F.when(F.col("pages") > 0, F.col("pages"))
+    return per.agg(F.sum("pages").alias("pages"), F.sum("failed").alias("failed"), F.sum(F.col("total") - F.col("pages") - F.col("failed")).alias("blocked"), F.count("*").alias("workers"), F.coalesce(F.round(F.max(used) / F.min(used), 2), F.lit(1.0)).alias("imbalance"))
+
+
+def push(view, path: str):
+    """A sink for ``start``: after every batch the view (a function of all rows so far) is written anew as JSON for whoever polls it.
+
+    Rows so far are a table in path/rows; each batch has a folder of its own, so a batch that is run again replaces itself.
+    """
+
+    def sink(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows/epoch={epoch}")
+        rows = batch.sparkSession.read.schema(batch.schema).parquet(f"{path}/rows")
+        view(rows.select(batch.columns)).coalesce(1).write.mode("overwrite").json(f"{path}/view/epoch={epoch}")
+
+    return sink

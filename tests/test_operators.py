@@ -87,7 +87,8 @@ def test_curated_synonyms_come_first(spark):
     v = vocabulary(spark, [("parallel", 5), ("concurrent", 4), ("nodes", 3)])
     cooc = spark.createDataFrame([("distributed", "nodes", 9), ("distributed", "rare", 2)], "t1 string, t2 string, n long")
     terms = spark.createDataFrame([("Distributed",)], "term string")
-    syn = SG.synonyms(terms, v, cooc, SG.synonym_table(spark))
+    curated = spark.createDataFrame([("distributed", 0, "parallel"), ("distributed", 1, "concurrent"), ("distributed", 2, "decentral")], "term string, pos int, synonym string")
+    syn = SG.synonyms(terms, v, cooc, curated)
     assert [r.synonym for r in syn.orderBy("rank").collect()] == ["parallel", "concurrent", "nodes"]
     q = spark.createDataFrame([(1, "distributed x"), (2, "ab")], "query_id long, q string")
     assert {r.query_id: r.expanded for r in SG.expand(q, syn).collect()} == {1: "distributed x parallel concurrent nodes", 2: "ab"}
