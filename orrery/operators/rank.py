@@ -39,7 +39,7 @@ def bm25_stored(store, queries: DataFrame, pagerank: DataFrame | None = None, to
 
 
 def _scored(hits: DataFrame, corpus: DataFrame, pagerank: DataFrame | None, top_n: int, weights: tuple[float, float]) -> DataFrame:
-    hits = hits.crossJoin(F.broadcast(corpus.select("n", (F.col("total") / F.col("n")).alias("avgdl"))))
+    hits = hits.crossJoin(F.broadcast(corpus.select("n", F.try_divide("total", "n").alias("avgdl"))))
     part = F.col("times") * S.idf(F.col("n"), F.col("df")) * S.tf_norm(F.col("tf"), F.coalesce("dl", "avgdl"), F.col("avgdl"))
     found = hits.select("query_id", "doc_id", part.alias("part")).groupBy("query_id", "doc_id").agg(F.sum("part").alias("s"))
     if pagerank is not None:

@@ -39,8 +39,8 @@ register("join_hybrid", _sides, f"WITH {N.bm25(top=40)}, {TFIDF}, {FOUND40} SELE
 CROWDED = lambda t: LV.crowd_scores(t.click_log, NOW, DAY)
 register("join_crowd", lambda t: R.bm25_stored(t.store, t.queries).select("query_id", "doc_id").join(CROWDED(t).withColumnRenamed("score", "crowd"), "doc_id", "left").select("query_id", "doc_id", F.coalesce("crowd", F.lit(0.0)).alias("crowd")), f"WITH {N.bm25()}, {N.CLOG}, {CROWD} SELECT query_id, doc_id, coalesce(crowd.score, 0) AS crowd FROM hits LEFT JOIN crowd USING (doc_id)")
 ASKED = lambda t: t.rows(CQROWS, "query_id long, q string")
-FIRST = F.lower(F.element_at(F.split(F.trim("q"), r"\s+"), 1))
-register("join_click_boost", lambda t: t.click_log.select("id", "doc_id", F.lower("query").alias("logged")).join(F.broadcast(ASKED(t).select("query_id", FIRST.alias("word"))), F.col("logged").contains(F.col("word"))).select("query_id", "id", "doc_id"), f"WITH {N.CLOG}, {CQ} SELECT query_id, id, doc_id FROM cq JOIN click_log ON contains(lower(query), lower(string_split_regex(trim(q), '\\s+')[1]))")
+FIRST = lambda: F.lower(F.element_at(F.split(F.trim("q"), r"\s+"), 1))
+register("join_click_boost", lambda t: t.click_log.select("id", "doc_id", F.lower("query").alias("logged")).join(F.broadcast(ASKED(t).select("query_id", FIRST().alias("word"))), F.col("logged").contains(F.col("word"))).select("query_id", "id", "doc_id"), f"WITH {N.CLOG}, {CQ} SELECT query_id, id, doc_id FROM cq JOIN click_log ON contains(lower(query), lower(string_split_regex(trim(q), '\\s+')[1]))")
 MISSPELT = lambda t: t.rows([(w,) for w in WRONG], "word string")
 NEAR = f"{N.VOCAB}, w AS (SELECT unnest({WRONG}) AS word), m AS (SELECT word FROM w WHERE length(word) >= 3 AND word NOT IN (SELECT term FROM vocabulary)), n AS (SELECT word, term, levenshtein(word, term) AS distance, df FROM m JOIN vocabulary ON substr(word, 1, 2) = substr(term, 1, 2) AND abs(length(word) - length(term)) <= 3)"
 register("join_spell_cand", lambda t: SG.candidates(t.store.vocabulary.drop("slot"), MISSPELT(t)).select("word", "term", c("distance").cast("long").alias("distance")), f"WITH {NEAR} SELECT word, term, distance FROM n WHERE distance <= 2")
@@ -137,8 +137,8 @@ def _dashboard(t: Inputs) -> DataFrame:
 register("st_sse_dashboard", _dashboard, f"WITH {N.WLOG}, p AS (SELECT worker_rank, count(*) FILTER (status = 'ok') AS ok, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'blocked') AS blocked FROM crawl_log GROUP BY 1) SELECT CAST(sum(ok) AS BIGINT) AS pages, CAST(sum(failed) AS BIGINT) AS failed, CAST(sum(blocked) AS BIGINT) AS blocked, count(*) AS workers, round(max(ok) / min(ok), 2) AS imbalance FROM p")
 
 # Sources and sinks ---------------------------------------------------------------------------------
-RULES = F.when(F.col("url").contains("example.net"), "User-agent: *\nCrawl-delay: 3\nDisallow: /en\n").when(F.col("url").contains("example.org"), "User-agent: *\nDisallow:\n").otherwise("User-agent: other\nCrawl-delay: 9\n")
-register("src_robots", lambda t: TB.robots(t.pages.select(U.netloc(c("url")).alias("domain"), RULES.alias("rules"))).select("domain", "delay", "free"), f"SELECT DISTINCT {HOST} AS domain, CASE WHEN {HOST} LIKE '%example.net%' THEN 3.0 ELSE 0.5 END::DOUBLE AS delay, false AS free FROM pages")
+RULES = lambda: F.when(F.col("url").contains("example.net"), "User-agent: *\nCrawl-delay: 3\nDisallow: /en\n").when(F.col("url").contains("example.org"), "User-agent: *\nDisallow:\n").otherwise("User-agent: other\nCrawl-delay: 9\n")
+register("src_robots", lambda t: TB.robots(t.pages.select(U.netloc(c("url")).alias("domain"), RULES().alias("rules"))).select("domain", "delay", "free"), f"SELECT DISTINCT {HOST} AS domain, CASE WHEN {HOST} LIKE '%example.net%' THEN 3.0 ELSE 0.5 END::DOUBLE AS delay, false AS free FROM pages")
 
 
 def _resumed(t: Inputs) -> DataFrame:

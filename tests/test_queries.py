@@ -9,7 +9,7 @@ from conftest import SF
 
 from orrery.plans import registry
 
-SOME = ["src_url_map", "snk_document", "sc_normalise_url", "sc_highlight", "flt_straggler", "join_ring", "agg_domain_stats", "agg_cooc", "agg_job4_zero", "ir_bm25", "ir_tfidf_search", "ir_hybrid", "ir_spell_query", "ir_expand", "ir_click_boost", "gr_pagerank", "pb_bloom_stats", "fd_merge", "st_record_click", "cr_enqueue", "cr_delay"]
+SOME = ["src_url_map", "snk_document", "sc_normalise_url", "sc_highlight", "flt_straggler", "join_ring", "agg_domain_stats", "agg_cooc", "agg_job4_zero", "ir_bm25", "ir_tfidf_search", "ir_hybrid", "ir_spell_query", "ir_expand", "ir_click_boost", "gr_pagerank", "pb_bloom_stats", "fd_merge", "st_record_click", "cr_enqueue", "cr_delay", "pb_gossip", "cr_work_steal", "cr_rehome", "snk_page_db", "st_sse_dashboard", "st_collab_stream", "join_hybrid", "exp_bloom_fp"]
 
 
 def tidy(df):

@@ -81,3 +81,73 @@ def test_windows_of_queue_depth(spark):
     df = spark.createDataFrame([(T0 + dt.timedelta(seconds=s), s) for s in (1, 5, 12)], "timestamp timestamp, depth long")
     assert [(r.mean_depth, r.most) for r in LV.queue_depth(df).orderBy("start").collect()] == [(3.0, 5), (12.0, 12)]
     assert LV.active_users(df.withColumn("session_id", F.col("depth")), str(T0 + dt.timedelta(seconds=10)), 300).first()[0] == 2
+
+
+LOG = "id long, doc_id long, worker_rank long, status string, duration_ms double, domain string, depth long, timestamp timestamp"
+
+
+def crawl(spark, n=24):
+    return spark.createDataFrame([(i, i % 5, i % 3 + 1, ("ok", "failed", "ok", "blocked")[i % 4], float(i), f"d{i % 2}", i % 7, T0 + dt.timedelta(seconds=10 * i)) for i in range(n)], LOG)
+
+
+def test_views_pushed_from_a_stream_end_as_those_of_the_table(spark, tmp_path):
+    df = crawl(spark)
+    out = str(tmp_path / "out")
+    for view in (LV.dashboard, lambda rows: LV.throughput(rows, "1 minute", 2)):
+        LV.start(source(spark, df, tmp_path / "a"), LV.push(view, out), f"{out}/cp", "append").awaitTermination()
+        want = view(df)
+        last = spark.read.schema(want.schema).json(f"{out}/view/epoch=2")
+        assert sorted(map(tuple, last.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+        import shutil
+
+        shutil.rmtree(tmp_path)
+
+
+def test_windows_of_a_stream_are_those_of_the_table(spark, tmp_path):
+    df = crawl(spark)
+    key = lambda rows, *names: {tuple(r[n] for n in names) for r in rows}
+    for k, (stream, table, names) in enumerate((
+        (LV.domain_windows(source(spark, df, tmp_path / "a"), "1 minute", "1 hour"), LV.domain_windows(df, "1 minute"), ("domain", "start", "fetches", "errors", "blocked", "avg_ms")),
+        (LV.queue_depth(source(spark, df, tmp_path / "b"), "1 minute", "1 hour"), LV.queue_depth(df, "1 minute"), ("start", "mean_depth", "most")),
+    )):
+        last = {}
+        for r in run(spark, stream, tmp_path / f"c{k}", "update", None):
+            last[r.start, r[0] if k == 0 else None] = r
+        assert key(last.values(), *names) == key(table.collect(), *names)
+    users = run(spark, LV.active_users_stream(source(spark, df.withColumn("session_id", F.col("doc_id")), tmp_path / "d"), "1 hour", "1 day"), tmp_path / "d", "update", None)
+    assert users[-1].active_users == 5
+
+
+def test_metrics_come_as_a_stream(spark, tmp_path):
+    df = crawl(spark)
+    TB.write_metrics(df, df.select("timestamp", "depth", F.col("worker_rank").alias("active_workers")), str(tmp_path / "m"))
+    got = run(spark, TB.metrics_stream(spark, str(tmp_path / "m")).where("type = 'fetch'"), tmp_path, "append", None)
+    assert sorted(r.duration_ms for r in got) == [float(i) for i in range(24)] and {r.timestamp for r in got} == {r.timestamp for r in df.collect()}
+
+
+def test_pages_of_a_stream_reach_both_sinks_once(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"u{i}", "t") for i in range(9)], "doc_id long, url string, title string")
+    out = str(tmp_path / "db")
+    sink = TB.page_sinks(out)
+
+    def twice(batch, epoch):
+        sink(batch, epoch)
+        sink(batch, epoch)
+
+    LV.start(source(spark, pages, tmp_path), twice, f"{out}/cp", "append").awaitTermination()
+    assert spark.read.parquet(f"{out}/documents").count() == spark.read.parquet(f"{out}/crawl_log").count() == 9
+
+
+def test_activity_of_two_logs(spark):
+    q = spark.createDataFrame([(i, f"q{i % 2}", 1, T0 + dt.timedelta(seconds=i), f"s{i % 3}") for i in range(6)], "id long, query string, result_count long, timestamp timestamp, session_id string")
+    k = spark.createDataFrame([(9, "q0", 4, 1, T0 + dt.timedelta(seconds=3), "s0")], "id long, query string, doc_id long, position long, timestamp timestamp, session_id string")
+    rows = {(r.section, r.place): (r.what, r.value) for r in LV.activity(q, k, str(T0 + dt.timedelta(seconds=5)), newest=2).collect()}
+    assert rows["stats", 1] == ("total_queries", "6") and rows["stats", 3] == ("active_users", "3") and rows["trending", 1][0] == "4" and rows["feed", 1] == ("query 5", "q1") and ("feed", 3) not in rows
+
+
+def test_no_snapshot_is_none_and_log_lines_have_their_fields(spark, tmp_path):
+    assert TB.load_snapshot(spark, str(tmp_path / "none")) is None
+    lines = spark.createDataFrame([(T0, "INFO", "w", "rank 3 got https://x.example/a b"), (T0, "INFO", "w", None)], "timestamp timestamp, level string, logger string, message string")
+    TB.write_log(lines, str(tmp_path / "log"))
+    got = {(r.worker_rank, r.url) for r in TB.logs(spark, str(tmp_path / "log")).collect()}
+    assert got == {(3, "https://x.example/a"), (None, None)}
