@@ -3,7 +3,7 @@
 Ordinary text is encoded whole by the tokenizer library.  A stretch that the
 pre-tokenizer cannot split and that is longer than ``leaf`` bytes is a single
 piece; it is encoded as a tree: its halves (recursively, down to leaves) are
-encoded in parallel threads, then every join is repaired by re-encoding a
+encoded in parallel threads (the library works outside Python's lock), then every join is repaired by re-encoding a
 window of tokens around it.  The window doubles until both of its edges agree
 with their neighbours, that is until re-encoding the two tokens at each edge
 gives back just these two.  A sequence of byte-pair tokens is the encoding of
@@ -32,6 +32,7 @@ from .common import TOKENIZERS
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LEAF = 1 << 13
+THREADS = 4
 SCHEMA = "doc_id long, n_tokens long, tokens array<int>, round_trip boolean"
 
 
@@ -54,14 +55,15 @@ class Codec:
         out: list[int] = []
         for m in self.pattern.finditer(text):
             data = m.group().encode("utf-8", "replace")
-            out += self.tree(data) if len(data) > self.leaf else self.piece(data)
+            out += self.tree(data.decode()) if len(data) > self.leaf else self.piece(data)
         return out
 
-    def tree(self, data: bytes) -> list[int]:
+    def tree(self, piece: str) -> list[int]:
         """The tokens of one piece: leaves in parallel, then joins level by level."""
-        parts = [data[i : i + self.leaf] for i in range(0, len(data), self.leaf)]
-        with ThreadPoolExecutor(2) as pool:
-            level = list(pool.map(self.piece, parts))
+        # All characters of a piece are of one kind, so no part of it is split either.
+        parts = [piece[i : i + self.leaf] for i in range(0, len(piece), self.leaf)]
+        with ThreadPoolExecutor(THREADS) as pool:
+            level = list(pool.map(self.encoding._core_bpe.encode_ordinary, parts))
         while len(level) > 1:
             level = [self.join(level[i], level[i + 1]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
         return level[0] if level else []

@@ -65,6 +65,30 @@ def test_counts_of_odd_rows(spark):
     assert counts.count_edited(df, F.lit(None).cast("array<struct<at:int,until:int,new:string>>")).where("n_tokens <> n_tokens_edited").count() == 0
 
 
+def test_trees_are_kept_and_taken_up_again(spark, tmp_path):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["alpha", "beta's", "42", "née", "x" * 30]) for _ in range(n)) for n in (0, 3, 400, 2000)] + [None, "y" * 5000]
+    df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)] + [(2, texts[2], "clash"), (None, texts[1], "clash")], "doc_id long, text string, leaves string")
+    counts.plant(df).write.parquet(str(tmp_path / "trees"))
+    what = "array(struct(10 AS at, 14 AS until, ' new words' AS new), struct(5 AS at, 2 AS until, '<>' AS new), struct(100000 AS at, 100001 AS until, ' end' AS new))"
+    want = [t or "" for t in texts]
+    path = str(tmp_path / "trees")
+    for round_ in range(3):
+        # Each round is a run of its own: it reads the trees that the last one wrote.
+        counts.edit(spark.read.parquet(path), F.expr(what)).write.parquet(path := str(tmp_path / f"trees{round_}"))
+        rows = [r for r in spark.read.parquet(path).collect() if r.doc_id is not None]
+        before, want = want, []
+        for t in before:
+            for a, b, new in ((10, 14, " new words"), (5, 2, "<>"), (100000, 100001, " end")):
+                a = min(a, len(t))
+                t = t[:a] + new + t[min(max(b, a), len(t)) :]
+            want.append(t)
+        assert len(rows) == len(texts) + 1
+        for r in rows:
+            assert r.text == want[r.doc_id] and r.n_tokens == len(C.encode(r.text)) == sum(x.tokens for x in r.leaves) and r.n_tokens_before == len(C.encode(before[r.doc_id]))
+            assert r.doc_id != 3 or r.n_chars_encoded < len(r.text) / 3
+
+
 def test_shots_of_made_films_are_found(spark):
     rng = np.random.default_rng(3)
     vectors = rng.normal(size=(200, 64))
