@@ -8,7 +8,9 @@ Trees grow on histograms of at most 64 bins and are flattened into arrays, so a
 batch of documents descends all trees at once with numpy indexing.
 
 Results for odd input: a null text is scored as an empty one; a null doc_id is
-kept and scored; repeated rows are scored each; labels that are null, repeated
+kept and scored; repeated rows are scored each, and where rows with one doc_id
+differ the greatest text is fitted on; ties of a statistic fall on one side of
+every split; labels that are null, repeated
 (the greatest counts) or without a document are left out; without labels of
 both kinds a model is constant (everything is kept); further columns of
 documents pass through ``filter_documents`` untouched.
@@ -24,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .common import written
 
 FIT_ROWS = 8192
 LEXICON = 512
@@ -173,7 +176,10 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, lexicon:
         .groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     )
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality", "toxic")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # One text for each doc_id, in a table of at most fit_rows rows: the documents are read once.
+    rows = rows.groupBy("doc_id", "quality", "toxic").agg(F.max(F.coalesce("text", F.lit(""))).alias("text"))
+    rows = written(rows.select("doc_id", "text", "quality", "toxic"), "quality-labelled")
 
     def words(batches):
         for batch in batches:
