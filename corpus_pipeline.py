@@ -9,6 +9,13 @@ All stages but the last return the columns of documents.
 3. decontamination: documents that leak a benchmark item go.
 4. secrets: live-looking secrets are masked in the text; no document goes.
 5. bpe: the tokens of every document.
+
+Odd input: null and empty texts are judged by the classifier as empty texts; kept
+ones pass the next stages untouched and end with null or no tokens.  Rows without
+a doc_id are never near duplicates, and are judged, checked and masked as any
+other; rows with one doc_id stay or go together as near duplicates and each for
+itself elsewhere.  Further columns, whatever their names, pass all stages but the
+last.  An empty table gives an empty table.
 """
 
 from __future__ import annotations
