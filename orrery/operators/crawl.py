@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
-from ..session import written
+from ..session import fresh, written
 
 
 def admit(links: DataFrame, visited: DataFrame, domains: list[str] | None, depth_below: int = 4, budget: int | None = None) -> DataFrame:
@@ -37,8 +37,8 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int = 2, max_pages: int |
 
 def first_results(results: DataFrame) -> DataFrame:
     """The first result of every document, by time and id; later ones are duplicates."""
-    w = Window.partitionBy("doc_id").orderBy("timestamp", "id")
-    return results.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    w, place = Window.partitionBy("doc_id").orderBy("timestamp", "id"), fresh(results, "place")
+    return results.withColumn(place, F.row_number().over(w)).where(F.col(place) == 1).drop(place)
 
 
 def accepted(results: DataFrame) -> DataFrame:
@@ -83,8 +83,8 @@ def polite_times(requests: DataFrame, delay: float = 0.5) -> DataFrame:
     k = (F.row_number().over(w) - 1).cast("long")
     t = F.unix_micros("timestamp")
     step = int(delay * 1_000_000)
-    rows = requests.select("id", "domain", "timestamp", (t - k * step).alias("_s"), (k * step).alias("_k"))
-    return rows.select("id", "domain", F.timestamp_micros(F.max("_s").over(w) + F.col("_k")).alias("earliest"))
+    rows = requests.select("id", "domain", "timestamp", (t - k * step).alias("ready"), (k * step).alias("wait"))
+    return rows.select("id", "domain", F.timestamp_micros(F.max("ready").over(w) + F.col("wait")).alias("earliest"))
 
 
 def steal_plan(queue: DataFrame, workers: DataFrame, over: int = 15, whole_below: int = 7) -> DataFrame:

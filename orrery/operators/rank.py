@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores as S
 from ..functions.text import features, query_terms
-from ..session import maybe_broadcast, small, written
+from ..session import fresh, maybe_broadcast, small, written
 
 
 def top(df: DataFrame, score: str, n: int, by: str = "query_id") -> DataFrame:
@@ -155,8 +155,9 @@ def hybrid_weights(n_terms: int, model: bool) -> tuple[float, float]:
 
 def with_meta(results: DataFrame, meta: DataFrame) -> DataFrame:
     """Adds url, title and snippet, with defaults where a document has none."""
-    m = meta.select("doc_id", F.col("url").alias("_u"), F.col("title").alias("_t"), F.col("snippet").alias("_s"))
-    return results.join(m, "doc_id", "left").select(*results.columns, F.coalesce("_u", F.lit("")).alias("url"), F.coalesce("_t", F.lit("No title")).alias("title"), F.coalesce("_s", F.lit("")).alias("snippet"))
+    u, t, x = (fresh(results, name) for name in ("meta_url", "meta_title", "meta_snippet"))
+    m = meta.select("doc_id", F.col("url").alias(u), F.col("title").alias(t), F.col("snippet").alias(x))
+    return results.join(m, "doc_id", "left").select(*results.columns, F.coalesce(u, F.lit("")).alias("url"), F.coalesce(t, F.lit("No title")).alias("title"), F.coalesce(x, F.lit("")).alias("snippet"))
 
 
 def click_counts(clicks: DataFrame, results: DataFrame, queries: DataFrame) -> DataFrame:
@@ -174,7 +175,8 @@ def boost_clicks(results: DataFrame, clicks: DataFrame, queries: DataFrame, top_
 
 
 def boost_crowd(results: DataFrame, crowd: DataFrame, weight: float = 0.1, top_n: int = 20) -> DataFrame:
-    joined = results.drop("rank").join(crowd.select("doc_id", F.col("score").alias("_c")), "doc_id", "left").withColumn("crowd", F.round(F.coalesce("_c", F.lit(0.0)), 3)).drop("_c")
+    own = fresh(results, "crowd_score")
+    joined = results.drop("rank").join(crowd.select("doc_id", F.col("score").alias(own)), "doc_id", "left").withColumn("crowd", F.round(F.coalesce(own, F.lit(0.0)), 3)).drop(own)
     return top(joined.withColumn("score", F.round(F.col("score") + weight * F.col("crowd"), 3)), "score", top_n)
 
 

@@ -88,6 +88,14 @@ def dropped(*tables: DataFrame) -> None:
         _delete(t.sparkSession, t.written_to)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def _bytes(c: Column, kind: T.DataType) -> Column:
     if isinstance(kind, (T.StringType, T.BinaryType)):
         return F.coalesce(F.octet_length(c), F.lit(0)).cast("long") + 16

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import urls as U
 from ..functions.text import log_rank, log_url
+from ..session import fresh
 
 PAGE_JSON = "doc_id long, url string, title string, text string, snippet string, links array<string>"
 METRICS_JSON = "type string, domain string, duration_ms double, status string, depth long, active_workers long, ts double"
@@ -48,11 +49,12 @@ def url_map(docs: DataFrame) -> DataFrame:
 
 def upsert_documents(old: DataFrame, new: DataFrame) -> DataFrame:
     """old and new documents, the last one of each URL, then of each doc_id: by crawled_at, then doc_id, then being new."""
-    whole = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+    newer, place = fresh(old, "is_new"), fresh(old, "place")
+    whole = old.withColumn(newer, F.lit(0)).unionByName(new.withColumn(newer, F.lit(1)))
     for key in ("url", "doc_id"):
-        w = Window.partitionBy(key).orderBy(F.col("_new").desc(), F.col("crawled_at").desc(), F.col("doc_id").desc(), F.col("url").desc())
-        whole = whole.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
-    return whole.withColumn("domain", U.netloc(F.col("url"))).drop("_new")
+        w = Window.partitionBy(key).orderBy(F.col(newer).desc(), F.col("crawled_at").desc(), F.col("doc_id").desc(), F.col("url").desc())
+        whole = whole.withColumn(place, F.row_number().over(w)).where(F.col(place) == 1).drop(place)
+    return whole.withColumn("domain", U.netloc(F.col("url"))).drop(newer)
 
 
 def mark_indexed(meta: DataFrame, done: DataFrame) -> DataFrame:
@@ -60,8 +62,9 @@ def mark_indexed(meta: DataFrame, done: DataFrame) -> DataFrame:
 
 
 def update_ranks(docs: DataFrame, scores: DataFrame) -> DataFrame:
-    new = scores.select("doc_id", F.col("score").alias("_new"))
-    return docs.join(new, "doc_id", "left").withColumn("pagerank", F.coalesce("_new", "pagerank")).drop("_new")
+    score = fresh(docs, "new_rank")
+    new = scores.select("doc_id", F.col("score").alias(score))
+    return docs.join(new, "doc_id", "left").withColumn("pagerank", F.coalesce(score, "pagerank")).drop(score)
 
 
 def append(df: DataFrame, path: str) -> None:
