@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql import DataFrame, SparkSession
 
-from ..session import dropped, importable, written
+from ..session import dropped, fresh, importable, maybe_broadcast, size_of, small, written
 
-__all__ = ["dropped", "fresh", "maybe_broadcast", "table", "written"]
+__all__ = ["dropped", "fresh", "maybe_broadcast", "size_of", "small", "written"]
 
 TOKENIZERS = "/opt/tokenizers"
-#: What a broadcast may hold: a fixed share of an executor's memory, whatever the input.
-BROADCAST_BYTES = 48 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,44 +17,3 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
-def fresh(df: DataFrame, name: str) -> str:
-    """A column name that df does not have."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
-def _bytes(c: Column, kind: T.DataType) -> Column:
-    if isinstance(kind, (T.StringType, T.BinaryType)):
-        return F.coalesce(F.octet_length(c), F.lit(0)).cast("long") + 16
-    if isinstance(kind, T.ArrayType):
-        inner = kind.elementType
-        if isinstance(inner, (T.StringType, T.BinaryType, T.ArrayType, T.StructType)):
-            return F.coalesce(F.aggregate(c, F.lit(24).cast("long"), lambda n, x: n + _bytes(x, inner)), F.lit(24).cast("long"))
-        return F.coalesce(F.size(c), F.lit(0)).cast("long") * 8 + 24
-    if isinstance(kind, T.StructType):
-        total = F.lit(16).cast("long")
-        for f in kind.fields:
-            total = total + _bytes(c[f.name], f.dataType)
-        return total
-    return F.lit(8).cast("long")
-
-
-def size_of(df: DataFrame) -> int:
-    """About how many bytes df's rows have in memory; it must be cheap to read, such as a written table."""
-    total = F.lit(32).cast("long")
-    for f in df.schema.fields:
-        total = total + _bytes(F.col(f"`{f.name}`"), f.dataType)
-    return df.agg(F.sum(total)).first()[0] or 0
-
-
-def small(df: DataFrame, most: int = BROADCAST_BYTES) -> bool:
-    return size_of(df) <= most
-
-
-def maybe_broadcast(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
-    """df, marked for broadcast only if its measured bytes allow it; beyond that Spark's own join strategy holds."""
-    return F.broadcast(df) if small(df, most) else df
