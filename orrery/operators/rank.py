@@ -129,7 +129,7 @@ def vector_search(vectors: DataFrame, queries: DataFrame, top_n: int = 20, key:
 def encode_words(docs: DataFrame, text: str = "text", size: int = 64) -> DataFrame:
     """A stand-in encoder without a model: hashed word counts of length one. doc_id, embedding."""
     words = F.explode(query_terms(F.col(text)))
-    counts = docs.select("doc_id", words.alias("w")).select("doc_id", F.pmod(F.xxhash64("w"), F.lit(size)).cast("int").alias("i"))
+    counts = docs.select("doc_id", words.alias("w")).select("doc_id", (F.conv(F.substring(F.md5(F.col("w").cast("binary")), 1, 8), 16, 10).cast("long") % size).cast("int").alias("i"))
     counts = counts.groupBy("doc_id", "i").agg(F.count("*").cast("double").alias("n")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("i", "n"))).alias("m"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
     return counts.select("doc_id", F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: (F.coalesce(F.try_element_at("m", i), F.lit(0.0)) / F.col("norm")).cast("float")).alias("embedding"))
 

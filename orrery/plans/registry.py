@@ -269,7 +269,7 @@ register("ir_tfidf_search", lambda t: R.tfidf_stored(t.store, t.queries), f"WITH
 QV = lambda t: t.read("embeddings").where("vec_id % 50 = 0").select(c("vec_id").alias("query_id"), c("embedding").alias("q_vector"))
 VS = "vs AS (SELECT q.vec_id AS query_id, e.vec_id AS doc_id, round(list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) / sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[]) * list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])), 4) AS similarity FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0)"
 register("ir_vector_search", lambda t: R.vector_search(t.read("embeddings"), QV(t)), f"WITH {VS} SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, doc_id) AS INTEGER) AS rank FROM vs QUALIFY rank <= 20")
-register("ir_embed_build", lambda t: R.encode_words(t.documents))
+register("ir_embed_build", lambda t: R.encode_words(t.documents).select("doc_id", F.posexplode("embedding").alias("dim", "x")).where("x <> 0").select("doc_id", c("dim").cast("long").alias("dim"), F.round(c("x").cast("double"), 5).alias("x")), f"WITH w AS (SELECT doc_id, ('0x' || substr(md5(w), 1, 8))::BIGINT % 64 AS dim FROM (SELECT doc_id, unnest({N.qterms('text')}) AS w FROM documents)), n AS (SELECT doc_id, dim, count(*) AS n FROM w GROUP BY ALL) SELECT doc_id, dim, round((n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)))::FLOAT::DOUBLE, 5) AS x FROM n")
 register("flt_bert_gt", lambda t: R.vector_search(t.read("embeddings"), QV(t)).where("similarity > 0.2"), f"WITH {VS} SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, doc_id) AS INTEGER) AS rank FROM vs QUALIFY rank <= 20 AND similarity > 0.2")
 
 
@@ -353,7 +353,7 @@ register("st_trending_docs", lambda t: LV.trending_documents(LV.crowd_scores(t.c
 register("st_active_users", lambda t: LV.active_users(t.query_log, NOW, 3600), f"WITH {N.QLOG} SELECT count(DISTINCT session_id) AS active_users FROM query_log WHERE timestamp > TIMESTAMP '{NOW}' - INTERVAL 1 HOUR AND timestamp <= TIMESTAMP '{NOW}'")
 register("st_live_feed", lambda t: LV.feed(t.query_log, t.click_log), f"WITH {N.QLOG}, {N.CLOG} SELECT 'query' AS kind, id, query AS what, timestamp FROM query_log UNION ALL SELECT 'click', id, doc_id::VARCHAR, timestamp FROM click_log ORDER BY timestamp DESC, id DESC LIMIT 100")
 register("st_collab_search", lambda t: R.boost_crowd(R.bm25_stored(t.store, t.queries).drop("bm25"), LV.crowd_scores(t.click_log, NOW, DAY)), f"WITH {N.bm25()}, {N.CLOG}, {CROWD}, j AS (SELECT query_id, hits.doc_id, round(coalesce(crowd.score, 0), 3) AS crowd, round(hits.score + 0.1 * round(coalesce(crowd.score, 0), 3), 3) AS score FROM hits LEFT JOIN crowd ON crowd.doc_id = hits.doc_id) SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM j QUALIFY rank <= 20")
-register("st_token_bucket", lambda t: C.token_bucket(t.crawl_log, "domain", rate=0.001, capacity=2.0))
+register("st_token_bucket", lambda t: C.token_bucket(t.crawl_log, "domain", rate=0.001, capacity=2.0), f"WITH RECURSIVE {N.WLOG}, o AS MATERIALIZED (SELECT id, domain AS key, epoch_us(timestamp) / 1e6 AS t, row_number() OVER (PARTITION BY domain ORDER BY timestamp, id) AS k FROM crawl_log), b AS (SELECT key, k, id, t, 2.0::DOUBLE AS tok FROM o WHERE k = 1 UNION ALL SELECT o.key, o.k, o.id, o.t, least(2.0, (b.tok - CASE WHEN b.tok >= 1 THEN 1 ELSE 0 END) + (o.t - b.t) * 0.001) FROM b JOIN o ON o.key = b.key AND o.k = b.k + 1) SELECT id, key, tok >= 1 AS granted, CASE WHEN tok >= 1 THEN 0.0 ELSE round((1 - tok) / 0.001, 3) END AS wait_s FROM b")
 register("st_heartbeat", lambda t: C.silent(t.crawl_log, seconds=3600.0), f"WITH {N.WLOG}, g AS (SELECT worker_rank, timestamp AS died_at, round((epoch_us(lead(timestamp) OVER (PARTITION BY worker_rank ORDER BY timestamp, id)) - epoch_us(timestamp)) / 1e6, 3) AS gap_s FROM crawl_log) SELECT * FROM g WHERE gap_s > 3600")
 register("st_queue_depth", lambda t: LV.queue_depth(t.crawl_log, "1 hour"), f"WITH {N.WLOG} SELECT time_bucket(INTERVAL 1 HOUR, timestamp) AS start, round(avg(depth), 3) AS mean_depth, max(depth) AS most FROM crawl_log GROUP BY 1")
 register("st_dup_suppress", lambda t: C.first_results(t.crawl_log), f"WITH {N.WLOG} SELECT * FROM crawl_log QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY timestamp, id) = 1")
