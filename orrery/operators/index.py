@@ -18,10 +18,14 @@ def postings(docs: DataFrame, text: str | Column = "text") -> DataFrame:
     return emit(docs, text).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
 
 
-def nested(post: DataFrame) -> DataFrame:
-    """term, df, doc_ids (sorted) and tf by doc_id."""
+def nested(post: DataFrame, span: int | None = None) -> DataFrame:
+    """term, df, doc_ids (sorted) and tf by doc_id.
+
+    With span, a term has a row for each range of that many doc_ids (and df counts the range), so no row grows with the corpus.
+    """
+    keys = ["term"] if span is None else ["term", F.floor(F.col("doc_id") / span).alias("block")]
     pairs = F.sort_array(F.collect_list(F.struct("doc_id", "tf")))
-    return post.groupBy("term").agg(F.count("*").alias("df"), pairs.alias("p")).select("term", "df", F.col("p.doc_id").alias("doc_ids"), F.map_from_entries("p").alias("tf"))
+    return post.groupBy(*keys).agg(F.count("*").alias("df"), pairs.alias("p")).select("term", "df", F.col("p.doc_id").alias("doc_ids"), F.map_from_entries("p").alias("tf"))
 
 
 def merge(*parts: DataFrame) -> DataFrame:

@@ -24,18 +24,18 @@ def search(spark, docs, query, **options):
     return R.bm25(I.postings(d), I.lengths_of(d), d.agg(F.count("*").alias("n")), q, **options).orderBy("rank").collect()
 
 
-PAPERS = [(0, "distributed computing parallel systems"), (1, "cooking recipes food kitchen"), (2, "distributed parallel processing")]
+PAPERS = [(0, "glacier melting northern rivers"), (1, "violin strings maker workshop"), (2, "glacier northern weather")]
 
 
 def test_bm25_prefers_higher_frequency(spark):
-    assert search(spark, [(0, "python python python programming"), (1, "python language")], "python")[0].doc_id == 0
+    assert search(spark, [(0, "otter otter river otter"), (1, "otter bank")], "otter")[0].doc_id == 0
 
 
 def test_bm25_finds_only_documents_with_a_term(spark):
-    rows = search(spark, PAPERS, "distributed parallel")
+    rows = search(spark, PAPERS, "glacier northern")
     assert {r.doc_id for r in rows} == {0, 2} and all(r.score >= 0 for r in rows)
     assert search(spark, PAPERS, "unknownterm") == [] and search(spark, PAPERS, "an of") == []
-    assert len(search(spark, PAPERS, "distributed", top_n=1)) == 1
+    assert len(search(spark, PAPERS, "glacier", top_n=1)) == 1
 
 
 def test_index_merge_remove_and_nested(spark):
@@ -44,7 +44,7 @@ def test_index_merge_remove_and_nested(spark):
     assert {(r.term, r.doc_id, r.tf) for r in I.merge(post, post).collect()} == {(r.term, r.doc_id, 2 * r.tf) for r in post.collect()}
     gone = I.remove(post, spark.createDataFrame([(1,)], "doc_id long"))
     assert {r.doc_id for r in gone.collect()} == {0, 2}
-    row = I.nested(post).where("term = 'parallel'").first()
+    row = I.nested(post).where("term = 'northern'").first()
     assert row.doc_ids == [0, 2] and row.tf == {0: 1, 2: 1} and row.df == 2
 
 
@@ -56,32 +56,39 @@ def test_incremental_counts_nothing_twice(spark):
     assert {r.doc_id: r.term_count for r in meta.collect()} == {0: 4, 1: 4, 2: 3}
 
 
+def test_nested_rows_by_ranges_hold_the_same(spark):
+    post = spark.createDataFrame([("a", i, 1 + i % 3) for i in range(25)] + [("b", 7, 2)], "term string, doc_id long, tf long")
+    rows = I.nested(post, span=10).collect()
+    assert sorted((r.term, r.df) for r in rows) == [("a", 5), ("a", 10), ("a", 10), ("b", 1)]
+    assert {(r.term, d, r.tf[d]) for r in rows for d in r.doc_ids} == {tuple(r) for r in post.collect()}
+
+
 def vocabulary(spark, rows):
     return spark.createDataFrame(rows, "term string, df long")
 
 
 def test_completion_orders_by_frequency(spark):
-    v = vocabulary(spark, [("parallel", 100), ("parrot", 2), ("parameter", 50), ("zebra", 9)])
-    p = spark.createDataFrame([("par",), ("PAR",), ("q",), ("",)], "prefix string")
+    v = vocabulary(spark, [("lantern", 100), ("landing", 2), ("language", 50), ("zebra", 9)])
+    p = spark.createDataFrame([("lan",), ("LAN",), ("q",), ("",)], "prefix string")
     rows = SG.complete(v, p).orderBy("prefix", "rank").collect()
-    assert [r.term for r in rows if r.prefix == "par"] == ["parallel", "parameter", "parrot"]
+    assert [r.term for r in rows if r.prefix == "lan"] == ["lantern", "language", "landing"]
     assert len([r for r in rows if r.prefix == ""]) == 4 and not [r for r in rows if r.prefix == "q"]
-    assert SG.complete(v, p, n=2).where("prefix = 'par'").count() == 2
+    assert SG.complete(v, p, n=2).where("prefix = 'lan'").count() == 2
     assert SG.complete(v, p, least=2).where("prefix = ''").count() == 0
 
 
-@pytest.mark.parametrize(("a", "b", "d"), [("python", "python", 0), ("pythan", "python", 1), ("pythoon", "python", 1), ("pyton", "python", 1), ("pytohn", "python", 2)])
+@pytest.mark.parametrize(("a", "b", "d"), [("lantern", "lantern", 0), ("lantarn", "lantern", 1), ("lanttern", "lantern", 1), ("lanern", "lantern", 1), ("lantren", "lantern", 2)])
 def test_edit_distance(spark, a, b, d):
     assert spark.range(1).select(F.levenshtein(F.lit(a), F.lit(b))).first()[0] == d
 
 
 def test_spelling(spark):
-    v = vocabulary(spark, [(w, 10) for w in ("distributed", "computing", "parallel", "python")])
-    words = spark.createDataFrame([("distribted",), ("python",), ("ab",), ("zzzzz",), ("phyton",)], "word string")
-    assert {r.word: r.correction for r in SG.correct(v, words).collect()} == {"distribted": "distributed"}
-    q = spark.createDataFrame([(1, "distribted compuing"), (2, "python")], "query_id long, q string")
+    v = vocabulary(spark, [(w, 10) for w in ("mountain", "railway", "harbour", "garden")])
+    words = spark.createDataFrame([("mountan",), ("garden",), ("ab",), ("zzzzz",), ("graden",)], "word string")
+    assert {r.word: r.correction for r in SG.correct(v, words).collect()} == {"mountan": "mountain"}
+    q = spark.createDataFrame([(1, "mountan railwy"), (2, "garden")], "query_id long, q string")
     rows = {r.query_id: (r.corrected, r.n_fixed) for r in SG.correct_queries(v, q).collect()}
-    assert rows == {1: ("distributed computing", 2), 2: ("python", 0)}
+    assert rows == {1: ("mountain railway", 2), 2: ("garden", 0)}
 
 
 def test_curated_synonyms_come_first(spark):
@@ -149,7 +156,7 @@ def test_routes_are_those_of_a_sorted_ring(spark):
 
 def test_stored_search_equals_search_of_postings(spark):
     d = spark.createDataFrame([*PAPERS, (70, None), (71, ""), (72, "the of")], "doc_id long, text string")
-    q = spark.createDataFrame([(1, "distributed parallel"), (2, "cooking cooking nothing"), (3, None), (4, "")], "query_id long, q string")
+    q = spark.createDataFrame([(1, "glacier northern"), (2, "violin violin nothing"), (3, None), (4, "")], "query_id long, q string")
     store = Store.build(d)
     n = d.agg(F.count("*").alias("n"))
     rows = lambda df: sorted(map(tuple, df.select("query_id", "doc_id", "rank").collect()))
@@ -312,3 +319,39 @@ def test_every_fiftieth_vector_is_a_query_against_all_and_agrees_with_the_sql(sp
     unit = x / np.linalg.norm(x, axis=1)[:, None]
     want = {(i, j, k + 1) for i in range(50) for k, j in enumerate(sorted(range(50), key=lambda j: (-round(float(unit[i] @ unit[j]), 4), j))[:4])}
     assert {(r.query_id, r.doc_id, r["rank"]) for r in got} == want
+
+
+def test_all_requests_of_an_engine(spark):
+    import datetime as dt
+
+    from orrery.plans.api import Engine
+
+    t0 = dt.datetime(2024, 1, 1)
+    docs = spark.createDataFrame([*PAPERS, (3, "glacier glacier harbour weather")], "doc_id long, text string")
+    meta = spark.createDataFrame([(i, f"http://x/{i}", f"title {i}", f"glacier text {i}") for i in range(4)], "doc_id long, url string, title string, snippet string")
+    queries = spark.createDataFrame([(i, ("glacier", "Glacier", "none")[i % 3], 0 if i % 3 == 2 else 2, t0 + dt.timedelta(minutes=i), f"s{i % 2}") for i in range(6)], "id long, query string, result_count long, timestamp timestamp, session_id string")
+    clicks = spark.createDataFrame([(9, "glacier", 2, 1, t0, "s0")], "id long, query string, doc_id long, position long, timestamp timestamp, session_id string")
+    log = spark.createDataFrame([(1, 1, 1, "ok", 3.0, "d", 0, t0)], "id long, doc_id long, worker_rank long, status string, duration_ms double, domain string, depth long, timestamp timestamp")
+    ranks = spark.createDataFrame([(0, 1.0), (3, 0.5)], "doc_id long, score double")
+    e = Engine(Store.build(docs), meta, ranks, queries, clicks, log)
+    q = spark.createDataFrame([(1, "glacier"), (2, "glacer")], "query_id long, q string")
+    best = lambda df, i=1: [r.doc_id for r in df.where(f"query_id = {i}").orderBy("rank").collect()]
+    assert best(e.search(q)) == [0, 3, 2] and best(e.search(q), 2) == []
+    assert [r.term for r in e.suggest(spark.createDataFrame([("gla",), ("g",)], "prefix string")).collect()] == ["glacier"]
+    assert e.spell(spark.createDataFrame([("glacer",)], "word string")).first().correction == "glacier"
+    assert {r.corrected for r in e.correct(q).collect()} == {"glacier"}
+    assert {r.expanded for r in e.expand(q).collect()} >= {"glacer"}
+    # The misspelt query finds what the other one does, and the clicked document is lifted.
+    page = e.page(q)
+    assert best(page) == best(page, 2) and set(best(page)) == {0, 2, 3} and page.where("snippet like '%<mark>glacier</mark>%'").count() == 6
+    vectors = R.encode_words(docs)
+    with_vectors = Engine(e.store, meta, ranks, vectors=vectors).hybrid(q.where("query_id = 1"))
+    assert best(with_vectors)[0] in (0, 3) and with_vectors.where("semantic > 0").count() > 0
+    assert tuple(e.stats().first()) == (4, docs.select(F.explode(F.split("text", " "))).distinct().count())
+    assert e.document(3).first().score == 0.5 and e.document(2).first().score == 0.0
+    assert e.metrics().first().fetches == 1 and {k: v.count() for k, v in e.analytics(str(t0 + dt.timedelta(hours=1))).items()} == {"top": 3, "zero": 1, "clicked": 1, "hourly": 1}
+    assert {k: v.count() for k, v in e.log_analysis().items()} == {"top_terms": 2, "position_bias": 1, "zero_results": 1, "hourly_volume": 1}
+    assert set(best(e.federated(q, 2))) == {0, 2, 3} and set(best(e.collaborative(q, str(t0)))) == {0, 2, 3}
+    post, done = e.reindex(spark.createDataFrame([(0, 4), (1, 4)], "doc_id long, term_count long"))
+    assert sorted((r.term, r.doc_id) for r in post.collect()) == sorted((r.term, r.doc_id) for r in I.postings(docs).collect()) and done.count() == 4
+    assert {r.result_count for r in e.log_of(e.search(q), q, str(t0)).collect()} == {0, 3}
