@@ -107,7 +107,7 @@ register(
 
 # Scalars -----------------------------------------------------------------------------------------
 register("sc_tokenise", lambda t: t.documents.select("doc_id", F.explode(T.tokens(c("text"))).alias("token")), f"SELECT doc_id, unnest({N.toks('text')}) AS token FROM documents")
-register("sc_doc_text", lambda t: t.page_docs.select("doc_id", T.doc_text(c("title"), c("snippet")).alias("doc")), f"WITH {N.PDOCS} SELECT doc_id, title || ' ' AS doc FROM page_docs")
+register("sc_doc_text", lambda t: t.documents.select("doc_id", T.doc_text(c("source"), c("text")).alias("doc")), "SELECT doc_id, coalesce(source, '') || ' ' || coalesce(text, '') AS doc FROM documents")
 CONV = "conversations"
 register("sc_query_terms", lambda t: t.read(CONV).select("conv_id", "turn", F.explode(T.query_terms(c("text"))).alias("term")), f"SELECT conv_id, turn, unnest({N.qterms('text')}) AS term FROM conversations")
 register("sc_log_terms", lambda t: t.read(CONV).select("conv_id", "turn", F.explode(T.log_terms(c("text"))).alias("term")), f"SELECT conv_id, turn, unnest(list_filter({N.qterms('text')}, lambda t: NOT list_contains({N.LOGSTOP}, t))) AS term FROM conversations")
@@ -132,7 +132,7 @@ register("sc_parse_page", lambda t: PARSED(t))
 register("sc_parse_text", lambda t: PARSED(t).select("page_id", "text"))
 register("sc_parse_snippet", lambda t: PARSED(t).select("page_id", "snippet"))
 register("sc_parse_links", lambda t: PARSED(t).select("page_id", F.explode("links").alias("link")))
-register("sc_embed_text", lambda t: t.page_docs.select("doc_id", T.embed_text(c("title"), c("url")).alias("e")), f"WITH {N.PDOCS} SELECT doc_id, substr(title || ' ' || title || ' ' || title || ' ' || url, 1, 512) AS e FROM page_docs")
+register("sc_embed_text", lambda t: t.documents.select("doc_id", T.embed_text(c("source"), c("text")).alias("e")), "SELECT doc_id, substr(concat_ws(' ', source, source, source, text), 1, 512) AS e FROM documents")
 MSG = lambda: F.concat(F.lit("worker rank "), c("worker_rank").cast("string"), F.lit(" got https://"), "domain", F.lit("/p now"))
 register("sc_log_extract", lambda t: t.crawl_log.select("id", T.log_rank(MSG()).alias("rank"), T.log_url(MSG()).alias("url")), f"WITH {N.WLOG} SELECT id, CAST(worker_rank AS INTEGER) AS rank, 'https://' || domain || '/p' AS url FROM crawl_log")
 register("sc_hour_substr", lambda t: t.query_log.select("id", T.hour_of(F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss")).alias("hour")), f"WITH {N.QLOG} SELECT id, substr(strftime(timestamp, '%Y-%m-%dT%H:%M:%S'), 12, 2) AS hour FROM query_log")
