@@ -121,7 +121,7 @@ def frontier_stats(frontier: DataFrame) -> DataFrame:
 
 
 def first_links(links: DataFrame, most: int = 50) -> DataFrame:
-    """src, dst of the first ``most`` links of each page (src, dsts): a cap that the reference workload asks for."""
+    """src, dst of the first ``most`` links of each page (src, dsts): an option, off by default."""
     return links.select("src", F.explode(F.slice("dsts", 1, most)).alias("dst"))
 
 
