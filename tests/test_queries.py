@@ -36,7 +36,7 @@ def test_the_entry_imports_without_a_session_and_runs(spark):
     assert set(e.oracle_sql()) <= set(e.queries())
 
 
-@pytest.mark.parametrize("name", ["src_json_pages"])
+@pytest.mark.parametrize("name", ["src_json_pages", "snk_migrate"])
 def test_titles_with_cut_entities_are_those_of_the_sql(spark, tmp_path, name):
     pages = [(1, "https://h.example/a", "<title>Cut &amp</title><p>x"), (2, "https://h.example/b", "<title>A &lt; B</title><p>y"), (3, "https://h.example/c", "<p>none")]
     pd.DataFrame(pages, columns=["page_id", "url", "html"]).to_parquet(tmp_path / "pages.parquet")
