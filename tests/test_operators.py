@@ -355,3 +355,36 @@ def test_all_requests_of_an_engine(spark):
     post, done = e.reindex(spark.createDataFrame([(0, 4), (1, 4)], "doc_id long, term_count long"))
     assert sorted((r.term, r.doc_id) for r in post.collect()) == sorted((r.term, r.doc_id) for r in I.postings(docs).collect()) and done.count() == 4
     assert {r.result_count for r in e.log_of(e.search(q), q, str(t0)).collect()} == {0, 3}
+
+
+def test_lists_of_an_index_are_never_searched(spark, tmp_path):
+    post = spark.createDataFrame([("a", i, 1 + i % 3) for i in range(25)] + [("b", 7, 2)], "term string, doc_id long, tf long")
+    for made in (I.lists(post), I.lists(post, span=10), I.nested(post, span=10)):
+        TB.write_index_json(made, str(tmp_path / "i"))
+        assert sorted(TB.index_json(spark, str(tmp_path / "i")).collect()) == sorted(post.collect())
+    from conftest import SF
+    from orrery.plans import registry
+
+    assert "element_at" not in registry.QUERIES["agg_index"](spark, SF)._jdf.queryExecution().toString()
+
+
+def test_postings_count_rows_of_one_doc_id_together_and_take_odd_texts(spark):
+    rows = [(1, "Otter otter, river"), (1, "otter the"), (2, None), (3, ""), (4, "été RIVERbank_river a1bcd İster"), (None, "moss"), (None, "moss fern")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    slow = I.emit(d).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+    key = lambda r: tuple(map(str, r))
+    assert sorted(I.postings(d).collect(), key=key) == sorted(slow.collect(), key=key) != []
+    assert {(r.doc_id, r.dl) for r in I.sized_postings(d).collect()} == {(1, 4), (4, 4), (None, 3)}
+    once = d.where("doc_id > 1")
+    assert sorted(I.postings(once).collect()) == sorted(slow.where("doc_id > 1").collect()) and "Exchange" not in I.postings(once)._jdf.queryExecution().toString()
+
+
+def test_words_are_cut_in_slices_of_a_column():
+    import pyarrow as pa
+    from orrery.operators.counting import LETTERS, counted, words
+
+    texts = pa.array(["abc the\n", "abc\n", "\n", "xyz abc xyz\n"])
+    row, number, found = words(texts.slice(1), LETTERS, 3, ("the",))
+    assert [(int(r), found[int(k)].as_py()) for r, k in zip(row, number)] == [(0, "abc"), (2, "xyz"), (2, "abc"), (2, "xyz")]
+    assert [x.tolist() for x in counted(number, row, 3)] == [[0, 0, 1], [0, 2, 2], [1, 1, 2]]
+    assert len(words(texts.slice(2, 1), LETTERS, 3, ())[2]) == 0
