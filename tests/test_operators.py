@@ -388,3 +388,31 @@ def test_words_are_cut_in_slices_of_a_column():
     assert [(int(r), found[int(k)].as_py()) for r, k in zip(row, number)] == [(0, "abc"), (2, "xyz"), (2, "abc"), (2, "xyz")]
     assert [x.tolist() for x in counted(number, row, 3)] == [[0, 0, 1], [0, 2, 2], [1, 1, 2]]
     assert len(words(texts.slice(2, 1), LETTERS, 3, ())[2]) == 0
+
+
+def test_tfidf_lists_only_pairs_that_can_be_kept_and_loses_none(spark):
+    import random
+    from collections import Counter
+
+    random.seed(5)
+    pool = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(random.choice(pool) + (" moss fern" if random.random() < 0.3 else "") for _ in range(60))) for i in range(30)] + [(7, "moss fern, moss"), (31, None), (32, "the of")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    tf = Counter()
+    for i, text in rows:
+        found = [w for w in (text or "").lower().replace(",", " ").split() if w not in T.ENGLISH]
+        tf.update([(i, f) for f in found + [f"{a} {b}" for a, b in zip(found, found[1:])]])
+    total, df = Counter(), Counter(f for _, f in tf)
+    for (_, f), n in tf.items():
+        total[f] += n
+    for most in (20, 5000):
+        best = sorted((f for f in total if df[f] >= 2), key=lambda f: (-total[f], f))[:most]
+        idf = {f: math.log((1 + len(rows)) / (1 + df[f])) + 1 for f in best}
+        w = {k: (1 + math.log(n)) * idf[k[1]] for k, n in tf.items() if k[1] in idf}
+        norm = Counter()
+        for (i, _), x in w.items():
+            norm[i] += x * x
+        weights, kept = R.tfidf(d, max_features=most)
+        assert {r.feature: round(r.idf, 9) for r in kept.collect()} == {f: round(x, 9) for f, x in idf.items()}
+        assert {(r.doc_id, r.feature): round(r.weight, 9) for r in weights.collect()} == {k: round(x / math.sqrt(norm[k[0]]), 9) for k, x in w.items()}
+    assert "Exchange" not in R.tfidf(d.where("doc_id <> 7"))[0]._jdf.queryExecution().toString()
