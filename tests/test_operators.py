@@ -416,3 +416,26 @@ def test_tfidf_lists_only_pairs_that_can_be_kept_and_loses_none(spark):
         assert {r.feature: round(r.idf, 9) for r in kept.collect()} == {f: round(x, 9) for f, x in idf.items()}
         assert {(r.doc_id, r.feature): round(r.weight, 9) for r in weights.collect()} == {k: round(x / math.sqrt(norm[k[0]]), 9) for k, x in w.items()}
     assert "Exchange" not in R.tfidf(d.where("doc_id <> 7"))[0]._jdf.queryExecution().toString()
+
+
+def test_cooccurrence_counts_neighbours_across_batches(spark):
+    import random
+    from collections import Counter
+
+    random.seed(3)
+    rows = [(t, d, 1) for d in [*range(12), None] for t in random.sample("abcdefghijklmnop", random.randint(1, 14))]
+    df = Counter(t for t, _, _ in rows)
+    order = sorted(df, key=lambda t: (-df[t], t))[:10]
+    want = Counter()
+    for d in {d for _, d, _ in rows}:
+        mine = [t for t in order if (t, d, 1) in rows]
+        for i, a in enumerate(mine):
+            for b in mine[i + 1 : i + 4]:
+                want[a, b] += 1
+                want[b, a] += 1
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        got = SG.cooccurrence(spark.createDataFrame(rows, "term string, doc_id long, tf long"), n_terms=10, window=3).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {(r.t1, r.t2): r.n for r in got} == want and len(got) == len(want)
