@@ -439,3 +439,12 @@ def test_cooccurrence_counts_neighbours_across_batches(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert {(r.t1, r.t2): r.n for r in got} == want and len(got) == len(want)
+
+
+def test_ranked_terms_shuffle_only_the_best(spark):
+    from conftest import SF
+    from orrery.plans import registry
+
+    for name in ("win_rank_terms", "win_lead5"):
+        plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
