@@ -448,3 +448,11 @@ def test_ranked_terms_shuffle_only_the_best(spark):
     for name in ("win_rank_terms", "win_lead5"):
         plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_pages_are_parsed_some_at_a_time():
+    import pyarrow as pa
+
+    pages = ["<title>t</title>" + "x" * 300_000, None, "<a href='/b'>l</a>", "y" * 900_000, ""]
+    parts = list(U._parsed(pa.array(pages), pa.array(["https://h.example/"] * 5)))
+    assert len(parts) > 1 and [tuple(r.values()) for p in parts for r in p.to_pylist()] == [U.parse(h, "https://h.example/") for h in pages]
