@@ -44,3 +44,16 @@ def test_titles_with_cut_entities_are_those_of_the_sql(spark, tmp_path, name):
     con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet'")
     a, b = tidy(registry.QUERIES[name](spark, str(tmp_path)).toPandas()), tidy(con.execute(registry.ORACLES[name]).df())
     assert "Cut &amp" in set(b["title"]) and a.equals(b)
+
+
+@pytest.mark.parametrize("name", ["src_url_map", "snk_migrate"])
+def test_titles_between_wide_spaces_and_pages_without_an_id_are_those_of_the_sql(spark, tmp_path, name):
+    spaces = ["\u00a0", "\u1680", "\u2003", "\u202f", "\u3000", "\t", "\n", "\u2028", "\u200b", "\ufeff"]
+    pages = [(i, f"https://h.example/{i}", f"<title>{w} A{w}b{w}</title><p>x") for i, w in enumerate(spaces)] + [(90, "u", "<title> \u00a0 </title>"), (None, None, "<title>Lost</title>")]
+    pd.DataFrame(pages, columns=["page_id", "url", "html"]).astype({"page_id": "Int64"}).to_parquet(tmp_path / "pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet'")
+    want = con.execute(registry.ORACLES[name])
+    columns = [d[0] for d in want.description]
+    got = {tuple(r) for r in registry.QUERIES[name](spark, str(tmp_path)).select(columns).collect()}
+    assert len(got) == 12 and got == set(want.fetchall())
