@@ -1,5 +1,7 @@
 import math
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -456,3 +458,27 @@ def test_pages_are_parsed_some_at_a_time():
     pages = ["<title>t</title>" + "x" * 300_000, None, "<a href='/b'>l</a>", "y" * 900_000, ""]
     parts = list(U._parsed(pa.array(pages), pa.array(["https://h.example/"] * 5)))
     assert len(parts) > 1 and [tuple(r.values()) for p in parts for r in p.to_pylist()] == [U.parse(h, "https://h.example/") for h in pages]
+
+
+def test_pagerank_of_many_blocks_and_other_kinds_of_nodes(spark, monkeypatch):
+    monkeypatch.setattr(G, "BLOCK", 7)
+    monkeypatch.setattr(G, "PACKED", 50)
+    monkeypatch.setattr(G, "SHARE", 200)
+    rng = np.random.default_rng(5)
+    pairs = sorted({(int(a) * 10**15 - 4 * 10**16, int(b) * 10**15 - 4 * 10**16) for a, b in rng.integers(0, 80, (900, 2)) if a != b} | {(k, -4 * 10**16) for k in range(1, 40)})
+    nodes = sorted({x for p in pairs for x in p})
+    degree = Counter(a for a, _ in pairs)
+    r = dict.fromkeys(nodes, 1 / len(nodes))
+    for _ in range(20):
+        got = dict.fromkeys(nodes, 0.0)
+        for a, b in pairs:
+            got[b] += r[a] / degree[a]
+        r = {x: 0.15 / len(nodes) + 0.85 * got[x] for x in nodes}
+    want = {x: round(v / max(r.values()), 6) for x, v in r.items()}
+    edges = spark.createDataFrame(pairs, "src long, dst long")
+    assert {x.doc_id: x.score for x in G.pagerank(edges, least=None).collect()} == pytest.approx(want, abs=1.1e-6)
+    names = spark.createDataFrame([(f"p{a}", f"p{b}") for a, b in pairs], "src string, dst string")
+    assert {x.doc_id: x.score for x in G.pagerank(names, least=None).collect()} == pytest.approx({f"p{k}": v for k, v in want.items()}, abs=1.1e-6)
+    few = {x.doc_id: x.score for x in G.pagerank(edges, spark.createDataFrame([(nodes[0],), (nodes[1],), (99,)], "doc_id long"), least=None).collect()}
+    assert set(few) == {nodes[0], nodes[1], 99} and few[99] == min(few.values())
+    assert {x.doc_id for x in G.pagerank(spark.createDataFrame([(1, 2), (None, 2), (3, None)], "src int, dst int"), least=1e-6).collect()} == {1, 2, 3, None}
