@@ -482,3 +482,11 @@ def test_pagerank_of_many_blocks_and_other_kinds_of_nodes(spark, monkeypatch):
     few = {x.doc_id: x.score for x in G.pagerank(edges, spark.createDataFrame([(nodes[0],), (nodes[1],), (99,)], "doc_id long"), least=None).collect()}
     assert set(few) == {nodes[0], nodes[1], 99} and few[99] == min(few.values())
     assert {x.doc_id for x in G.pagerank(spark.createDataFrame([(1, 2), (None, 2), (3, None)], "src int, dst int"), least=1e-6).collect()} == {1, 2, 3, None}
+
+
+def test_pages_parsed_in_pieces_are_those_parsed_one_by_one(spark):
+    pages = [(i, f"https://h.example/{i}/", f"<title>t</title><p>{'word ' * (i * 997 % 9000)}</p><a href='x{i}'>") for i in range(150)] + [(None, None, None), (7, "u", "")]
+    df = spark.createDataFrame(pages, "doc_id long, base string, html string").coalesce(1)
+    got = sorted((tuple(r) for r in U.parse_pages(df, "html", "base").collect()), key=repr)
+    assert got == sorted(((i, b, *U.parse(h, b)[1:]) for i, b, h in pages), key=repr)
+    assert U.parse_pages(df.limit(0), "html", "base").count() == 0
