@@ -490,3 +490,10 @@ def test_pages_parsed_in_pieces_are_those_parsed_one_by_one(spark):
     got = sorted((tuple(r) for r in U.parse_pages(df, "html", "base").collect()), key=repr)
     assert got == sorted(((i, b, *U.parse(h, b)[1:]) for i, b, h in pages), key=repr)
     assert U.parse_pages(df.limit(0), "html", "base").count() == 0
+
+
+def test_the_stored_index_gets_its_postings_without_a_shuffle(spark, tmp_path):
+    spark.createDataFrame([(1, "one two two"), (2, "two three")], "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    plan = I.postings(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and Store.build(docs).postings.where("term = 'two'").agg(F.sum("tf")).first()[0] == 3
