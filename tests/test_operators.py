@@ -497,3 +497,32 @@ def test_the_stored_index_gets_its_postings_without_a_shuffle(spark, tmp_path):
     docs = spark.read.parquet(str(tmp_path / "docs"))
     plan = I.postings(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and Store.build(docs).postings.where("term = 'two'").agg(F.sum("tf")).first()[0] == 3
+
+
+def test_the_stored_index_keeps_postings_in_lists_and_unpacks_the_same(spark):
+    rows = [(1, "Otter otter, river"), (1, "otter the"), (2, None), (3, ""), (5, "river moss river"), (None, "moss"), (None, "moss fern")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    store, key = Store.build(d), lambda r: tuple(map(str, r))
+    want = I.sized_postings(d).select("term", "doc_id", "tf", "dl").collect()
+    assert sorted(store.postings.select("term", "doc_id", "tf", "dl").collect(), key=key) == sorted(want, key=key) != []
+    assert {tuple(r) for r in store.lengths.collect()} == {(1, 4, 2), (5, 3, 2), (None, 3, 2)}
+    assert {(r.term, r.df) for r in store.vocabulary.collect()} == {("otter", 1), ("river", 2), ("moss", 2), ("fern", 1)}
+    many = Store.build(spark.createDataFrame([(i, "one two three") for i in range(100)], "doc_id long, text string").coalesce(1))
+    assert many.blocks.count() == 3 and many.postings.count() == 300
+
+
+def test_ranked_terms_travel_as_places_and_are_those_of_the_sql(spark, tmp_path):
+    import duckdb
+    from orrery.plans import registry
+
+    rows = [(1, "otter otter river moss fern reed lake"), (1, "otter birch"), (2, None), (3, ""), (4, "lake river river the"), (5, "moss")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("win_lead5", "win_rank_terms"):
+        found = registry.QUERIES[name](spark, str(tmp_path))
+        want = con.execute(registry.ORACLES[name])
+        columns = [c[0] for c in want.description]
+        got = [tuple(r) for r in found.select(columns).collect()]
+        assert len(got) == 10 and set(got) == set(want.fetchall())
+        assert "Sort [doc_id" in (plan := found._jdf.queryExecution().executedPlan().toString()) and "of_all#" in plan.split("Sort [doc_id")[1].split("]")[0]
