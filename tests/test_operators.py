@@ -526,3 +526,41 @@ def test_ranked_terms_travel_as_places_and_are_those_of_the_sql(spark, tmp_path)
         got = [tuple(r) for r in found.select(columns).collect()]
         assert len(got) == 10 and set(got) == set(want.fetchall())
         assert "Sort [doc_id" in (plan := found._jdf.queryExecution().executedPlan().toString()) and "of_all#" in plan.split("Sort [doc_id")[1].split("]")[0]
+
+
+@pytest.mark.parametrize("name", ["win_norm_max", "ir_bm25"])
+def test_a_search_lists_postings_of_its_own_terms_only_and_finds_those_of_the_sql(spark, tmp_path, name):
+    import duckdb
+    from orrery.plans import inputs, registry
+
+    rows = [(1, "tion otter, tion ing"), (1, "ing river"), (2, None), (3, ""), (4, "ther thon the"), (5, "moss"), (8, "Thth moss ble fern"), (9, "station ither"), (10, "tion"), (11, "tion")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(registry.ORACLES[name])
+    columns = [c[0] for c in want.description]
+    key = (spark.sparkContext.applicationId, str(tmp_path))
+    got = registry.QUERIES[name](spark, str(tmp_path)).select(columns).collect()
+    assert sorted(map(tuple, got)) == sorted(want.fetchall()) and len(got) > 3 and key not in inputs._STORES
+    made = inputs._ASKED[key]
+    assert {r.term for r in made.blocks.collect()} == {r.term for r in made.vocabulary.collect()} == {"tion", "ing", "ther", "thon", "ble", "thth"}
+    assert {(r.doc_id, r.dl) for r in made.lengths.collect()} == {(1, 6), (4, 2), (5, 1), (8, 4), (9, 2), (10, 1), (11, 1)}
+    whole = inputs.Inputs(spark, str(tmp_path)).store
+    assert inputs.Inputs(spark, str(tmp_path)).asked is whole
+    again = registry.QUERIES[name](spark, str(tmp_path)).select(columns).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, got))
+
+
+def test_an_index_of_more_terms_than_may_be_sent_is_whole(spark, monkeypatch):
+    from orrery.operators import store as ST
+
+    d = spark.createDataFrame([*PAPERS, (70, None)], "doc_id long, text string")
+    q = spark.createDataFrame([(1, "glacier northern"), (2, None), (3, "nothing")], "query_id long, q string")
+    rows = lambda s: sorted(map(tuple, R.bm25_stored(s, q).collect()))
+    few = Store.of_terms(d, q)
+    monkeypatch.setattr(ST, "ASKED_BYTES", 1)
+    whole = Store.of_terms(d, q)
+    assert few.vocabulary.count() == 2 < whole.vocabulary.count() and rows(few) == rows(whole) != []
+    none = spark.createDataFrame([(1, "an"), (2, None)], "query_id long, q string")
+    monkeypatch.undo()
+    assert Store.of_terms(d, none).blocks.count() == 0 and R.bm25_stored(Store.of_terms(d, none), none).count() == 0
