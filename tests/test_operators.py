@@ -528,7 +528,7 @@ def test_ranked_terms_travel_as_places_and_are_those_of_the_sql(spark, tmp_path)
         assert "Sort [doc_id" in (plan := found._jdf.queryExecution().executedPlan().toString()) and "of_all#" in plan.split("Sort [doc_id")[1].split("]")[0]
 
 
-@pytest.mark.parametrize("name", ["win_norm_max", "ir_bm25", "fd_merge"])
+@pytest.mark.parametrize("name", ["win_norm_max", "ir_bm25", "fd_merge", "win_shard_topk"])
 def test_a_search_lists_postings_of_its_own_terms_only_and_finds_those_of_the_sql(spark, tmp_path, name):
     import duckdb
     from orrery.plans import inputs, registry
