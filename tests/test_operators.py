@@ -564,3 +564,30 @@ def test_an_index_of_more_terms_than_may_be_sent_is_whole(spark, monkeypatch):
     none = spark.createDataFrame([(1, "an"), (2, None)], "query_id long, q string")
     monkeypatch.undo()
     assert Store.of_terms(d, none).blocks.count() == 0 and R.bm25_stored(Store.of_terms(d, none), none).count() == 0
+
+
+def test_packed_links_and_ranks_are_small_and_lose_nothing():
+    import zlib
+
+    import numpy as np
+    import pyarrow as pa
+
+    ends = np.array([-(2**63), -1, 0, 2**40, 2**63 - 1])
+    rng = np.random.default_rng(3)
+    src, dst = np.sort(np.concatenate([rng.integers(0, 60000, 100000), ends])), np.concatenate([rng.integers(0, 60000, 100000), ends])
+    row = next(G._packed(np.array([], np.int64))([pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], ["src", "dst"])]))
+    s, s_at, d, d_at = G._ids(row["src"][0]), G._ids(row["src_at"][0], np.int32), G._ids(row["dst"][0]), G._numbers(row["dst_at"][0], np.int32)
+    assert (s[s_at] == src).all() and (d[d_at] == dst).all()
+    # Of 65,536 nodes of a block, ids and degrees must not cost what the ranks do.
+    table = pa.table({"doc_id": pa.array(rng.permutation(60000) * 3), "degree": pa.array(rng.integers(0, 60, 60000))})
+    state = G._blocked(np.array([], np.int64), 1 / 60000)(table)
+    assert sum(len(zlib.compress(state[c][0].as_py(), 1)) for c in ("ids", "degree")) < 2 * 60000
+    assert (G._ids(state["ids"][0]) == np.arange(60000) * 3).all() and set(G._numbers(state["r"][0], np.float64)) == {1 / 60000}
+
+
+def test_nodes_and_degrees_of_links_come_from_one_aggregation(spark, monkeypatch):
+    kept = {}
+    real = G.written
+    monkeypatch.setattr(G, "written", lambda df, name: kept.setdefault(name, real(df, name)))
+    G.pagerank(spark.createDataFrame([(1, 2), (1, 3), (2, None), (None, 2), (3, 1)], "src long, dst long"), rounds=1)
+    assert {(r.doc_id, r.degree) for r in kept["nodes"].collect()} == {(1, 2), (2, 1), (3, 1), (None, 1)}
